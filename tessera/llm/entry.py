@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import suffix_dedup
+from . import decontaminate, near_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_minhash_near_dedup": near_dedup.query,
+    "op6_benchmark_decontamination": decontaminate.query,
     "op8_suffix_dedup": suffix_dedup.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_minhash_near_dedup": near_dedup.SQL,
+    "op6_benchmark_decontamination": decontaminate.SQL,
+}
