@@ -5,7 +5,8 @@ of universal hashes and meet in a bucket for each band. A bucket's pairs are not
 against one pivot of its bucket, by signature and then by the full sets, and joins the linked ones into components
 (large-star and small-star). Members that already share a component need no test. When few untested pairs between
 components are left, they are all tested; then no two members of any bucket that have a link can lie in different
-components. Rounds only save work: without them the last step would test every pair, with the same result.
+components. Rounds only save work: without them the last step would test every pair, with the same result. Pairs whose
+sizes alone rule out a link are not made.
 
 With 36 bands of 4 rows a pair at the threshold of 0.75 meets in no bucket with a chance of 1.1e-6; the signature's limit
 lies six standard deviations under the threshold. Links are confirmed on full sets of 64-bit shingle hashes.
@@ -26,7 +27,7 @@ from ._components import components
 from ._session import cut
 
 SIGNED = "doc_id long, n_shingles long, class binary, bands array<long>, sketch binary"
-ROUNDS = 6
+ROUNDS = 3
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -132,8 +133,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     limit = int(size * (limit + (1 - limit) / 256))
     one = cut(signed(docs, words, bands, rows, seed))
     full = one.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(full.groupBy("class").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch")))
-    placed = classes.select("id", F.explode("bands").alias("bucket"))
+    classes = cut(full.groupBy("class").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("size"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch")))
+    placed = classes.select("id", "size", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1").select("bucket", "pivot")
     members = cut(placed.join(shared, "bucket"))
     sketch = classes.select("id", "sketch")
@@ -149,11 +150,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     # rows that repeat a doc_id with other words: links of their classes
     repeats = full.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z").select("doc_id")
     same = full.join(repeats, "doc_id").select("doc_id", "class").join(classes.select("class", "id"), "class").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
-    links = cut(confirm(members.where("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()).unionByName(same))
+    tested = cut(members.where("id <> pivot").groupBy(F.col("id").alias("v")).agg(F.min("pivot").alias("u")).select("u", "v"))
+    links = cut(confirm(tested).unionByName(same))
     labels = cut(components(links))
-    tested = members.where("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()
+    alike = f"label <> its and 100 * least(size, s) >= {percent} * greatest(size, s)"
     for turn in range(ROUNDS + 1):
-        placed = members.select("bucket", "id").join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+        placed = members.select("bucket", "id", "size").join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("label", "id").alias("label"))
         by_label = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         open_ = by_label.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("labels"), F.max_by("label", "n").alias("bulk")).where("labels > 1")
         placed = cut(placed.join(open_.select("bucket", "bulk", F.expr("(n * n - same) div 2").alias("left"), "n"), "bucket"))
@@ -163,12 +165,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
         last = turn == ROUNDS or left[0] <= 8 * left[1]
         if last:
             # every pair between labels: what is outside the bucket's largest label, against all of another label
-            other = placed.select("bucket", F.col("id").alias("other"), F.col("label").alias("its"))
-            pairs = placed.where("label <> bulk").join(other, "bucket").where("label <> its")
+            other = placed.select("bucket", F.col("id").alias("other"), F.col("label").alias("its"), F.col("size").alias("s"))
+            pairs = placed.where("label <> bulk").join(other, "bucket").where(alike)
         else:
             order = F.xxhash64("id", "bucket", F.lit(turn))
-            pivot = placed.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("other"), F.col("label").alias("its")), order).alias("p")).select("bucket", "p.*")
-            pairs = placed.join(pivot, "bucket").where("label <> its")
+            pivot = placed.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("other"), F.col("label").alias("its"), F.col("size").alias("s")), order).alias("p")).select("bucket", "p.*")
+            pairs = placed.join(pivot, "bucket").where(alike).groupBy("id").agg(F.min_by("other", F.xxhash64("other", F.lit(turn))).alias("other"))
         pairs = pairs.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
         pairs = cut(pairs)
         found = cut(confirm(pairs))
