@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, suffix_dedup
+from . import decontaminate, near_dedup, packing, quality, sentence_dedup, suffix_dedup, topk_search, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": url_filter.query,
+    "op2_sentence_span_dedup": sentence_dedup.query,
+    "op3_maxscore_topk": topk_search.query,
+    "op4_quality_classifier": quality.query,
     "op5_minhash_near_dedup": near_dedup.query,
     "op6_benchmark_decontamination": decontaminate.query,
+    "op7_harmonic_packing": packing.query,
     "op8_suffix_dedup": suffix_dedup.query,
 }
 ORACLES: dict[str, str] = {
+    "op2_sentence_span_dedup": sentence_dedup.SQL,
+    "op3_maxscore_topk": topk_search.SQL,
     "op5_minhash_near_dedup": near_dedup.SQL,
     "op6_benchmark_decontamination": decontaminate.SQL,
 }
