@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, packing, quality, sentence_dedup, suffix_dedup, topk_search, url_filter
+from . import chat, decontaminate, near_dedup, packing, quality, sentence_dedup, suffix_dedup, topk_search, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.query,
@@ -17,6 +17,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_benchmark_decontamination": decontaminate.query,
     "op7_harmonic_packing": packing.query,
     "op8_suffix_dedup": suffix_dedup.query,
+    "op9_chat_transcripts": chat.query,
+    "op10_warc_derivatives": warc.query,
 }
 ORACLES: dict[str, str] = {
     "op2_sentence_span_dedup": sentence_dedup.SQL,
