@@ -1,15 +1,15 @@
 """Near-duplicate groups by MinHash.
 
-Documents with equal sets of word shingles form a class, kept by its smallest document. Classes get `bands * rows` minima
-of universal hashes and meet in a bucket for each band. A bucket's pairs are not listed: each round tests every member
-against one pivot of its bucket, by signature and then by the full sets, and joins the linked ones into components
-(large-star and small-star). Members that already share a component need no test. When few untested pairs between
-components are left, they are all tested; then no two members of any bucket that have a link can lie in different
-components. Rounds only save work: without them the last step would test every pair, with the same result. Pairs whose
-sizes alone rule out a link are not made.
-
-With 36 bands of 4 rows a pair at the threshold of 0.75 meets in no bucket with a chance of 1.1e-6; the signature's limit
-lies six standard deviations under the threshold. Links are confirmed on full sets of 64-bit shingle hashes.
+Documents with equal sets of word shingles form a class, kept by its smallest document. A class has `hashes` minima of
+universal hashes; the first `bands * rows` place it in a bucket for each band, four bits of all of them are its sketch. A
+bucket's pairs are not listed: first every member is tested against one pivot of its buckets, by sketch and then by the
+full sets, and linked ones are joined into components (large-star and small-star). Members that share a component need no
+further test. In the buckets that still hold several components, members are compared by sketch within the task that has
+them, a large bucket's in blocks of `BLOCK`, and only pairs of different components whose sizes and sketches allow a link
+come out to be confirmed. Then no two members of any bucket that have a link lie in different components.
+
+With 36 bands of 4 rows a pair at the threshold of 0.75 meets in no bucket with a chance of 1.1e-6; the sketch's limit
+lies five standard deviations under the threshold. Links are confirmed on full sets of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ from ._components import components
 from ._session import cut
 
 SIGNED = "doc_id long, n_shingles long, class binary, bands array<long>, sketch binary"
-ROUNDS = 3
+BLOCK = 512
+#: Of a byte's two halves, how many are zero.
+ZERO_HALVES = np.array([(not x & 15) + (not x >> 4) for x in range(256)], np.uint8)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -57,9 +59,20 @@ def minima(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least
 
 
-def signed(docs: DataFrame, words: int, bands: int, rows: int, seed: int) -> DataFrame:
+def sketched(least: np.ndarray) -> bytes:
+    """Four bits of each minimum."""
+    half = (mix(least) >> np.uint64(60)).astype(np.uint8)
+    return (half[::2] | half[1::2] << 4).tobytes()
+
+
+def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many places sketches agree, along the last axis."""
+    return ZERO_HALVES[x ^ y].sum(axis=-1, dtype=np.int32)
+
+
+def signed(docs: DataFrame, words: int, bands: int, rows: int, hashes: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = family(bands * rows, seed)
+        a, b = family(hashes, seed)
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
             count, key, band, sketch = [], [], [], []
@@ -72,10 +85,10 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int, seed: int) -> Dat
                 least = minima(own, a, b)
                 value = salt.copy()
                 for r in range(rows):
-                    value = mix(value ^ least.reshape(bands, rows)[:, r])
+                    value = mix(value ^ least[: bands * rows].reshape(bands, rows)[:, r])
                 key.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 band.append(value.view(np.int64))
-                sketch.append((mix(least) >> np.uint64(56)).astype(np.uint8).tobytes())
+                sketch.append(sketched(least))
             yield pa.record_batch([batch.column(0), pa.array(count, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "class", "bands", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
@@ -98,11 +111,64 @@ def close_sketches(pairs: DataFrame, least: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             su, sv = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((su == sv).sum(axis=1) >= least))
+            yield batch.select([0, 1]).filter(pa.array(agreeing(su, sv) >= least))
 
     return pairs.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
+def close_members(members: DataFrame, percent: int, least: int) -> DataFrame:
+    """members(bucket, id, label, size, n, sketch), n a bucket's number of them -> distinct pairs u < v of a bucket with
+    different labels whose sizes and sketches allow a link."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"), mine.alias("own")))
+    dealt = members.select("bucket", "id", "label", "size", "sketch", F.explode(meets).alias("m")).select("bucket", "m.*", "id", "label", "size", "sketch")
+
+    def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids, label, size, own = (t.column(c).to_numpy() for c in ("id", "label", "size", "own"))
+        if len(np.unique(label)) < 2:
+            return ids[:0], ids[:0]
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+        first, second = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        left, right = (np.flatnonzero(own == k) for k in (first, second))
+        us, vs = [], []
+        for x in left:
+            y = right if first != second else right[ids[right] > ids[x]]
+            y = y[(label[y] != label[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
+            y = y[agreeing(sketch[x], sketch[y]) >= least] if len(y) else y
+            us.append(np.minimum(ids[x], ids[y]))
+            vs.append(np.maximum(ids[x], ids[y]))
+        return (np.concatenate(us), np.concatenate(vs)) if us else (ids[:0], ids[:0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def out(groups: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+            found = [pairs(g) for g in groups]
+            if found:
+                u, v = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+                yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            key = np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")])
+            cut_at = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            begin = [0, *cut_at.tolist(), t.num_rows]
+            whole = [t.slice(a, b - a) for a, b in zip(begin, begin[1:], strict=False) if b > a]
+            if not whole:
+                continue
+            if held and all(held[0].column(c)[0] == whole[0].column(c)[0] for c in ("bucket", "i", "j")):
+                held.append(whole.pop(0))
+            if whole:
+                yield from out(([pa.concat_tables(held).combine_chunks()] if held else []) + whole[:-1])
+                held = [whole[-1]]
+        if held:
+            yield from out([pa.concat_tables(held).combine_chunks()])
+
+    keys = ["bucket", "i", "j"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long").distinct()
+
+
 def linked(pairs: DataFrame, percent: int) -> DataFrame:
     """Of pairs(u, v, xu, xv) those with 100 * intersection >= percent * union; u and v."""
 
@@ -121,17 +187,18 @@ def linked(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("u", "v", "xu", "xv").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 36, rows: int = 4, seed: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 36, rows: int = 4, hashes: int = 512, seed: int = 5) -> DataFrame:
     """docs(doc_id long, text string, ...) -> (doc_id, n_shingles, component_id, kept), one row for each row of docs.
 
     component_id is the smallest doc_id that links reach, kept whether that is the document itself. A null or blank text
     has no shingles and links with nothing. Rows that repeat a doc_id are one document for the links: what links with
     one of them links with all. A row with a null doc_id has no component and is kept. Other columns are not read.
     """
-    size = bands * rows
-    limit = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / size) ** 0.5
-    limit = int(size * (limit + (1 - limit) / 256))
-    one = cut(signed(docs, words, bands, rows, seed))
+    if hashes < bands * rows or hashes % 2:
+        raise ValueError("hashes must be even and at least bands * rows")
+    p = percent / 100 + (1 - percent / 100) / 16
+    limit = int(hashes * (p - 5 * (p * (1 - p) / hashes) ** 0.5))
+    one = cut(signed(docs, words, bands, rows, hashes, seed))
     full = one.where("n_shingles > 0 and doc_id is not null")
     classes = cut(full.groupBy("class").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("size"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch")))
     placed = classes.select("id", "size", F.explode("bands").alias("bucket"))
@@ -140,49 +207,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     sketch = classes.select("id", "sketch")
     sets = cut(sets_of(docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), words).dropDuplicates(["id", "set"]))
 
-    def confirm(pairs: DataFrame) -> DataFrame:
+    def confirm(close: DataFrame) -> DataFrame:
         """Distinct pairs(u, v) of classes -> the links among them."""
-        su, sv = sketch.toDF("u", "su"), sketch.toDF("v", "sv")
-        close = close_sketches(pairs.join(su, "u").join(sv, "v"), limit)
         xu, xv = sets.toDF("u", "xu"), sets.toDF("v", "xv")
         return linked(close.join(xv, "v").join(xu, "u"), percent)
 
     # rows that repeat a doc_id with other words: links of their classes
     repeats = full.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z").select("doc_id")
     same = full.join(repeats, "doc_id").select("doc_id", "class").join(classes.select("class", "id"), "class").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
-    tested = cut(members.where("id <> pivot").groupBy(F.col("id").alias("v")).agg(F.min("pivot").alias("u")).select("u", "v"))
-    links = cut(confirm(tested).unionByName(same))
+    tested = members.where("id <> pivot").groupBy(F.col("id").alias("v")).agg(F.min("pivot").alias("u"))
+    su, sv = sketch.toDF("u", "su"), sketch.toDF("v", "sv")
+    links = cut(confirm(close_sketches(tested.join(su, "u").join(sv, "v"), limit)).unionByName(same))
     labels = cut(components(links))
-    alike = f"label <> its and 100 * least(size, s) >= {percent} * greatest(size, s)"
-    for turn in range(ROUNDS + 1):
-        placed = members.select("bucket", "id", "size").join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("label", "id").alias("label"))
-        by_label = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        open_ = by_label.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("labels"), F.max_by("label", "n").alias("bulk")).where("labels > 1")
-        placed = cut(placed.join(open_.select("bucket", "bulk", F.expr("(n * n - same) div 2").alias("left"), "n"), "bucket"))
-        left = placed.groupBy("bucket").agg(F.first("left").alias("left"), F.first("n").alias("n")).agg(F.sum("left"), F.sum("n")).first()
-        if not left[0]:
-            break
-        last = turn == ROUNDS or left[0] <= 8 * left[1]
-        if last:
-            # every pair between labels: what is outside the bucket's largest label, against all of another label
-            other = placed.select("bucket", F.col("id").alias("other"), F.col("label").alias("its"), F.col("size").alias("s"))
-            pairs = placed.where("label <> bulk").join(other, "bucket").where(alike)
-        else:
-            order = F.xxhash64("id", "bucket", F.lit(turn))
-            pivot = placed.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("other"), F.col("label").alias("its"), F.col("size").alias("s")), order).alias("p")).select("bucket", "p.*")
-            pairs = placed.join(pivot, "bucket").where(alike).groupBy("id").agg(F.min_by("other", F.xxhash64("other", F.lit(turn))).alias("other"))
-        pairs = pairs.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
-        pairs = cut(pairs)
-        found = cut(confirm(pairs))
-        if found.isEmpty():
-            if last:
-                break
-        else:
-            links = links.unionByName(found)
-            labels = cut(components(links))
-        if last:
-            break
-        tested = tested.unionByName(pairs)
+    placed = members.select("bucket", "id", "size").join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("label", "id").alias("label"))
+    open_ = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select("bucket", "n")
+    placed = placed.join(open_, "bucket").join(sketch, "id")
+    found = cut(confirm(cut(close_members(placed, percent, limit))))
+    if not found.isEmpty():
+        labels = cut(components(links.unionByName(found)))
     at = classes.select("class", "id").join(labels, "id", "left").select("class", F.coalesce("label", "id").alias("component_id"))
     out = one.select("doc_id", "n_shingles", "class").join(at, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

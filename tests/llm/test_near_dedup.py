@@ -56,8 +56,8 @@ def test_against_brute_force(spark, seed):
     assert got == brute(rows)
 
 
-def test_pivot_rounds_give_the_same(spark, monkeypatch):
-    """A large group whose members mostly link through a few: rounds and the last step must agree."""
+def test_blocks_give_the_same(spark, monkeypatch):
+    """A large group whose members mostly link through a few: blocks of any size must agree."""
     r = random.Random(9)
     base = [f"b{i}" for i in range(60)]
     rows = []
@@ -69,7 +69,7 @@ def test_pivot_rounds_give_the_same(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
     assert sorted(map(tuple, nd.near_duplicates(df).collect())) == want
-    monkeypatch.setattr(nd, "ROUNDS", 0)
+    monkeypatch.setattr(nd, "BLOCK", 7)
     assert sorted(map(tuple, nd.near_duplicates(df).collect())) == want
 
 
