@@ -15,24 +15,46 @@ Other columns pass through; one with the name of a result column is replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SENTENCE = r"(?s)[ \t\n\r]*[^ \t\n\r].*?(?:[.!?]+[ \t\n\r]+|\n+|\z)"
+SENTENCE = re.compile(r"(?s)[ \t\n\r]*[^ \t\n\r].*?(?:[.!?]+[ \t\n\r]+|\n+|\Z)")
 BLANK = " \t\n\r"
+ADDED = ("n_sentences", "removed", "kept")
+SPANS = "doc_id long, mark long, at int, a long, b long"
+
+
+def sentences(text: str | None) -> list[str]:
+    return SENTENCE.findall(text or "")
+
 
+def keys(parts: list[str], run: int) -> list[bytes]:
+    """128 bits for the span that begins at each sentence."""
+    bare = [p.strip(BLANK) for p in parts]
+    last = max(len(bare) - run + 1, min(1, len(bare)))
+    return [xxhash.xxh3_128_digest("\n".join(bare[i : i + run]).encode("utf-8", "surrogatepass")) for i in range(last)]
 
-def sentences(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), 0)
 
+def spans(docs: DataFrame, run: int) -> DataFrame:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                found = [keys(sentences(t.as_py()), run) for t in part.column(2)]
+                count = np.array([len(f) for f in found], np.int64)
+                row = np.repeat(np.arange(len(found)), count)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                key = np.frombuffer(b"".join(k for f in found for k in f), np.int64).reshape(-1, 2)
+                yield pa.record_batch([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(at, pa.int32()), pa.array(key[:, 0]), pa.array(key[:, 1])], names=["doc_id", "mark", "at", "a", "b"])
 
-def spans(parts: Column, run: int) -> Column:
-    """array<struct<a, b>>: the key of the span that begins at each sentence."""
-    bare = F.transform(parts, lambda s: F.btrim(s, F.lit(BLANK)))
-    size = F.size(parts)
-    key = lambda i: F.array_join(F.slice(bare, i, F.lit(run)), "\n")
-    hashed = lambda t: F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(run), t, F.length(t)).alias("b"))
-    return F.when(size > 0, F.transform(F.sequence(F.lit(1), F.greatest(size - (run - 1), F.lit(1))), lambda i: hashed(key(i))))
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text").mapInArrow(emit, SPANS)
 
 
 def remove_repeated(docs: DataFrame, run: int = 3) -> DataFrame:
@@ -40,21 +62,35 @@ def remove_repeated(docs: DataFrame, run: int = 3) -> DataFrame:
     without them) added."""
     if run < 1:
         raise ValueError("run must be at least 1")
-    docs = docs.drop("n_sentences", "removed", "kept")
-    mark = F.xxhash64("text")
-    placed = docs.where("doc_id is not null").select("doc_id", mark.alias("mark"), F.posexplode(spans(sentences(F.col("text")), run)).alias("at", "key"))
-    placed = placed.select("doc_id", "mark", "at", "key.a", "key.b")
+    docs = docs.drop(*ADDED)
+    own = docs.columns
+    placed = spans(docs, run)
     first = placed.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).where("n > 1").select("a", "b", F.col("first.doc_id").alias("d"), F.col("first.at").alias("p"))
     later = placed.join(first, ["a", "b"]).where("doc_id <> d or at <> p")
-    gone = later.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("starts")).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), "starts")
-    both = docs.join(gone, (F.col("doc_id") == F.col("__doc")) & (mark == F.col("__mark")), "left")
-    parts = sentences(F.col("text"))
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (run - 1)))))
-    removed = F.coalesce(F.array_sort(F.filter(covered, lambda i: i < F.size("__parts"))), F.array().cast("array<int>"))
-    both = both.withColumn("__parts", parts).withColumn("removed", removed)
-    hit = F.array_contains
-    kept = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(F.filter("__parts", lambda s, i: ~hit("removed", i)), ""))
-    return both.select(*docs.columns, F.size("__parts").cast("long").alias("n_sentences"), "removed", kept.alias("kept"))
+    gone = later.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("__starts")).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), "__starts")
+    both = docs.join(gone, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64("text") == F.col("__mark")), "left").select(*own, "__starts")
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, removed, kept = [], [], []
+            for text, starts in zip(batch.column("text"), batch.column("__starts"), strict=True):
+                text = text.as_py()
+                parts = sentences(text)
+                out = sorted({i for s in starts.as_py() or () for i in range(s, min(s + run, len(parts)))})
+                n.append(len(parts))
+                removed.append(out)
+                kept.append(_without(parts, out) if out else text)
+            added = [pa.array(n, pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(kept, pa.string())]
+            yield pa.record_batch([*(batch.column(c) for c in own), *added], names=[*own, *ADDED])
+
+    fields = [f for f in both.schema.fields if f.name in own]
+    added = [T.StructField("n_sentences", T.LongType()), T.StructField("removed", T.ArrayType(T.IntegerType())), T.StructField("kept", T.StringType())]
+    return both.mapInArrow(rest, T.StructType([*fields, *added]))
+
+
+def _without(parts: list[str], out: list[int]) -> str:
+    gone = set(out)
+    return "".join(p for i, p in enumerate(parts) if i not in gone)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
