@@ -122,7 +122,9 @@ def nest_symbol(kind: Column, decorators: Column, imports: Column) -> Column:
     """struct<ext_kind, derived_by, confidence> by the first decorator that counts; a decorator's name is followed through
     aliases; one that comes from elsewhere than @nestjs/ gives medium confidence."""
     scope = lambda s: s.startswith("@nestjs/")
-    bound = F.flatten(F.transform(F.coalesce(imports, F.array().cast("array<struct<source:string,symbols:array<string>>>")), lambda i: F.transform(F.coalesce(i["symbols"], F.array().cast("array<string>")), lambda r: F.struct(text.alias_parts(r).alias("a"), scope(i["source"]).alias("nest")))))
+    none = F.array().cast("array<struct<a:struct<imported:string,local:string>,nest:boolean>>")
+    names = lambda i: F.coalesce(i["symbols"], F.array().cast("array<string>"))
+    bound = F.coalesce(F.flatten(F.transform(imports, lambda i: F.transform(names(i), lambda r: F.struct(text.alias_parts(r).alias("a"), scope(i["source"]).alias("nest"))))), none)
     mine = F.when(kind == "class", F.array(*map(F.lit, NEST_CLASS))).when(kind == "method", F.array(*map(F.lit, (*NEST_HTTP, *NEST_PATTERN, *NEST_HANDLER))))
 
     def known(d: Column) -> Column:
