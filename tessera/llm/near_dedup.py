@@ -6,7 +6,7 @@ bucket's pairs are not listed: first every member is tested against one pivot of
 full sets, and linked ones are joined into components (large-star and small-star). Members that share a component need no
 further test. In the buckets that still hold several components, members are compared by sketch within the task that has
 them, a large bucket's in blocks of `BLOCK`, and only pairs of different components whose sizes and sketches allow a link
-come out to be confirmed. Then no two members of any bucket that have a link lie in different components.
+come out to be confirmed, each from one bucket. Then no two members of any bucket that have a link lie in different components.
 
 With 36 bands of 4 rows a pair at the threshold of 0.75 meets in no bucket with a chance of 1.1e-6; the sketch's limit
 lies five standard deviations under the threshold. Links are confirmed on full sets of 64-bit shingle hashes.
@@ -88,7 +88,7 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int, hashes: int, seed
                     value = mix(value ^ least[: bands * rows].reshape(bands, rows)[:, r])
                 key.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 band.append(value.view(np.int64))
-                sketch.append(sketched(least))
+                sketch.append(sketched(least) + (value >> np.uint64(32)).astype(np.uint32).tobytes())
             yield pa.record_batch([batch.column(0), pa.array(count, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "class", "bands", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
@@ -103,7 +103,7 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, set binary")
 
 
-def close_sketches(pairs: DataFrame, least: int) -> DataFrame:
+def close_sketches(pairs: DataFrame, least: int, width: int) -> DataFrame:
     """Of pairs(u, v, su, sv) those whose sketches agree in at least `least` places; u and v."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,14 +111,15 @@ def close_sketches(pairs: DataFrame, least: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             su, sv = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array(agreeing(su, sv) >= least))
+            yield batch.select([0, 1]).filter(pa.array(agreeing(su[:, :width], sv[:, :width]) >= least))
 
     return pairs.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
-def close_members(members: DataFrame, percent: int, least: int) -> DataFrame:
+def close_members(members: DataFrame, percent: int, least: int, width: int) -> DataFrame:
     """members(bucket, id, label, size, n, sketch), n a bucket's number of them -> distinct pairs u < v of a bucket with
-    different labels whose sizes and sketches allow a link."""
+    different labels whose sizes and sketches allow a link. Behind its `width` bytes a sketch has half of the name of each
+    of the member's buckets: a pair comes out of the first bucket that both are in."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
     meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"), mine.alias("own")))
@@ -129,6 +130,8 @@ def close_members(members: DataFrame, percent: int, least: int) -> DataFrame:
         if len(np.unique(label)) < 2:
             return ids[:0], ids[:0]
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+        tags, sketch = np.ascontiguousarray(sketch[:, width:]).view(np.uint32), sketch[:, :width]
+        here = np.uint32(t.column("bucket")[0].as_py() >> 32 & 0xFFFFFFFF)
         first, second = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         left, right = (np.flatnonzero(own == k) for k in (first, second))
         us, vs = [], []
@@ -136,6 +139,7 @@ def close_members(members: DataFrame, percent: int, least: int) -> DataFrame:
             y = right if first != second else right[ids[right] > ids[x]]
             y = y[(label[y] != label[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
             y = y[agreeing(sketch[x], sketch[y]) >= least] if len(y) else y
+            y = y[tags[x][(tags[y] == tags[x]).argmax(axis=1)] == here] if len(y) else y
             us.append(np.minimum(ids[x], ids[y]))
             vs.append(np.maximum(ids[x], ids[y]))
         return (np.concatenate(us), np.concatenate(vs)) if us else (ids[:0], ids[:0])
@@ -217,12 +221,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     same = full.join(repeats, "doc_id").select("doc_id", "class").join(classes.select("class", "id"), "class").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     tested = members.where("id <> pivot").groupBy(F.col("id").alias("v")).agg(F.min("pivot").alias("u"))
     su, sv = sketch.toDF("u", "su"), sketch.toDF("v", "sv")
-    links = cut(confirm(close_sketches(tested.join(su, "u").join(sv, "v"), limit)).unionByName(same))
+    links = cut(confirm(close_sketches(tested.join(su, "u").join(sv, "v"), limit, hashes // 2)).unionByName(same))
     labels = cut(components(links))
     placed = members.select("bucket", "id", "size").join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("label", "id").alias("label"))
     open_ = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select("bucket", "n")
     placed = placed.join(open_, "bucket").join(sketch, "id")
-    found = cut(confirm(cut(close_members(placed, percent, limit))))
+    found = cut(confirm(cut(close_members(placed, percent, limit, hashes // 2))))
     if not found.isEmpty():
         labels = cut(components(links.unionByName(found)))
     at = classes.select("class", "id").join(labels, "id", "left").select("class", F.coalesce("label", "id").alias("component_id"))
