@@ -532,3 +532,204 @@ def array_delta(spark, sf_dir):
     item = lambda s: F.struct(s["key"].alias("key"), s["line"].alias("line"), s["content"].alias("content"))
     side = lambda flag: F.transform(F.array_sort(F.collect_list(F.when(F.col("old") == flag, F.col("x")))), item)
     return delta.aligned(l.groupBy("l_orderkey").agg(side(True).alias("b"), side(False).alias("h")), "b", "h").select("l_orderkey", F.size("added").alias("added"), F.size("removed").alias("removed"), F.size("modified").alias("modified"))
+
+
+# --- extraction, on sources written from the parts table --------------------------------------------------------------
+
+
+def _sources(spark, sf_dir):
+    """A TypeScript file for each part."""
+    p, key, size = table(spark, sf_dir, "part"), F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    lines = [
+        F.concat(F.lit("import { db as base, E"), size, F.lit(" } from './m"), size, F.lit("'")),
+        F.concat(F.lit("export class P"), key, F.lit(" {")),
+        F.concat(F.lit("  async run(a: string, b = 2): Promise<number> { // "), "p_name"),
+        F.concat(F.lit("    if (a === '"), "p_brand", F.lit("') throw new E"), size, F.lit("(`${a}`)")),
+        F.concat(F.lit("    const x = await base.find"), size, F.lit("({ a }, (y) => y.trim())")),
+        F.concat(F.lit("    for (const z of x) { send("), size, F.lit(") }")),
+        F.concat(F.lit("    return x.length + "), size),
+        F.lit("  }\n  #hidden() {}\n}"),
+        F.concat(F.when(F.col("p_size") > 25, "export ").otherwise(""), F.lit("const f"), key, F.lit(" = (q: number) => q")),
+        F.concat(F.lit("app.get('/"), size, F.lit("/:id', f"), key, F.lit(")")),
+        F.concat(F.lit("interface I"), key, F.lit(" { a: string }")),
+    ]
+    return p.select(F.concat(F.lit("p/"), key, F.lit(".ts")).alias("path"), F.concat_ws("\n", *lines).alias("text"))
+
+
+def _extracted(spark, sf_dir):
+    from ..sources import typescript
+
+    return typescript.extract(_sources(spark, sf_dir))
+
+
+_FILE = "'ts:p/' || p_partkey || '.ts#'"
+
+
+@query(f"SELECT {_FILE} || 'P' || p_partkey AS id, 'class' AS kind, 'public' AS visibility, 2 AS start_line, 10 AS end_line FROM part UNION ALL SELECT {_FILE} || 'P' || p_partkey || '.run', 'method', 'public', 3, 8 FROM part UNION ALL SELECT {_FILE} || 'P' || p_partkey || '.#hidden', 'method', 'private', 9, 9 FROM part UNION ALL SELECT {_FILE} || 'f' || p_partkey, 'function', CASE WHEN p_size > 25 THEN 'public' ELSE 'internal' END, 11, 11 FROM part UNION ALL SELECT {_FILE} || 'app__get__$' || p_size || '$Zid__d0', 'call', 'internal', 12, 12 FROM part UNION ALL SELECT {_FILE} || 'I' || p_partkey, 'interface', 'internal', 13, 13 FROM part")
+def extract_symbols(spark, sf_dir):
+    return _extracted(spark, sf_dir).select(F.explode("symbols").alias("s")).select("s.id", "s.kind", "s.visibility", "s.start_line", "s.end_line")
+
+
+@query(f"WITH r AS (SELECT p_partkey, unnest([struct_pack(type := 'guard', line := 4, text := 'a === ''' || p_brand || ''''), struct_pack(type := 'throw', line := 4, text := 'E' || p_size), struct_pack(type := 'loop', line := 6, text := 'for'), struct_pack(type := 'return', line := 7, text := 'x.length + ' || p_size)]) AS r FROM part) SELECT {_FILE} || 'P' || p_partkey || '.run' AS id, r.type AS type, r.line AS line, r.text AS text FROM r")
+def extract_rules(spark, sf_dir):
+    s = _extracted(spark, sf_dir).select(F.explode("symbols").alias("s")).where("s.kind = 'method'").select("s.id", F.explode("s.rules").alias("r"))
+    return s.select("id", "r.type", "r.line", F.coalesce("r.condition", "r.what", "r.expr", "r.loop_kind").alias("text"))
+
+
+@query(f"WITH c AS (SELECT p_partkey, unnest([struct_pack(target := 'E' || p_size, line := 4, n := 1, aw := FALSE, nw := TRUE), struct_pack(target := 'base.find' || p_size, line := 5, n := 2, aw := TRUE, nw := FALSE), struct_pack(target := 'y.trim', line := 5, n := 0, aw := FALSE, nw := FALSE), struct_pack(target := 'send', line := 6, n := 1, aw := FALSE, nw := FALSE)]) AS c FROM part) SELECT {_FILE} || 'P' || p_partkey || '.run' AS id, c.target AS target, c.line AS line, c.n AS argument_count, c.aw AS in_await, c.nw AS in_new FROM c")
+def extract_calls(spark, sf_dir):
+    s = _extracted(spark, sf_dir).select(F.explode("symbols").alias("s")).where("s.kind = 'method'").select("s.id", F.explode("s.calls").alias("c"))
+    return s.select("id", "c.target", "c.line", "c.argument_count", "c.in_await", "c.in_new")
+
+
+@query("SELECT 'p/' || p_partkey || '.ts' AS file, './m' || p_size AS source, 'db as base|E' || p_size AS symbols, 1 AS line FROM part")
+def extract_imports(spark, sf_dir):
+    from ..sources import typescript
+
+    return typescript.imports(_extracted(spark, sf_dir)).select("file", "source", F.array_join("symbols", "|").alias("symbols"), "line")
+
+
+@query(f"SELECT {_FILE} || 'P' || p_partkey || '.run' AS id, 'a: string, b: unknown' AS inputs, 'Promise<number>' AS outputs, 'E' || p_size AS throws, TRUE AS async FROM part")
+def extract_signatures(spark, sf_dir):
+    s = _extracted(spark, sf_dir).select(F.explode("symbols").alias("s")).where("s.name like '%.run'").select("s.id", "s.signature")
+    return s.select("id", F.array_join(F.transform("signature.inputs", lambda i: F.concat(i["name"], F.lit(": "), i["type"])), ", ").alias("inputs"), F.array_join("signature.outputs", ", ").alias("outputs"), F.array_join("signature.throws", ", ").alias("throws"), "signature.async")
+
+
+@query("SELECT s.reason, count(*) AS n FROM (SELECT CASE WHEN source = 'src4' THEN NULL WHEN length(text) > 3000 THEN 'over-size' ELSE 'read' END AS reason FROM (SELECT *, source || '/' || doc_id || CASE WHEN lang = 'fr' THEN '.md' ELSE '.ts' END AS p FROM documents) WHERE lang <> 'fr') s WHERE reason IS NOT NULL GROUP BY 1")
+def discover_files(spark, sf_dir):
+    """Documents as files; French ones have no known extension, those of src4 lie in a build folder."""
+    from ..sources import files
+
+    folder = F.when(F.col("source") == "src4", "dist/src4").otherwise(F.col("source"))
+    name = F.concat(folder, F.lit("/"), F.col("doc_id").cast("string"), F.when(F.col("lang") == "fr", ".md").otherwise(".ts"))
+    docs = table(spark, sf_dir, "documents").select(name.alias("spelling"), F.char_length("text").cast("long").alias("length"), F.lit(None).cast("binary").alias("content"))
+    found = files.discover(docs, largest=3000)
+    return found.files.select(F.lit("read").alias("reason")).unionByName(found.skipped.select("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+# --- pages and lines --------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {SUMMARY} SELECT '+' || added || ' -' || removed || ' ~' || changed || ' ↔' || moved || ' ⇄' || moved_changed || CASE WHEN unknown > 0 THEN ' · ?' || unknown || ' unknown' ELSE '' END AS line FROM s")
+def diff_summary_line(spark, sf_dir):
+    from .project import summary_line
+
+    return summary_line(diff_summary(spark, sf_dir))
+
+
+@query(f"WITH {NAMED}, c AS (SELECT bucket, count(*) AS n FROM r WHERE bucket IS NOT NULL GROUP BY 1), o AS (SELECT bucket, n, list_position(['local-scope', 'dynamic', 'ambiguous', 'external', 'no-match'], bucket) AS k FROM c) SELECT 'calls ' || (SELECT count(*) FROM r) || ' · resolved ' || (SELECT count(resolved) FROM r) || ' · unresolved ' || (SELECT count(*) - count(resolved) FROM r) || coalesce(' (' || string_agg(bucket || ' ' || n, ' · ' ORDER BY k) || ')', '') AS line FROM o")
+def call_resolution_line(spark, sf_dir):
+    from .project import call_resolution_line as line
+
+    return line(call_census(spark, sf_dir))
+
+
+@query(f"WITH {TWO_STAGES}, c AS (SELECT h.id, b.id AS was, {STATUS} AS status FROM pairs JOIN base b ON b.id = base_id JOIN head h ON h.id = head_id), e AS (SELECT id, was, unnest(CASE WHEN status = 'moved+changed' THEN ['moved+changed', 'changed'] ELSE [status] END) AS section FROM c WHERE status <> 'unchanged') SELECT section, id, '- `' || id || '`' || CASE WHEN was <> id THEN ' (was `' || was || '`)' ELSE '' END AS line FROM e")
+def diff_markdown_lines(spark, sf_dir):
+    from .project import lines_of_changes
+
+    base, head, pairs = _two_stages(spark, sf_dir)
+    full = diff.paired(base.symbols, head.symbols, pairs).where("status <> 'unchanged'")
+    return lines_of_changes(full.select(F.col("head_id").alias("id"), "base_id", "status")).select("section", "id", "line")
+
+
+@query("WITH b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(split_part(split_part(url, '?', 1), '#', 1), '[:/#.]+', '-', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g') AS base FROM pages), u AS (SELECT DISTINCT split_part(split_part(url, '?', 1), '#', 1) AS id, base FROM b) SELECT id, CASE WHEN count(*) OVER (PARTITION BY base) > 1 THEN base || '-' || left(sha256(id), 6) ELSE base END AS filename FROM u")
+def symbol_filenames(spark, sf_dir):
+    u = table(spark, sf_dir, "pages").select(F.substring_index(F.substring_index("url", "?", 1), "#", 1).alias("id")).distinct()
+    return aggregates.filenames(u)
+
+
+@query("SELECT s_suppkey, replace(replace(replace(replace(replace(s_name || ' <a> & \"b\" ]', '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;'), ']', '&#93;') AS label, replace(s_name || '-x', '-', '_') AS node FROM supplier")
+def mermaid_escapes(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.mermaid_label(F.concat("s_name", F.lit(' <a> & "b" ]'))).alias("label"), text.mermaid_id(F.concat("s_name", F.lit("-x"))).alias("node"))
+
+
+@query("SELECT p_partkey, '- guard `' || p_name || '` (line ' || p_size || ')' AS guard, '- db.read `' || p_type || '`' || CASE WHEN p_size > 25 THEN ' _(low)_ from a, b' ELSE '' END AS effect, '- `' || p_brand || '` -> x (line 3)' AS call FROM part")
+def inline_rows(spark, sf_dir):
+    from . import project
+
+    null = F.lit(None).cast("string")
+    far = F.col("p_size") > 25
+    r = F.struct(F.lit("guard").alias("type"), F.col("p_size").alias("line"), F.col("p_name").alias("condition"), null.alias("what"), null.alias("expr"), null.alias("loop_kind"))
+    e = F.struct(F.lit("db.read").alias("id"), F.col("p_type").alias("target"), F.when(far, "low").otherwise("high").alias("confidence"), far.alias("propagated"), F.array(F.lit("a"), F.lit("b")).alias("derived_from"))
+    c = F.struct(F.col("p_brand").alias("target"), F.lit("x").alias("resolved"), F.lit(3).alias("line"))
+    return table(spark, sf_dir, "part").select("p_partkey", project.rule_row(r).alias("guard"), project.effect_row(e).alias("effect"), project.call_row(c).alias("call"))
+
+
+# --- deltas and more aggregates ---------------------------------------------------------------------------------------
+
+
+@query("WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS a, list_reverse(string_split(p_name, ' ')) || [p_type] AS b FROM part) SELECT p_partkey, 1 AS outputs_added, 0 AS outputs_removed, CAST(len(list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i])) AS INTEGER) AS outputs_modified, CAST(len(list_filter(list_distinct(b), lambda x: NOT list_contains(a, x))) AS INTEGER) AS throws_added FROM p")
+def signature_deltas(spark, sf_dir):
+    a, b = F.split("p_name", " "), F.concat(F.reverse(F.split("p_name", " ")), F.array("p_type"))
+    side = lambda x: F.struct(x.alias("outputs"), x.alias("throws"), F.lit(False).alias("async"), F.lit(False).alias("generator"), F.array().cast("array<string>").alias("type_parameters"))
+    d = table(spark, sf_dir, "part").select("p_partkey", delta.signature_delta(side(a), side(b)).alias("d"))
+    return d.select("p_partkey", F.size("d.outputs.added").alias("outputs_added"), F.size("d.outputs.removed").alias("outputs_removed"), F.size("d.outputs.modified").alias("outputs_modified"), F.size("d.throws.added").alias("throws_added"))
+
+
+@query(f"WITH {TWO_STAGES}, f AS (SELECT b.api <> h.api AS a, b.logic <> h.logic AS l, b.syntax <> h.syntax AS s, {STATUS} AS status FROM pairs JOIN base b ON b.id = base_id JOIN head h ON h.id = head_id) SELECT count(*) FILTER (a) AS api_changed, count(*) FILTER (l) AS logic_changed, count(*) FILTER (s) AS syntax_changed FROM f WHERE status IN ('changed', 'moved+changed')")
+def delta_axis_counts(spark, sf_dir):
+    base, head, pairs = _two_stages(spark, sf_dir)
+    full = diff.paired(base.symbols, head.symbols, pairs).where("status in ('changed', 'moved+changed')")
+    return gate.axis_counts(full.select(delta.flags(F.col("base"), F.col("head")).alias("flags")))
+
+
+@query("SELECT n_regionkey AS root, list(DISTINCT CASE WHEN n_nationkey % 3 = 0 THEN 'pnpm' ELSE 'turbo' END ORDER BY CASE WHEN n_nationkey % 3 = 0 THEN 'pnpm' ELSE 'turbo' END) AS tools, arg_min(n_name, n_nationkey) FILTER (n_nationkey % 2 = 0) AS manifest FROM nation GROUP BY 1")
+def merged_candidates(spark, sf_dir):
+    n = F.col("n_nationkey")
+    c = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("root"), F.when(n % 3 == 0, "pnpm").otherwise("turbo").alias("tool"), F.when(n % 2 == 0, F.col("n_name")).alias("manifest"), n.alias("ord"))
+    return aggregates.merged_candidates(c)
+
+
+@query("SELECT 's' || p_size AS id, list(DISTINCT 'db.read ' || p_type ORDER BY 'db.read ' || p_type) AS effects FROM part WHERE p_size > 25 GROUP BY 1")
+def boundary_surface(spark, sf_dir):
+    """Sizes over 25 stand at a boundary; their effects are their parts' types."""
+    kind = "array<struct<id:string,target:string,line:int,plugin:string,confidence:string,derived_by:string,propagated:boolean,derived_from:array<string>>>"
+    e = F.struct(F.lit("db.read").alias("id"), F.col("p_type").alias("target"))
+    s = table(spark, sf_dir, "part").groupBy("p_size").agg(F.collect_set(e).alias("e"))
+    null = F.lit(None)
+    wide = F.transform("e", lambda x: F.struct(x["id"].alias("id"), x["target"].alias("target"), null.cast("int").alias("line"), null.cast("string").alias("plugin"), null.cast("string").alias("confidence"), null.cast("string").alias("derived_by"), null.cast("boolean").alias("propagated"), null.cast("array<string>").alias("derived_from"))).cast(kind)
+    marks = F.array(F.struct(F.lit("d").alias("name"), F.lit("@d").alias("raw"), F.array().cast("array<string>").alias("arguments"), (F.col("p_size") > 25).alias("boundary"), F.lit(1).alias("line")))
+    found = aggregates.boundary_surface(s.select(F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("id"), F.lit(False).alias("dropped"), marks.alias("decorators"), null.cast("string").alias("ext_kind"), wide.alias("effects")))
+    return found.select("id", F.transform("effects", lambda x: F.concat_ws(" ", x["id"], x["target"])).alias("effects"))
+
+
+@query("SELECT (SELECT count(*) FROM part) + (SELECT count(*) FROM customer) AS scc_count, CAST(1 AS BIGINT) AS max_scc_size")
+def propagation_stats(spark, sf_dir):
+    s = _call_symbols(spark, sf_dir)
+    return graph.propagation_stats(s, _lone(s)).select("scc_count", "max_scc_size")
+
+
+@query(f"WITH {SNAPSHOTS} SELECT '01 symbol ids' AS rule, id AS subject, count(*) || ' rows' AS message FROM base GROUP BY id HAVING count(*) > 1 UNION ALL SELECT '18 languages declared', id, 'no ts' FROM base")
+def integrity_violations(spark, sf_dir):
+    """The base snapshot with no language declared."""
+    base, _ = adapters.snapshots(spark, sf_dir)
+    s = base.symbols
+    for c in ("decorators", "rules", "effects", "calls", "derived_by"):
+        s = s.withColumn(c, F.array().cast(dict(s.dtypes)[c]))
+    comps = spark.createDataFrame([], "id string, roots array<string>")
+    deps = spark.createDataFrame([], "`from` string, `to` string, via string")
+    langs = spark.createDataFrame([], "language string")
+    skipped = base.skips().limit(0)
+    stats = spark.range(1).select(F.lit(0).alias("total_files"), F.lit(0).alias("parsed_files"))
+    return integrity.violations(s, comps, deps, langs, skipped, stats)
+
+
+@query("WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS f, o_orderpriority AS t FROM orders) SELECT f AS \"from\", t AS \"to\", 'call' AS via, 'outbound' AS direction, CAST(NULL AS VARCHAR) AS effect FROM e")
+def dependency_projection(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("from"), F.col("o_orderpriority").alias("to"))
+    return resolve.dependencies(o)
+
+
+@query("WITH s AS (SELECT doc_id, lang, source, text FROM documents) SELECT doc_id, CASE WHEN source = 'src1' THEN 'framework:express:route' WHEN source = 'src2' THEN 'framework:express:middleware' WHEN source = 'src3' THEN 'framework:express:error-middleware' WHEN source = 'src4' THEN 'framework:express:mount' WHEN source = 'src5' THEN 'framework:express:router' END AS express, CASE lang WHEN 'en' THEN 'framework:react:hook' WHEN 'de' THEN 'framework:react:component' WHEN 'fr' THEN 'framework:react:provider' ELSE NULL END AS react FROM s")
+def framework_shapes(spark, sf_dir):
+    """Express by argument shapes, React by names and what is returned."""
+    src, lang = F.col("source"), F.col("lang")
+    shape = lambda *xs: F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(a).cast("int").alias("arity")) for k, a in xs))
+    args = F.when(src == "src3", shape(("function", 4))).when(src == "src4", shape(("string", None), ("identifier", None))).otherwise(shape(("function", 3)))
+    kind = F.when(src == "src5", "const").when(src.isin("src1", "src2", "src3", "src4"), "call").otherwise("class")
+    ex = classify.express_symbol(kind, F.lit("x"), F.when(src == "src1", "get").otherwise("use"), args, F.lit("import e from 'express'"), F.when(src == "src5", "express.Router").otherwise(""))
+    name = F.when(lang == "en", "useThing").when(lang == "es", "plain").otherwise("Thing")
+    calls = F.array().cast("array<struct<target:string>>")
+    re_ = classify.react_symbol(F.lit("function"), name, F.lit(True), F.when(lang == "fr", "Ctx.Provider").otherwise("div"), calls, F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", ex["ext_kind"].alias("express"), re_["ext_kind"].alias("react"))
