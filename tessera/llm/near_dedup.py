@@ -28,6 +28,7 @@ from ._session import cut
 
 SIGNED = "doc_id long, n_shingles long, class binary, bands array<long>, sketch binary"
 BLOCK = 512
+SIEVE = 1 << 23
 #: Of a byte's two halves, how many are zero.
 ZERO_HALVES = np.array([(not x & 15) + (not x >> 4) for x in range(256)], np.uint8)
 
@@ -52,10 +53,12 @@ def family(size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def minima(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least value of each hash; long sets in slices."""
+    """The least value of each hash, in slices that fit into a processor's cache."""
     least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(values), 4096):
-        least = np.minimum(least, (a * values[None, at : at + 4096] + b).min(axis=1))
+    for at in range(0, len(values), 256):
+        part = a * values[None, at : at + 256]
+        part += b
+        np.minimum(least, part.min(axis=1), out=least)
     return least
 
 
@@ -70,11 +73,18 @@ def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ZERO_HALVES[x ^ y].sum(axis=-1, dtype=np.int32)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def signed(docs: DataFrame, words: int, bands: int, rows: int, hashes: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = family(hashes, seed)
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
-        for batch in batches:
+        for batch in _slices(batches):
             count, key, band, sketch = [], [], [], []
             for text in batch.column(1):
                 own = shingles(text.as_py(), words)
@@ -94,13 +104,51 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int, hashes: int, seed
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
 
 
+def of_members(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Different rows of docs(doc_id, text) with an id in ids(id). A bitmap of SIEVE bits, at most SIEVE / 64 rows however many ids
+    there are, goes to the scan and keeps most other texts out of the shuffle; the join behind it is exact."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
+    word, bit = (lambda c: F.shiftright(place(c), 6)), (lambda c: place(c).bitwiseAND(F.lit(63)).cast("int"))
+    sieve = ids.groupBy(word("id").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit("id"))).alias("bits"))
+    near = docs.withColumn("word", word("doc_id")).join(F.broadcast(sieve), "word").where(F.call_function("shiftrightunsigned", F.col("bits"), bit("doc_id")).bitwiseAND(F.lit(1)) == 1)
+    rows = near.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    # repeated rows once; this needs no further shuffle
+    return rows.groupBy("doc_id", F.xxhash64("text").alias("mark")).agg(F.first("text").alias("text")).select("doc_id", "text")
+
+
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
+    """docs(doc_id, text) -> id, set (hashes in order), short (their last 16 bits in order)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            values = [shingles(t.as_py(), words) for t in batch.column(1)]
+            short = [np.sort(v.astype(np.uint16)).tobytes() for v in values]
+            yield pa.record_batch([batch.column(0), pa.array([v.tobytes() for v in values], pa.binary()), pa.array(short, pa.binary())], names=["id", "set", "short"])
+
+    return docs.mapInArrow(run, "id long, set binary, short binary")
+
+
+def in_common(x: np.ndarray, y: np.ndarray) -> int:
+    """Elements that two sorted arrays share, repeated ones as often as both have them."""
+    v, n = np.unique(x, return_counts=True)
+    w, m = np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(v, w, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], m[j]).sum())
+
+
+def possible(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs(u, v, xu, xv) with short sets those that may have a link: shortening never lowers what is in common."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [shingles(t.as_py(), words).tobytes() for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(values, pa.binary())], names=["id", "set"])
+            yes = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint16), np.frombuffer(y.as_py(), np.uint16)
+                both = in_common(x, y)
+                yes.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(yes, pa.bool_()))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "id long, set binary")
+    return pairs.select("u", "v", "xu", "xv").mapInArrow(run, "u long, v long")
 
 
 def close_sketches(pairs: DataFrame, least: int, width: int) -> DataFrame:
@@ -209,12 +257,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1").select("bucket", "pivot")
     members = cut(placed.join(shared, "bucket"))
     sketch = classes.select("id", "sketch")
-    sets = cut(sets_of(docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), words).dropDuplicates(["id", "set"]))
+    texts = of_members(docs.select(F.col("doc_id").cast("long"), "text"), members.select("id").distinct())
+    sets = cut(sets_of(texts, words))
 
     def confirm(close: DataFrame) -> DataFrame:
         """Distinct pairs(u, v) of classes -> the links among them."""
-        xu, xv = sets.toDF("u", "xu"), sets.toDF("v", "xv")
-        return linked(close.join(xv, "v").join(xu, "u"), percent)
+        side = lambda c, name: sets.select(F.col("id").alias(name), F.col(c).alias("x" + name))
+        maybe = possible(close.join(side("short", "v"), "v").join(side("short", "u"), "u"), percent)
+        return linked(maybe.join(side("set", "v"), "v").join(side("set", "u"), "u"), percent)
 
     # rows that repeat a doc_id with other words: links of their classes
     repeats = full.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z").select("doc_id")
