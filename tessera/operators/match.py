@@ -17,6 +17,8 @@ from .session import cut
 
 PAIRS = "base_id string, head_id string, rationale string"
 SAME_LOGIC_NAMES = 0.85
+#: Up to so many candidates one task assigns them in order; rounds would only add jobs.
+SMALL = 20_000
 
 
 def unclaimed(symbols: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
@@ -35,14 +37,30 @@ def by_rename(base: DataFrame, head: DataFrame, renames: DataFrame) -> DataFrame
 
 def assign(candidates: DataFrame) -> DataFrame:
     """candidates(base_id, head_id, score) -> one-to-one pairs(base_id, head_id), best first."""
-    left, done = cut(candidates), None
+    left, done = cut(candidates.select("base_id", "head_id", "score")), None
+    if left.count() <= SMALL:
+        return left.coalesce(1).mapInPandas(_in_order, "base_id string, head_id string")
     while not left.isEmpty():
         order = [F.desc("score"), "base_id", "head_id"]
         ranked = left.withColumn("b", F.row_number().over(Window.partitionBy("base_id").orderBy(*order))).withColumn("h", F.row_number().over(Window.partitionBy("head_id").orderBy(*order)))
         best = cut(ranked.where("b = 1 and h = 1").select("base_id", "head_id"))
         done = best if done is None else done.unionByName(best)
         left = cut(left.join(best.select("base_id"), "base_id", "left_anti").join(best.select("head_id"), "head_id", "left_anti"))
-    return candidates.select("base_id", "head_id").limit(0) if done is None else done
+    return done
+
+
+def _in_order(batches):
+    """Sequential acceptance of one task's candidates."""
+    import pandas as pd
+
+    rows = [r for pdf in batches for r in pdf.itertuples(index=False)]
+    base, head, out = set(), set(), []
+    for r in sorted(rows, key=lambda r: (-r.score, r.base_id, r.head_id)):
+        if r.base_id not in base and r.head_id not in head:
+            base.add(r.base_id)
+            head.add(r.head_id)
+            out.append((r.base_id, r.head_id))
+    yield pd.DataFrame(out, columns=["base_id", "head_id"])
 
 
 def _logic(symbols: DataFrame, prefix: str) -> DataFrame:

@@ -65,7 +65,9 @@ def test_propagation(spark):
         propagated(spark, {"A": []}, [("A", "Z", "high")])
 
 
-def test_strong_components(spark):
+@pytest.mark.parametrize("small", [0, 50_000])
+def test_strong_components(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
     import random
 
     r = random.Random(4)
@@ -81,6 +83,15 @@ def test_strong_components(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("small", [0, 50_000])
+def test_weak_components(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
+    pairs = [("n3", "n1"), ("n9", "n3"), ("b", "a"), ("b", "c"), ("z", "z"), ("n1", "n0"), (None, "a")]
+    got = {r.id: r.label for r in graph.components(spark.createDataFrame(pairs, "u string, v string")).collect()}
+    assert got == {"n0": "n0", "n1": "n0", "n3": "n0", "n9": "n0", "a": "a", "b": "a", "c": "a"}
+    assert graph.components(spark.createDataFrame([], "u string, v string")).count() == 0
+
+
 def call(t, line=1, resolved=None):
     return (t, line, resolved)
 
@@ -135,7 +146,9 @@ def test_pairing_of_chains(spark):
     assert len(got) == 4 and len({a for a, _ in got}) == 4 and len({b for _, b in got}) == 4
 
 
-def test_greedy_equals_sequential(spark):
+@pytest.mark.parametrize("small", [0, 20_000])
+def test_greedy_equals_sequential(spark, monkeypatch, small):
+    monkeypatch.setattr(match, "SMALL", small)
     import random
 
     r = random.Random(2)
