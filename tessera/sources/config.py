@@ -13,6 +13,7 @@ NAMES = ("tessera.jsonc", "tessera.json")
 MARKERS = (".git", "pnpm-workspace.yaml", "turbo.json", "nx.json", "lerna.json", "go.work", ".tessera-workspace")
 LOCKS = (("pnpm-lock.yaml", "pnpm"), ("yarn.lock", "yarn"), ("bun.lockb", "bun"), ("bun.lock", "bun"), ("package-lock.json", "npm"))
 RESERVED = ("core", "tessera", "_", "framework:hint")
+HINTS = "config-hints"
 
 
 class BadConfig(ValueError):
@@ -179,7 +180,7 @@ class Registry:
         for space in ("effects", "extKinds", "derivedBy"):
             for v in provides.get(space, []):
                 key = (space, v)
-                if v.split(":")[0] in RESERVED or any(v == r or v.startswith(r + ":") for r in RESERVED):
+                if name != HINTS and (v.split(":")[0] in RESERVED or any(v == r or v.startswith(r + ":") for r in RESERVED)):
                     raise BadConfig(f"reserved: {v}")
                 if key in self.ids or key in new_ids:
                     raise BadConfig(f"duplicate-id: {v}")
@@ -214,4 +215,4 @@ def hint_manifest(hints: list[dict]) -> dict | None:
     if not hints:
         return None
     tag = lambda h: "framework:hint:" + h["name"].removeprefix("framework:")
-    return {"name": "config-hints", "version": "0", "type": "framework", "provides": {"extKinds": sorted(map(tag, hints)), "derivedBy": sorted(map(tag, hints))}}
+    return {"name": HINTS, "version": "0", "type": "framework", "provides": {"extKinds": sorted(map(tag, hints)), "derivedBy": sorted(map(tag, hints))}}

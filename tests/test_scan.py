@@ -133,6 +133,9 @@ def test_config_and_files(spark, tmp_path):
     for bad in ({"name": "a"}, {"name": "b", "provides": {"extKinds": ["framework:x:q"]}}, {"name": "c", "provides": {"extKindsPrefixes": ["framework:x:y"]}}, {"name": "d", "provides": {"effectsPrefixes": ["db"]}}, {"name": "e", "provides": {"extKinds": ["core:x"]}}):
         with pytest.raises(config.BadConfig):
             r.register(bad)
+    assert config.hint_manifest([]) is None
+    r.register(config.hint_manifest([{"name": "framework:mine"}]))
+    assert r.owner("extKinds", "framework:hint:mine") == config.HINTS
     with pytest.raises(files.Ambiguous):
         files.Router({"a": (".ts",), "b": (".TS",)})
     tree = spark.createDataFrame([("é.ts", 1), ("é.ts", 1), ("ok.ts", 1), (".hidden/x.ts", 1), ("a.d.ts", 1)], "spelling string, length long").selectExpr("*", "cast('' as binary) as content")
