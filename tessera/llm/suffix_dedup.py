@@ -33,16 +33,22 @@ from pyspark.sql import types as T
 from ._bytes import Prefix, mix, sliding_min
 from ._session import register_grouping_sort
 
-CHUNK_BYTES = 8 << 20
-SLICE = 1 << 20
+CHUNK_BYTES = 4 << 20
+SLICE = 1 << 18
 MESSAGE = "chunk int, kind int, bucket int, a binary, b binary"
 FOUND = "n_bytes long, removed array<struct<start: long, end: long>>, kept binary"
 
 
+def bucket_of(name: np.ndarray, buckets: int) -> np.ndarray:
+    """By the high half, so that what is in order of name is in order of bucket too."""
+    return (((name >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
 class Items:
     """The items of a chunk's documents, in order of document and place."""
 
     def __init__(self, table: pa.Table, width: int, gram: int, buckets: int):
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
         self.width, self.buckets = width, buckets
         self.ids = table.column("doc_id").to_pylist()
         self.texts = [(t or "").encode("utf-8", "surrogatepass") if isinstance(t, str) or t is None else bytes(t) for t in table.column("text").to_pylist()]
@@ -62,7 +68,7 @@ class Items:
         self.row, self.start, self.stop, self.name, self.form = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else empty
         ids = np.array([-1 if i is None else i for i in self.ids] or [0], np.int64)
         self.doc = ids[self.row]
-        self.bucket = (self.name % np.uint64(buckets)).astype(np.int64)
+        self.bucket = bucket_of(self.name, buckets)
 
     def _slice(self, rows: list[int], gram: int, most: int) -> tuple[np.ndarray, ...]:
         texts = [self.texts[r] for r in rows]
@@ -85,16 +91,16 @@ class Items:
         last = np.minimum(first + most, np.repeat(stop, pieces))
         owner = np.repeat(owner, pieces)
         form = prefix.spans(first, last - 1 + self.width)
-        return np.array(rows, np.int64)[owner], first - begins[owner], last - begins[owner], least[first], form
+        return np.array(rows, np.int64)[owner], first - begins[owner], last - begins[owner], mix(least[first]), form
 
     def names(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct names by (bucket, name), whether several documents here have them, and each item's name."""
-        order = np.lexsort((self.doc, self.name, self.bucket))
+        """Distinct names in order, whether several documents here have them, and each item's name."""
+        order = np.argsort(self.name, kind="stable")
         name, doc = self.name[order], self.doc[order]
         new = np.concatenate([[True], name[1:] != name[:-1]]) if len(name) else np.zeros(0, bool)
         at = np.cumsum(new) - 1
         several = np.zeros(int(new.sum()), bool)
-        several[at[1:][~new[1:] & (doc[1:] != doc[:-1])]] = True
+        several[at[doc != doc[new][at]]] = True
         where = np.empty(len(name), np.int64)
         where[order] = at
         return name[new], several, where
@@ -102,7 +108,7 @@ class Items:
     def forms(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (name, form) of the items `of` by bucket, name and form; their smallest documents; each one's index;
         an item of the smallest document."""
-        order = of[np.lexsort((self.doc[of], self.form[of], self.name[of], self.bucket[of]))]
+        order = of[np.lexsort((self.doc[of], self.form[of], self.name[of]))]
         name, form = self.name[order], self.form[order]
         new = np.concatenate([[True], (name[1:] != name[:-1]) | (form[1:] != form[:-1])]) if len(order) else np.zeros(0, bool)
         where = np.full(len(self.name), -1, np.int64)
@@ -136,7 +142,7 @@ def _repeated(items: Items, replies: pa.Table) -> np.ndarray:
     """The items whose name occurs in several documents of the corpus."""
     name, _, where = items.names()
     answer = _answers(replies, 1)
-    flags = [np.unpackbits(np.frombuffer(answer[b][0], np.uint8), count=at.stop - at.start).astype(bool) for b, at in _by_bucket((name % np.uint64(items.buckets)).astype(np.int64))]
+    flags = [np.unpackbits(np.frombuffer(answer[b][0], np.uint8), count=at.stop - at.start).astype(bool) for b, at in _by_bucket(bucket_of(name, items.buckets))]
     return np.flatnonzero(np.concatenate(flags)[where]) if flags else np.zeros(0, np.int64)
 
 
@@ -146,7 +152,7 @@ def _settled(items: Items, replies: pa.Table) -> tuple[np.ndarray, np.ndarray, n
     of = _repeated(items, replies)
     name, form, where, sample = items.forms(of)
     answer = _answers(replies, 2)
-    parts = [answer[b] for b, _ in _by_bucket((name % np.uint64(items.buckets)).astype(np.int64))]
+    parts = [answer[b] for b, _ in _by_bucket(bucket_of(name, items.buckets))]
     least = np.concatenate([np.frombuffer(a, np.int64) for a, _ in parts]) if parts else np.zeros(0, np.int64)
     route = np.concatenate([np.frombuffer(b, np.uint8) for _, b in parts]) if parts else np.zeros(0, np.uint8)
     at = where[of]
@@ -173,15 +179,15 @@ def _hot_windows(items: Items, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
     smallest document here. Distinct ones are ordered by bucket and hash."""
     row, start, value = _windows(items, chosen)
     doc = np.array([-1 if i is None else i for i in items.ids] or [0], np.int64)[row]
-    bucket = (mix(value) % np.uint64(items.buckets)).astype(np.int64)
-    order = np.lexsort((doc, value, bucket))
+    bucket = bucket_of(value, items.buckets)
+    order = np.lexsort((doc, value))
     new = np.concatenate([[True], value[order][1:] != value[order][:-1]]) if len(order) else np.zeros(0, bool)
     where = np.empty(len(order), np.int64)
     where[order] = np.cumsum(new) - 1
     return row, start, doc, where, bucket[order[new]], order[new]
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 25, hot: int = 1024, block: int = 4 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 25, hot: int = 1024, block: int = 1 << 20) -> DataFrame:
     """docs(doc_id long, text string, ...) with n_bytes, removed (byte ranges of the text, disjoint and in order) and kept
     (the remaining bytes) added. See the module's text."""
     if not 0 < gram <= width:
@@ -198,7 +204,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 25, hot: int =
     def ask_names(key: tuple, table: pa.Table) -> pa.Table:
         items = make(table)
         name, several, _ = items.names()
-        return _messages([(key[0].as_py(), 1, b, name[at].tobytes(), np.packbits(several[at]).tobytes()) for b, at in _by_bucket((name % np.uint64(buckets)).astype(np.int64))])
+        return _messages([(key[0].as_py(), 1, b, name[at].tobytes(), np.packbits(several[at]).tobytes()) for b, at in _by_bucket(bucket_of(name, buckets))])
 
     def answer_names(key: tuple, table: pa.Table) -> pa.Table:
         sent = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("a")]
@@ -214,7 +220,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 25, hot: int =
         items = make(table)
         name, form, _, sample = items.forms(_repeated(items, replies))
         least = items.doc[sample]
-        return _messages([(key[0].as_py(), 2, b, np.stack([name[at], form[at]]).tobytes(), least[at].tobytes()) for b, at in _by_bucket((name % np.uint64(buckets)).astype(np.int64))])
+        return _messages([(key[0].as_py(), 2, b, np.stack([name[at], form[at]]).tobytes(), least[at].tobytes()) for b, at in _by_bucket(bucket_of(name, buckets))])
 
     def answer_forms(key: tuple, table: pa.Table) -> pa.Table:
         sent = [np.frombuffer(x.as_py(), np.uint64).reshape(2, -1) for x in table.column("a")]
