@@ -105,13 +105,14 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int, hashes: int, seed
 
 
 def of_members(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Different rows of docs(doc_id, text) with an id in ids(id). A bitmap of SIEVE bits, at most SIEVE / 64 rows however many ids
+    """Different rows of docs(doc_id, text) with an id in ids(id), which are distinct. A bitmap of SIEVE bits, at most SIEVE / 64 rows however many ids
     there are, goes to the scan and keeps most other texts out of the shuffle; the join behind it is exact."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
     word, bit = (lambda c: F.shiftright(place(c), 6)), (lambda c: place(c).bitwiseAND(F.lit(63)).cast("int"))
     sieve = ids.groupBy(word("id").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit("id"))).alias("bits"))
     near = docs.withColumn("word", word("doc_id")).join(F.broadcast(sieve), "word").where(F.call_function("shiftrightunsigned", F.col("bits"), bit("doc_id")).bitwiseAND(F.lit(1)) == 1)
-    rows = near.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    # inner, as a semi join would be moved to the scan, in front of the bitmap; ids are distinct
+    rows = near.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id")
     # repeated rows once; this needs no further shuffle
     return rows.groupBy("doc_id", F.xxhash64("text").alias("mark")).agg(F.first("text").alias("text")).select("doc_id", "text")
 
