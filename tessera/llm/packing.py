@@ -13,9 +13,11 @@ are documents of their own; a null doc_id stays null. Other columns are not read
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -41,10 +43,8 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.special = [str(t.content) for t in self.slow.get_added_tokens_decoder().values()]
+        self.path = path
+        self.special = [t["content"] for t in json.loads(Path(path).read_bytes()).get("added_tokens", [])]
         self.fast = None
         ranks = Path(path).with_suffix(".tiktoken")
         if ranks.exists():
@@ -57,6 +57,13 @@ class Encoder:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    @cached_property
+    def slow(self):
+        """Loaded where it is needed; workers outlive their tasks and would hold it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
