@@ -118,8 +118,94 @@ def name_candidates(base: DataFrame, head: DataFrame) -> DataFrame:
     return near.withColumn("score", score).where("score >= need").select("base_id", "head_id", "score")
 
 
+def name_classes(symbols: DataFrame) -> DataFrame:
+    """(id, class) of the symbols that stage 4 looks at. Those of one name, kind and signature have the same candidates at
+    the same scores; the least id names their class."""
+    fine = symbols.where(~F.col("dropped") & text.says_enough(F.col("name"))).select("id", F.to_json(F.struct("name", "kind", "signature")).alias("key"))
+    return fine.join(fine.groupBy("key").agg(F.min("id").alias("class")), "key").select("id", "class")
+
+
 def by_name(base: DataFrame, head: DataFrame) -> DataFrame:
-    return assign(name_candidates(base, head)).withColumn("rationale", F.lit("name-signature"))
+    """Classes are scored once, all their members are assigned."""
+    b, h = cut(name_classes(base)), cut(name_classes(head))
+    firsts = lambda d, c: d.join(c.select(F.col("class").alias("id")).distinct(), "id", "left_semi")
+    return assign_members(name_candidates(firsts(base, b), firsts(head, h)), b, h).withColumn("rationale", F.lit("name-signature"))
+
+
+def assign_members(pairs: DataFrame, base: DataFrame, head: DataFrame) -> DataFrame:
+    """pairs(base_id, head_id, score) of classes and both sides' members(id, class) -> what `assign` gives on all pairs of
+    members, without listing them. Two classes that are each other's only best ones take each other's members in order
+    of id. Where none are, the classes tied at the highest score do so in one task for each connected part."""
+    left, done = cut(pairs.select(F.col("base_id").alias("base_class"), F.col("head_id").alias("head_class"), "score")), None
+    side = lambda d, p: d.select(F.col("class").alias(f"{p}_class"), F.col("id").alias(f"{p}_id"))
+    b, h = (side(d, p).join(left.select(f"{p}_class").distinct(), f"{p}_class", "left_semi") for d, p in ((base, "base"), (head, "head")))
+    b, h = cut(b), cut(h)
+    members = b.count() + h.count()
+    if members == b.select("base_class").distinct().count() + h.select("head_class").distinct().count():
+        return assign(left.select(F.col("base_class").alias("base_id"), F.col("head_class").alias("head_id"), "score"))
+    if members + left.count() <= SMALL:
+        return _listed(left, b, h).coalesce(1).mapInPandas(_members_in_order, "base_id string, head_id string")
+    while not left.isEmpty():
+        best = left
+        for c in ("base_class", "head_class"):
+            w = Window.partitionBy(c)
+            best = best.withColumn(f"{c}_best", F.max("score").over(w)).withColumn(f"{c}_ties", F.count(F.when(F.col("score") == F.col(f"{c}_best"), 1)).over(w))
+        only = cut(best.where("score = base_class_best and score = head_class_best and base_class_ties = 1 and head_class_ties = 1").select("base_class", "head_class"))
+        if only.isEmpty():
+            top = cut(left.join(left.agg(F.max("score").alias("score")), "score"))
+            made = _tied(top, b, h)
+        else:
+            place = lambda d, p: d.withColumn("place", F.row_number().over(Window.partitionBy(f"{p}_class").orderBy(f"{p}_id")))
+            made = only.join(place(b, "base"), "base_class").join(place(h, "head"), ["head_class", "place"]).select("base_id", "head_id")
+        made = cut(made)
+        done = made if done is None else done.unionByName(made)
+        b, h = cut(b.join(made, "base_id", "left_anti")), cut(h.join(made, "head_id", "left_anti"))
+        left = cut(left.join(b, "base_class", "left_semi").join(h, "head_class", "left_semi"))
+    return done
+
+
+def _listed(pairs: DataFrame, base: DataFrame, head: DataFrame) -> DataFrame:
+    """Pairs of classes and members in one table; a pair has no ids, a member only its own."""
+    return pairs.unionByName(base, allowMissingColumns=True).unionByName(head, allowMissingColumns=True)
+
+
+def _tied(top: DataFrame, base: DataFrame, head: DataFrame) -> DataFrame:
+    """Assignment within pairs of classes of one score."""
+    from .graph import components
+
+    u, v = F.concat(F.lit("b:"), "base_class"), F.concat(F.lit("h:"), "head_class")
+    label = cut(components(top.select(u.alias("u"), v.alias("v"))))
+    of = lambda d, node: d.join(label.select(F.col("id").alias("node"), "label"), node == F.col("node")).drop("node")
+    rows = _listed(of(top, u), of(base, u), of(head, v))
+    return rows.groupBy("label").applyInPandas(lambda pdf: next(_members_in_order([pdf])), "base_id string, head_id string")
+
+
+def _members_in_order(batches):
+    """Sequential acceptance without a list of the members' pairs: from the highest score down, each base in order of id
+    takes the least head that is left in the classes its own is paired with."""
+    import pandas as pd
+
+    rows = pd.concat(list(batches))
+    waiting, heads, levels, out = {}, {}, {}, []
+    for r in rows.itertuples(index=False):
+        if isinstance(r.base_id, str):
+            waiting.setdefault(r.base_class, []).append(r.base_id)
+        elif isinstance(r.head_id, str):
+            heads.setdefault(r.head_class, []).append(r.head_id)
+        else:
+            levels.setdefault(r.score, {}).setdefault(r.base_class, []).append(r.head_class)
+    for ids_ in heads.values():
+        ids_.sort(reverse=True)
+    for score in sorted(levels, reverse=True):
+        near = levels[score]
+        for base, own in sorted((i, c) for c in near for i in waiting.get(c, ())):
+            open_ = [heads[c] for c in near[own] if heads.get(c)]
+            if open_:
+                out.append((base, min(open_, key=lambda x: x[-1]).pop()))
+        used = {b for b, _ in out}
+        for c in near:
+            waiting[c] = [i for i in waiting.get(c, ()) if i not in used]
+    yield pd.DataFrame(out, columns=["base_id", "head_id"])
 
 
 def sole_candidates(base: DataFrame, head: DataFrame) -> DataFrame:

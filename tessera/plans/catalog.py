@@ -156,7 +156,7 @@ c AS (SELECT base_id, head_id, round(0.5 * member + 0.3 + 0.2, 9) AS score FROM
 
 
 def _stage4_sides(spark, sf_dir):
-    """One part for each brand, kind and name, so that no name stands for many."""
+    """The least part of each brand, kind and name, whose candidates are those of all parts of that class."""
     sides = []
     for head in (False, True):
         s = _part_symbols(spark, sf_dir, head)
@@ -167,13 +167,22 @@ def _stage4_sides(spark, sf_dir):
 
 @query(f"WITH {STAGE4} SELECT * FROM c")
 def diff_stage4_candidates(spark, sf_dir):
+    """Pairs of classes by their least parts, as the SQL has them; diff_stage4_classes has every part's class."""
     b, h = _stage4_sides(spark, sf_dir)
     return match.name_candidates(b, h).select("base_id", "head_id", F.round("score", 9).alias("score"))
 
 
+@query("SELECT side || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS id, side || lpad(CAST(min(p_partkey) OVER (PARTITION BY side, regexp_replace(p_brand, '[#0-9]', '', 'g'), p_size <= 25, p_name) AS VARCHAR), 9, '0') AS class FROM part, (VALUES ('b'), ('h')) t(side)")
+def diff_stage4_classes(spark, sf_dir):
+    """The class of every part on both sides."""
+    b, h = (match.name_classes(_part_symbols(spark, sf_dir, head)) for head in (False, True))
+    return b.unionByName(h)
+
+
 @query()
 def diff_stage4_matches(spark, sf_dir):
-    return match.by_name(*_stage4_sides(spark, sf_dir))
+    """All parts, one to one."""
+    return match.by_name(_part_symbols(spark, sf_dir, False), _part_symbols(spark, sf_dir, True))
 
 
 @query(f"WITH {SNAPSHOTS}, bd AS (SELECT regexp_extract(id, '[^.#]*$') AS key, min(id) AS id FROM base WHERE dropped GROUP BY 1 HAVING count(*) = 1), hd AS (SELECT regexp_extract(id, '[^.#]*$') AS key, min(id) AS id FROM head WHERE dropped GROUP BY 1 HAVING count(*) = 1), bf AS (SELECT regexp_extract(file, '[^/]*$') AS key, min(id) AS id FROM base WHERE dropped GROUP BY 1 HAVING count(*) = 1), hf AS (SELECT regexp_extract(file, '[^/]*$') AS key, min(id) AS id FROM head WHERE dropped GROUP BY 1 HAVING count(*) = 1) SELECT bd.id AS base_id, hd.id AS head_id FROM bd JOIN hd USING (key) UNION SELECT bf.id, hf.id FROM bf JOIN hf USING (key)")

@@ -162,6 +162,35 @@ def test_greedy_equals_sequential(spark, monkeypatch, small):
     assert {tuple(x) for x in match.assign(df).collect()} == want
 
 
+@pytest.mark.parametrize("small", [0, 20_000])
+def test_members_of_classes_equal_sequential(spark, monkeypatch, small):
+    monkeypatch.setattr(match, "SMALL", small)
+    import random
+
+    r = random.Random(5)
+    sides = [{f"{p}{i:02}": r.randrange(9) for i in range(60)} for p in "bh"]
+    scores = {(i, j): r.choice([0.85, 0.9, 0.95, 1.0]) for i in range(9) for j in range(9) if r.random() < 0.3}
+    used, want = set(), set()
+    for _, b, h in sorted((-scores[i, j], b, h) for b, i in sides[0].items() for h, j in sides[1].items() if (i, j) in scores):
+        if b not in used and h not in used:
+            used |= {b, h}
+            want.add((b, h))
+    first = [{c: min(x for x in side if side[x] == c) for c in side.values()} for side in sides]
+    members = [spark.createDataFrame([(x, f[c]) for x, c in side.items()], "id string, class string") for side, f in zip(sides, first)]
+    pairs = spark.createDataFrame([(first[0][i], first[1][j], s) for (i, j), s in scores.items() if i in first[0] and j in first[1]], "base_id string, head_id string, score double")
+    assert {tuple(x) for x in match.assign_members(pairs, *members).collect()} == want
+
+
+def test_stage4_pairs_every_part(spark):
+    from tessera.plans import catalog
+
+    path = "/root/testdata/sf0.001"
+    got = [(r.base_id, r.head_id) for r in catalog.diff_stage4_matches(spark, path).collect()]
+    parts = spark.read.parquet(f"{path}/part.parquet").count()
+    assert len(got) == parts and len({b for b, _ in got}) == parts and len({h for _, h in got}) == parts
+    assert all(b[1:] == h[1:] for b, h in got)
+
+
 def test_gates(spark):
     counters = spark.createDataFrame([(0, 11, 3, 2)], "added long, changed long, to_dropped long, moved_changed long")
     ask = lambda g, wide=False: [r.clause for r in gate.first_tripped(gate.evaluate(gate.parse(g, wide), counters)).collect()]
