@@ -3,9 +3,14 @@
 Two smoothed variable-order Markov models, one of accepted and one of rejected URLs, give a URL's length-normalised
 log-likelihood difference; a logistic curve fitted on URLs held out from both turns it into the probability of rejection.
 Orders 0 to `order` are interpolated as Witten and Bell do: a context lends the shorter one as much weight as it has
-different successors. Counts lie in hashed tables of a fixed size, so what goes to the executors does not grow with the
-input. Host rules take precedence over the models, and the URLs that rules decide are what the models learn from; at most
-`sample` URLs of each verdict and of at most `longest` bytes are used, taken by hash. All URLs are judged whole.
+different successors. Host rules take precedence over the models, and the rows that rules decide are what the models learn
+from: all of them, each as often as it occurs, whatever its length. Only the curve is fitted on a bounded sample, at most
+`sample` URLs of each verdict by hash out of a fifth that the models leave out for it; afterwards they count that fifth too.
+
+A byte's probability depends on its window, the byte and the `order` before it, which is one exact 64-bit number. Windows
+are counted by sums that combine before the shuffle, and their suffixes' counts are added up from them. URLs are judged in
+blocks: each block asks for its different windows once, which are joined to the counts, so neither the driver nor an
+executor holds a table that grows with the input, and a window that stands in every URL is moved once for each block.
 
 Without a rule, a null or empty URL is allowed. Where one of the two verdicts has no example, rules alone decide and every
 other URL is allowed. Repeated rows each get their verdict; other columns are not read.
@@ -18,15 +23,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import mix
+from ._session import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (rule, verdict) of the registered query.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "allow"))
+#: Bits of one place of a window: 0 none, 1 to 256 a byte, 257 what stands before a URL.
+PLACE = 9
+#: Most rows and, beyond one URL, bytes of a block.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 1 << 22
 
 
 def host_of(url: Column) -> Column:
@@ -51,7 +62,8 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) ->
 
 
 class Markov:
-    """Interpolated character model over bytes, in tables of 2**bits counts for each order."""
+    """Interpolated character model of a list in memory, in tables of 2**bits counts for each order. The filter counts
+    by joins instead, without a table of a fixed size."""
 
     def __init__(self, order: int = 5, bits: int = 17):
         self.order, self.mask = order, np.uint64((1 << bits) - 1)
@@ -102,22 +114,129 @@ def _joined(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(u + b"\0" for u in urls), np.uint8), np.cumsum(lengths) - lengths
 
 
+def windows(urls: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte and each URL's end the number of its window, its own place lowest, and where each URL begins."""
+    data, begins = _joined(urls)
+    place = np.arange(len(data)) - np.repeat(begins, np.diff(np.append(begins, len(data))))
+    out = data.astype(np.int64) + 1
+    for k in range(1, order + 1):
+        back = np.full(len(data), 257, np.int64)
+        back[k:] = data[:-k].astype(np.int64) + 1
+        back[place < k] = 257
+        out |= back << (PLACE * k)
+    return out, begins
+
+
+def _bytes(column: pa.Array) -> list[bytes | None]:
+    return [u.encode("utf-8", "surrogatepass") if isinstance(u, str) else u for u in column.to_pylist()]
+
+
+def _runs(urls: list[bytes]) -> Iterator[slice]:
+    """Slices of at most BLOCK_ROWS URLs and BLOCK_BYTES bytes, or one URL."""
+    start, size = 0, 0
+    for i, u in enumerate(urls):
+        if i > start and (i - start == BLOCK_ROWS or size + len(u or b"") > BLOCK_BYTES):
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(u or b"")
+    if urls:
+        yield slice(start, len(urls))
+
+
+def count_windows(known: DataFrame, order: int) -> DataFrame:
+    """known(url, block, held) -> window with the rows' counts: allow, block, and of those held out allow_held, block_held."""
+    names = ["allow", "block", "allow_held", "block_held"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            urls = _bytes(batch.column("url"))
+            kind = np.array(batch.column("block").to_pylist(), np.int64) + 2 * np.array(batch.column("held").to_pylist(), np.int64)
+            for part in _runs(urls):
+                found, begins = windows(urls[part], order)
+                which = np.repeat(kind[part], np.diff(np.append(begins, len(found))))
+                each, at = np.unique(found, return_inverse=True)
+                counts = np.bincount(at * 4 + which, minlength=4 * len(each)).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([pa.array(each), *(pa.array(counts[:, i].astype(np.int64)) for i in range(4))], ["window", *names])
+
+    counted = known.select("url", "block", "held").mapInArrow(run, "window long, " + ", ".join(f"{n} long" for n in names))
+    return counted.groupBy("window").agg(*(F.sum(n).alias(n) for n in names))
+
+
 @dataclass
 class Filter:
-    accepted: Markov
-    rejected: Markov
-    slope: float
-    shift: float
-
-    def ratio(self, urls: list[bytes]) -> np.ndarray:
-        """Log-likelihood difference, rejected less accepted, for each byte."""
-        if not urls:
-            return np.zeros(0)
-        length = np.array([len(u) + 1 for u in urls])
-        return (self.rejected.score(urls) - self.accepted.score(urls)) / length
+    """counts(window, allow, block) and the curve."""
+
+    counts: DataFrame
+    order: int
+    slope: float = 1.0
+    shift: float = 0.0
+
+    def _suffixes(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """Each window's gram of every order k, and the gram without its last byte."""
+        wide = rows.select("window", *columns, F.explode(F.sequence(F.lit(0), F.lit(self.order))).alias("k"))
+        gram = wide.withColumn("gram", F.expr(f"window & (shiftleft(1L, {PLACE} * (k + 1)) - 1)"))
+        return gram.withColumn("context", F.shiftright("gram", PLACE))
+
+    def differences(self, asked: DataFrame) -> DataFrame:
+        """asked(window), distinct -> (window, d): log probability of its byte, rejected less accepted."""
+        grams = self._suffixes(self.counts, "allow", "block").groupBy("k", "gram", "context").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+        sums = [f(v).alias(f"{n}_{v}") for v in ("allow", "block") for n, f in (("total", F.sum), ("kinds", lambda v: F.count_if(F.col(v) > 0)))]
+        contexts = grams.groupBy("k", "context").agg(*sums)
+        need, met = self._suffixes(asked), None
+        # a context of one byte or none belongs to many windows, but there are at most 259 of them
+        for part, few in (("k <= 1", F.broadcast), ("k > 1", lambda d: d)):
+            rows = need.where(part).join(grams.drop("context").where(part), ["k", "gram"], "left").join(few(contexts.where(part)), ["k", "context"], "left")
+            met = rows if met is None else met.unionByName(rows)
+        steps = F.array_sort(F.collect_list(F.struct("k", *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for v in ("allow", "block") for c in (v, f"total_{v}", f"kinds_{v}")))))
+
+        def log(v: str) -> Column:
+            step = lambda p, s: F.when(s[f"total_{v}"] > 0, (s[v] + s[f"kinds_{v}"] * p) / (s[f"total_{v}"] + s[f"kinds_{v}"])).otherwise(p)
+            return F.log(F.aggregate("steps", F.lit(1 / 257), step))
+
+        return met.groupBy("window").agg(steps.alias("steps")).select("window", (log("block") - log("allow")).alias("d"))
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """rows(url, ...) and p_reject, null where the url is; ratio is the mean of d over the URL's bytes and its end."""
+        order, schema = self.order, T.StructType([*rows.schema.fields, T.StructField("part", T.LongType())])
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = TaskContext.get().partitionId() << 40
+            for batch in batches:
+                for run in _runs(_bytes(batch.column("url"))):
+                    some = batch.slice(run.start, run.stop - run.start)
+                    yield some.append_column("part", pa.array(np.full(some.num_rows, part)))
+                    part += 1
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                urls, parts = _bytes(batch.column("url")), np.array(batch.column("part"))
+                edges = np.flatnonzero(np.diff(parts, prepend=-1))
+                for start, stop in zip(edges, np.append(edges[1:], len(parts)), strict=True):
+                    found = np.unique(windows([u for u in urls[start:stop] if u is not None], order)[0])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), parts[start])), pa.array(found)], ["part", "window"])
+
+        def add(mine: pa.Table, known: pa.Table) -> pa.Table:
+            urls, ratio = _bytes(mine.column("url")), np.full(mine.num_rows, np.nan)
+            if some := [i for i, u in enumerate(urls) if u is not None]:
+                keys, d = known.column("window").to_numpy(), known.column("d").to_numpy()
+                sort = np.argsort(keys)
+                for run in _runs([urls[i] for i in some]):
+                    found, begins = windows([urls[i] for i in some[run]], order)
+                    each = d[sort][np.searchsorted(keys[sort], found)]
+                    ratio[some[run]] = np.add.reduceat(each, begins) / np.diff(np.append(begins, len(found)))
+            return mine.append_column("ratio", pa.array(ratio, mask=np.isnan(ratio)))
+
+        dealt = cut(rows.mapInArrow(deal, schema))
+        asked = dealt.select("url", "part").mapInArrow(ask, "part long, window long")
+        known = asked.join(self.differences(asked.select("window").distinct()), "window").select("part", "window", "d")
+        out = dealt.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(add, T.StructType([*schema.fields, T.StructField("ratio", T.DoubleType())]))
+        bent = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), self.slope * F.col("ratio") + self.shift))
+        return out.drop("part").withColumn("p_reject", F.when(F.col("ratio").isNotNull(), 1 / (1 + F.exp(-bent))))
 
     def probability(self, urls: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.ratio(urls) + self.shift, -500, 500)))
+        """Of a list that the driver holds."""
+        rows = self.counts.sparkSession.createDataFrame(list(enumerate(urls)), "at long, url binary")
+        return np.array([r.p_reject for r in self.scored(rows).orderBy("at").select("p_reject").collect()])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-3) -> tuple[float, float]:
@@ -132,43 +251,36 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-3
     return float(b[0]), float(b[1])
 
 
-def fit(urls: DataFrame, rules=RULES, sample: int = 8192, longest: int = 1024, order: int = 5) -> Filter | None:
-    """urls(url) -> the filter, from URLs that a rule decides. Every fifth of the sample calibrates."""
-    rule = rule_for(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"]
-    known = urls.select("url", rule.alias("verdict")).where("verdict is not null").where(F.octet_length("url") <= longest)
-    sides = []
-    for verdict in ("allow", "block"):
-        rows = known.where(F.col("verdict") == verdict).select("url").distinct().orderBy(F.xxhash64("url"), "url").limit(sample).collect()
-        sides.append([r.url.encode("utf-8", "surrogatepass") for r in rows])
-    if not all(sides):
+def fit(urls: DataFrame, rules=RULES, sample: int = 8192, order: int = 5) -> Filter | None:
+    """urls(url) -> the filter, from all rows that a rule decides. A fifth by hash is left out while the curve is fitted on
+    at most `sample` of its URLs of each verdict; a verdict without rows in that fifth or outside it is fitted on its own."""
+    verdict = rule_for(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"]
+    known = urls.select("url", verdict.alias("verdict")).where("verdict is not null")
+    known = known.select("url", (F.col("verdict") == "block").alias("block"), (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("held"))
+    counts = cut(count_windows(known, order))
+    seen = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.columns[1:])).first()
+    if not (seen.allow + seen.allow_held and seen.block + seen.block_held):
         return None
-    learn = [[u for i, u in enumerate(side) if i % 5 or len(side) < 5] for side in sides]
-    held = [[u for i, u in enumerate(side) if not (i % 5 or len(side) < 5)] or side for side in sides]
-    out = Filter(Markov(order).learn(learn[0]), Markov(order).learn(learn[1]), 1.0, 0.0)
-    x = np.concatenate([out.ratio(held[0]), out.ratio(held[1])])
-    out.slope, out.shift = logistic(x, np.repeat([0.0, 1.0], [len(held[0]), len(held[1])]))
-    return out
+    split = {v: bool(seen[v] and seen[f"{v}_held"]) for v in ("allow", "block")}
+    whole = {v: (F.col(v) + F.col(f"{v}_held")).alias(v) for v in split}
+    tried = Filter(counts.select("window", *(F.col(v) if split[v] else whole[v] for v in split)), order)
+    picks = None
+    for v in split:
+        side = known.where(F.col("block") == (v == "block")).where(F.col("held") if split[v] else F.lit(True))
+        pick = side.select("url", "block").distinct().orderBy(F.xxhash64("url"), "url").limit(sample)
+        picks = pick if picks is None else picks.unionByName(pick)
+    rows = tried.scored(picks).select("ratio", "block").collect()
+    rows.sort(key=lambda r: (r.block, r.ratio))
+    slope, shift = logistic(np.array([r.ratio for r in rows]), np.array([float(r.block) for r in rows]))
+    return Filter(counts.select("window", *whole.values()), order, slope, shift)
 
 
 def judge(pages: DataFrame, rules=RULES, model: Filter | None = None, reject_from: float = 0.5) -> DataFrame:
     """pages(page_id, url, ...) -> page_id, host, path, rule, verdict, p_reject (null where there was no model or URL)."""
     url = F.col("url")
     base = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
-    base = base.withColumn("hit", rule_for(F.col("host"), F.col("path"), rules))
-    sent = pages.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            urls = [u.encode("utf-8", "surrogatepass") if u else None for u in batch.column("url").to_pylist()]
-            some = [u for u in urls if u]
-            p: list[float | None] = [None] * len(urls)
-            if sent.value is not None and some:
-                at = [i for i, u in enumerate(urls) if u]
-                for i, v in zip(at, sent.value.probability(some), strict=True):
-                    p[i] = float(v)
-            yield batch.append_column("p_reject", pa.array(p, pa.float64()))
-
-    scored = base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("p_reject", T.DoubleType())]))
+    base = base.withColumn("hit", rule_for(F.col("host"), F.col("path"), rules)).withColumn("url", F.when(url != "", url))
+    scored = base.withColumn("p_reject", F.lit(None).cast("double")) if model is None else model.scored(base)
     by_model = F.when(F.col("p_reject") >= reject_from, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", by_model).alias("verdict"), "p_reject")
 

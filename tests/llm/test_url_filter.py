@@ -74,3 +74,56 @@ def test_model_against_plain_loops():
 
     test = [b"ab/", b"", b"zz", *urls[:5]]
     assert np.allclose(m.score(test), [logp(u) for u in test], atol=1e-3)
+
+
+def exact(urls, order=5):
+    """Witten-Bell by dictionaries over a list, repeats included."""
+    counts, total, kinds = {}, {}, {}
+    for u in urls:
+        s = (257,) * order + tuple(u) + (0,)
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                gram, context = s[i - k : i + 1], s[i - k : i]
+                counts[gram] = counts.get(gram, 0) + 1
+                total[context] = total.get(context, 0) + 1
+                kinds[context] = kinds.get(context, 0) + (counts[gram] == 1)
+
+    def logp(u):
+        s, out = (257,) * order + tuple(u) + (0,), 0.0
+        for i in range(order, len(s)):
+            p = 1 / 257
+            for k in range(order + 1):
+                context = s[i - k : i]
+                if context in total:
+                    p = (counts.get(s[i - k : i + 1], 0) + kinds[context] * p) / (total[context] + kinds[context])
+            out += np.log(p)
+        return out
+
+    return logp
+
+
+def test_models_learn_from_every_row(spark):
+    """Against dictionaries over all rows: URLs beyond the sample, a long one and repeats count."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    allow = [f"http://{word()}.org/es/{word()}" for _ in range(9000)] + [f"http://x.org/es/{'q' * 3000}"] + ["http://y.org/es/zz"] * 50
+    block = [f"http://{word()}.com/en/{word()}" for _ in range(300)]
+    df = spark.createDataFrame([(u,) for u in allow + block], "url string")
+    model = uf.fit(df, sample=64)
+    raw = lambda urls: [u.encode() for u in urls]
+    yes, no = exact(raw(allow)), exact(raw(block))
+    some = raw(["http://x.org/es/qqqqqqqqqq", "http://y.org/es/zz", "http://new.net/\u00e9", "", *allow[:3], allow[9000], *block[:3]])
+    want = [(no(u) - yes(u)) / (len(u) + 1) for u in some]
+    rows = spark.createDataFrame(list(enumerate(some)), "at long, url binary")
+    got = [x.ratio for x in model.scored(rows).orderBy("at").collect()]
+    assert np.allclose(got, want, atol=1e-9)
+
+
+def test_judging_with_a_model_and_missing_urls(spark):
+    known = [("http://a.com/en/1",), ("http://a.com/en/2",), ("http://b.org/es/1",), ("http://c.org/es/2",)]
+    model = uf.fit(spark.createDataFrame(known, "url string"))
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "http://z.net/x"), (3, "http://z.net/x")], "page_id long, url string")
+    got = sorted(((r.page_id, r.verdict, r.p_reject) for r in uf.judge(df, model=model).collect()), key=str)
+    assert got[:2] == [(1, "allow", None), (2, "allow", None)]
+    assert got[2] == got[3] and got[2][1] == ("block" if got[2][2] >= 0.5 else "allow")
+    assert uf.judge(df.limit(0), model=model).count() == 0 and len(model.probability([])) == 0
