@@ -3,9 +3,9 @@
 The lines of a conversation, row after row in order of (turn, role, text), are the observations; the states are ROLES. A
 line shows a speaker marker ("Human:", "### Assistant:", "[bot]:" and the like; a row's role stands as a marker before its
 first line, if it is known) and a shape: its length's class, whether it asks, whether it begins a row. Start, transition
-and emission probabilities are relative frequencies over all rows with a known role, with added counts; the tables' size
-does not depend on the input. Viterbi gives the most likely roles; of equally likely paths the one with the smallest roles
-in order from the end.
+and emission probabilities are relative frequencies over all rows of conversations with a known role, with added counts;
+the tables' size does not depend on the input. Viterbi gives the most likely roles; of equally likely paths the one with
+the smallest roles in order from the end.
 
 A turn is a run of lines of one role in a row; a marker begins a new one. Its text loses its markers and becomes
 `<|im_start|>role\\ntext<|im_end|>\\n`. One row comes back for each turn.
@@ -14,8 +14,8 @@ A conversation may be very long: it is cut into blocks of `block` turn numbers.
 roles at its edges form a max-plus matrix; chaining these small matrices gives each block its entry and exit role, and the
 blocks are decoded apart from each other, with the same result as over the whole.
 
-Nulls: a row with a null conv_id is a conversation of its own; a null turn comes first; a null text is one empty line; a
-null or unknown role is recovered. Repeated rows are turns of their own. Other columns are not read. Without any known
+Nulls: a row with a null conv_id is a conversation of its own, from which nothing is learned; a null turn comes first; a
+null text is one empty line; a null or unknown role is recovered. Repeated rows are turns of their own. Other columns are not read. Without any known
 role, all probabilities are even.
 """
 
@@ -131,12 +131,16 @@ def _placed(rows: DataFrame, block: int) -> DataFrame:
 
 
 def fit(rows: DataFrame, block: int = 512) -> Hmm:
-    """Counts over all rows whose role is known."""
+    """Counts over all rows of conversations whose role is known. Moves between blocks are counted from one row for each
+    block. Rows without a conv_id are not learned from."""
     own = F.when(F.col("role").isin(*ROLES), F.col("role"))
     placed = _placed(rows, block).where("conv_id is not null").withColumn("role", own)
     before = F.lag("role").over(Window.partitionBy("conv_id", "block").orderBy("turn", "role", F.xxhash64("text")))
-    moves = placed.select("role", before.alias("before"), "turn").where("role is not null")
-    pairs = moves.where("before is not null").groupBy(F.col("before").alias("a"), F.col("role").alias("b")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("move"))
+    inside = placed.select(before.alias("a"), F.col("role").alias("b"))
+    order = F.struct("turn", "role", F.xxhash64("text"))
+    ends = placed.groupBy("conv_id", "block").agg(F.min_by("role", order).alias("b"), F.max_by("role", order).alias("last"))
+    across = ends.select(F.lag("last").over(Window.partitionBy("conv_id").orderBy("block")).alias("a"), "b")
+    pairs = inside.unionByName(across).where("a is not null and b is not null").groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("kind", F.lit("move"))
     first = placed.groupBy("conv_id").agg(F.min(F.struct(F.col("turn").alias("t"), F.col("role").alias("a"))).alias("x")).where("x.a is not null").groupBy("x.a").agg(F.count("*").alias("n")).select("a", F.lit("").alias("b"), "n", F.lit("start").alias("kind"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

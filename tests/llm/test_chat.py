@@ -55,3 +55,12 @@ def test_markers_and_rendering(spark):
     assert [g[5] for g in got if g[0] == 1] == ["<|im_start|>system\nbe kind<|im_end|>\n", "<|im_start|>user\nhi\nhow are you?<|im_end|>\n", "<|im_start|>assistant\nfine<|im_end|>\n"]
     assert (2, 0, 0, "user", 1, "<|im_start|>user\n<|im_end|>\n") in got and sum(g[0] is None for g in got) == 2
     assert c.turns(df.limit(0), c.fit(df.limit(0))).count() == 0
+
+
+def test_fit_counts_moves_between_blocks(spark):
+    df = spark.createDataFrame(corpus(3), SCHEMA)
+    whole = c.fit(df)
+    for block in (1, 2, 3):
+        cut = c.fit(df, block=block)
+        for name in ("start", "move", "mark", "shape"):
+            assert np.allclose(getattr(whole, name), getattr(cut, name)), (block, name)
