@@ -115,7 +115,7 @@ def compare(base: dict[str, DataFrame], head: dict[str, DataFrame], renames: Dat
 
 def explain(tables: dict[str, DataFrame], what: str) -> tuple[str, list[str]]:
     """(kind, ids): single, ambiguous, not-found, or unknown where the file was not read. An id is looked up as such, a
-    path by file, anything else in names."""
+    path by file, anything else in names. All ids that fit come back, in order; the driver holds them."""
     symbols = tables["symbols"]
     if "#" in what:
         rows = symbols.where(F.col("id") == what)
@@ -125,5 +125,5 @@ def explain(tables: dict[str, DataFrame], what: str) -> tuple[str, list[str]]:
         return "unknown", []
     else:
         rows = symbols.where(F.contains("name", F.lit(what)))
-    ids = [r.id for r in rows.select("id").orderBy("id").limit(1000).collect()]
+    ids = [r.id for r in rows.select("id").orderBy("id").collect()]
     return ("not-found" if not ids else "single" if len(ids) == 1 else "ambiguous"), ids

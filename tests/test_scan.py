@@ -102,6 +102,12 @@ def test_diff_and_pages(spark, scanned):
     assert engine.explain(base, "refund") == ("single", ["ts:src/billing.ts#Billing.refund"]) and engine.explain(base, "src/big.ts")[0] == "unknown" and engine.explain(base, "nothing")[0] == "not-found"
 
 
+def test_explain_lists_every_match(spark):
+    symbols = spark.range(1500).selectExpr("format_string('ts:a.ts#f%04d', id) as id", "concat('f', id) as name", "named_struct('file', 'a.ts') as source")
+    tables = {"symbols": symbols, "skipped": spark.createDataFrame([], "path string, reason string")}
+    assert engine.explain(tables, "f") == ("ambiguous", [f"ts:a.ts#f{i:04}" for i in range(1500)])
+
+
 def test_documents(spark, scanned, tmp_path):
     t = scanned[0].tables
     text = documents.write_canonical(t, str(tmp_path / "a.json"), "v1", pretty=True)
