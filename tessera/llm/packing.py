@@ -4,7 +4,7 @@ A document's ids, with the end id behind them, are cut into pieces of reciprocal
 the k in CLASSES, largest first, so that a bin of class k takes exactly k pieces and is full but for capacity mod
 floor(capacity / k) places. Every task fills the bins of each class on its own, k pieces to a bin, and knows nothing of
 other tasks; nothing is shuffled. What is left at a task's end, fewer than k pieces of each class, is laid by first fit,
-longest first, and a last bin is cut where that leaves lengths that are powers of two.
+longest first; the last of these bins, where it is not full, is cut into sequences whose lengths are powers of two.
 
 A sequence's id is the task's partition number times 2**33 plus its place in the task, so ids are unique and a task that
 runs again gives the same ones. A null text counts as empty: its document is the end id alone. Rows that repeat a doc_id
@@ -89,7 +89,7 @@ class Packer:
     def _close(self, pieces: list[tuple]) -> list[tuple]:
         rows, at = [], 0
         for p in pieces:
-            rows.append((*p, self.next, at))
+            rows.append((*p[:5], self.next, at))
             at += p[2]
         self.next += 1
         return rows
@@ -107,7 +107,8 @@ class Packer:
         per = dict(self.sizes)
         for size in self.cuts(total):
             bin_ = self.open[size]
-            bin_.append((doc, start, size, zlib.crc32(data[start : start + size]), total))
+            part = data[start : start + size]
+            bin_.append((doc, start, size, zlib.crc32(part), total, part if per[size] == 1 else part.copy()))
             start += size
             if len(bin_) == per[size]:
                 rows += self._close(bin_)
@@ -126,7 +127,23 @@ class Packer:
                     break
             else:
                 bins.append(([p], p[2]))
-        return [row for pieces, _ in bins for row in self._close(pieces)]
+        last = self._halved(*bins.pop()) if bins and bins[-1][1] < self.capacity else []
+        return [row for pieces in [*(p for p, _ in bins), *last] for row in self._close(pieces)]
+
+    def _halved(self, pieces: list[tuple], used: int) -> list[list[tuple]]:
+        """The pieces in bins of the powers of two that add up to `used`, largest first; a piece is cut where one ends."""
+        out, left = [], pieces[::-1]
+        for size in (1 << i for i in reversed(range(used.bit_length())) if used >> i & 1):
+            bin_, room = [], size
+            while room:
+                doc, start, length, crc, total, ids = left.pop()
+                if length > room:
+                    left.append((doc, start + room, length - room, zlib.crc32(ids[room:]), total, ids[room:]))
+                    length, crc, ids = room, zlib.crc32(ids[:room]), ids[:room]
+                bin_.append((doc, start, length, crc, total, ids))
+                room -= length
+            out.append(bin_)
+        return out
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:

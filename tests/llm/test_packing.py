@@ -56,6 +56,19 @@ def test_small_cases(spark, capacity):
     assert pk.pack(spark.createDataFrame([(None, "x"), (None, "x")], "doc_id long, text string"), PATH).count() >= 2
 
 
+def test_last_bin_is_cut_into_powers_of_two():
+    for n in (1, 3, 1000, 1500, 2047, 2048, 5000):
+        ids = np.arange(n, dtype=np.uint32)
+        packer = pk.Packer(2048, 0)
+        rows = packer.add(7, ids) + packer.rest()
+        at, used = 0, defaultdict(int)
+        for _, start, length, crc, total, seq, offset in sorted(rows, key=lambda r: r[1]):
+            assert start == at and total == n and crc == zlib.crc32(ids[at : at + length].astype("<u4").tobytes())
+            at += length
+            used[seq] += length
+        assert at == n and all(u & (u - 1) == 0 for u in used.values()), (n, dict(used))
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text(st.one_of(st.sampled_from("\n\r\t  'stdéÉñ<|>0123.,!?\xa0\xad\x85 語😀"), st.characters(max_codepoint=0x24F)), max_size=60))
 def test_both_libraries_agree(text):
