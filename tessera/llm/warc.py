@@ -8,7 +8,8 @@ same ones. The work is one row at a time in one scan; nothing is shuffled.
 
 Nulls: a null URL leaves out the target URI; a null page is an empty body and gives an empty text. A null page_id stays
 null. Repeated rows give equal records. Other columns are not read. A response whose HTTP head or declared length is broken
-is taken as far as it goes: what has no head is a body without headers.
+is taken as far as it goes: what has no head is a body without headers. Chunks and the codings gzip and deflate are undone
+before the text is read; a body that does not begin as its headers say, or has another coding (br, zstd), stays as it is.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -41,6 +43,7 @@ CHARSET = re.compile(rb"(?i)charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)")
 HREF = re.compile(r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
 GAP = re.compile(r"[^\S\n]+")
 LINES = re.compile(r"\s*\n\s*")
+CHUNK = re.compile(rb"[ \t]*([0-9A-Fa-f]{1,15})[ \t]*(?:;[^\r\n]*)?\r\n")
 
 
 @dataclass
@@ -113,6 +116,42 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:]) if _], body
 
 
+def codings(headers: list[tuple[str, str]], name: str) -> list[str]:
+    return [x.strip().lower() for k, v in headers if k.lower() == name for x in v.split(",") if x.strip()]
+
+
+def dechunked(body: bytes) -> bytes:
+    """The chunks' content, as far as it goes; the body itself where it does not begin with a chunk."""
+    out, at = [], 0
+    while m := CHUNK.match(body, at):
+        size = int(m[1], 16)
+        if not size:
+            return b"".join(out)
+        out.append(body[m.end() : m.end() + size])
+        at = m.end() + size + 2
+    return b"".join(out) if out else body
+
+
+def inflated(body: bytes, coding: str) -> bytes:
+    """gzip's members or deflate, with or without zlib's head, as far as it goes; the body itself where it is neither."""
+    for bits in (31,) if coding != "deflate" else (15, -15):
+        out, left, ended = [], body, False
+        try:
+            while left:
+                step = zlib.decompressobj(bits)
+                for at in range(0, len(left), 1 << 16):
+                    out.append(step.decompress(left[at : at + (1 << 16)]))
+                    if step.eof:
+                        break
+                ended = ended or step.eof
+                left = step.unused_data + left[at + (1 << 16) :] if step.eof and coding != "deflate" else b""
+        except zlib.error:
+            pass
+        if ended or any(out):
+            return b"".join(out)
+    return body
+
+
 def decoded(body: bytes, headers: list[tuple[str, str]]) -> tuple[str, str]:
     """The body's text and its character set: of the headers, else of the first 2048 bytes' markup, else UTF-8."""
     kind = next((v for k, v in headers if k.lower() == "content-type"), "").encode("latin-1", "replace")
@@ -135,7 +174,13 @@ def derive(source: Record) -> list[Record]:
     if (source.get("WARC-Type") or "").lower() != "response":
         return []
     status, headers, body = http_parts(source.block)
-    markup, charset = decoded(body, headers)
+    transfer = codings(headers, "transfer-encoding")
+    if "chunked" in transfer:
+        body = dechunked(body)
+    plain = body
+    for coding in reversed([*codings(headers, "content-encoding"), *(x for x in transfer if x != "chunked")]):
+        plain = inflated(plain, coding) if coding in ("gzip", "x-gzip", "deflate") else plain
+    markup, charset = decoded(plain, headers)
     ref = source.get("WARC-Record-ID") or identifier("unnamed", hashlib.sha256(source.block).hexdigest())
     payload = source.get("WARC-Payload-Digest") or digest(body)
     ids = {kind: identifier(kind, ref) for kind in ("metadata", "conversion")}

@@ -69,3 +69,31 @@ def test_odd_pages(spark):
     rows = w.derivatives(df).collect()
     assert len(rows) == 8 and [r.target_uri for r in rows][:3] == [None, None, "u v"]
     assert bytes(rows[7].record).endswith(b"\r\n\r\na\r\n\r\n") and w.derivatives(df.limit(0)).count() == 0
+
+
+def test_chunks_and_codings_are_undone():
+    import zlib
+
+    page = b"<title>T\xc3\xa9</title><p>text</p><a href='x'>y</a>" * 3
+    raw = zlib.compressobj(wbits=-15)
+    raw = raw.compress(page) + raw.flush()
+    chunked = lambda b: b"".join(b"%x;e=1\r\n%s\r\n" % (len(b[i : i + 9]), b[i : i + 9]) for i in range(0, len(b), 9)) + b"0\r\nTrailer: 1\r\n\r\n"
+    want = w.plain_text(page.decode())
+    cases = [
+        ((), page),
+        ((("Content-Encoding", "gzip"),), gzip.compress(page)),
+        ((("Content-Encoding", "x-gzip"),), gzip.compress(page[:60]) + gzip.compress(page[60:])),
+        ((("Content-Encoding", "deflate"),), zlib.compress(page)),
+        ((("Content-Encoding", "deflate"),), raw),
+        ((("Transfer-Encoding", "chunked"),), chunked(page)),
+        ((("transfer-encoding", "gzip, chunked"),), chunked(gzip.compress(page))),
+        ((("Content-Encoding", "deflate, gzip"), ("Transfer-Encoding", "chunked")), chunked(gzip.compress(zlib.compress(page)))),
+        ((("Content-Encoding", "gzip"), ("Transfer-Encoding", "chunked")), page),
+    ]
+    for headers, body in cases:
+        meta, text = w.derive(w.response("http://a/", body, headers=headers))
+        assert text.block.decode() == want, headers
+        assert b"title: T\xc3\xa9" in meta.block and meta.block.count(b"outlink: x") == 3, headers
+    _, cut = w.derive(w.response(None, gzip.compress(page)[:-9], headers=[("Content-Encoding", "gzip")]))
+    assert b"text" in cut.block
+    assert w.inflated(gzip.compress(b""), "gzip") == b"" and w.dechunked(b"0\r\n\r\n") == b""
