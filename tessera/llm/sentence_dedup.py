@@ -5,6 +5,9 @@ line's end. Every run of `run` sentences (all of them, where a text has fewer) i
 around its sentences. A span's first place is the one with the smallest (doc_id, position) in the corpus; sentences that
 any other place of a repeated span covers are removed. Spans are judged on the input, not on what is left.
 
+What is not removed: repeated text that holds fewer than `run` whole sentences, however long, and a text of fewer sentences
+that stands inside a longer one. The query and its SQL have runs of 3; a smaller `run` removes more.
+
 Spans are grouped by a 128-bit key with a partial count before the shuffle, and only keys that occur twice are joined to
 the spans again, by a join that can split a frequent key's rows; what then meets is one document's own positions.
 
