@@ -10,7 +10,7 @@ _INV = np.ones(1, np.uint64)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**0..n and its inverses, modulo 2**64; kept between calls up to 4 Mi entries."""
+    """BASE**0..n and its inverses, modulo 2**64; kept between calls up to 512 Ki entries."""
     global _POW, _INV
     if len(_POW) > n:
         return _POW, _INV
@@ -20,7 +20,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         table = np.full(size, factor, np.uint64)
         table[0] = 1
         tables.append(np.cumprod(table, dtype=np.uint64))
-    if size <= 1 << 22:
+    if size <= 1 << 19:
         _POW, _INV = tables
     return tables[0], tables[1]
 

@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 
 from ._session import cut
 
+#: Edges for a task to read, at least, before they are shuffled.
+EDGES = 1 << 17
+
 
 def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
 def large_star(edges: DataFrame) -> DataFrame:
-    """Each node hands its larger neighbours to the least of its neighbours and itself."""
+    """Each node hands its larger neighbours to the least of its neighbours and itself; a row for each row at most."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _least(both).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
@@ -31,14 +34,17 @@ def components(edges: DataFrame) -> DataFrame:
     """edges(u, v) -> (id, label): for every node with an edge to another node, the least node that it reaches.
 
     Stars are joins on a node and sums by node that combine before they are shuffled, so a node with very many neighbours
-    does not gather them in one place. Self-links and rows with a null end count for nothing. Every round's edges are kept
-    in the shared folder; the loop ends when a round leaves them as they were.
+    does not gather them in one place. Self-links and rows with a null end count for nothing. Every step's edges are kept
+    in the shared folder, in as many files as their number asks for, so a round over few edges writes few; the loop ends
+    when a round leaves them as they were.
     """
     now = cut(edges.where("u <> v").select("u", "v").distinct())
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    seen = None
+    seen = mark(now)
     while True:
-        now = cut(small_star(large_star(now)))
+        files = max(1, seen[0] // EDGES)
+        wide = cut(large_star(now.coalesce(files)).coalesce(files))
+        now = cut(small_star(wide).coalesce(files))
         if (then := mark(now)) == seen:
             break
         seen = then

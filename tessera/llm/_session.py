@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import io
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 JAVA = Path(__file__).with_name("grouping_sort.java")
@@ -35,6 +38,41 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """What make() gives, kept by this worker until it holds something else."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def give_back(name: str | None = None) -> None:
+    """Workers outlive their tasks: free memory goes back to the system, and what is held under another name than this."""
+    for other in [n for n in _HELD if n != name]:
+        del _HELD[other]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def frugal(run: Callable, name: str | None = None) -> Callable:
+    """run(batches) that gives memory back when its task begins and ends, but for what it holds under `name`."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(name)
+        try:
+            yield from run(batches)
+        finally:
+            give_back(name)
+
+    return wrapped
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """By Hadoop's file system, so any store that the session knows."""
     jvm = spark._jvm

@@ -2,11 +2,14 @@
 
 Documents with equal sets of word shingles form a class, kept by its smallest document. A class has `hashes` minima of
 universal hashes; the first `bands * rows` place it in a bucket for each band, four bits of all of them are its sketch. A
-bucket's pairs are not listed: first every member is tested against one pivot of its buckets, by sketch and then by the
+bucket's pairs are not listed. First every member is tested against one pivot of its buckets, by sketch and then by the
 full sets, and linked ones are joined into components (large-star and small-star). Members that share a component need no
 further test. In the buckets that still hold several components, members are compared by sketch within the task that has
-them, a large bucket's in blocks of `BLOCK`, and only pairs of different components whose sizes and sketches allow a link
-come out to be confirmed, each from one bucket. Then no two members of any bucket that have a link lie in different components.
+them, a large bucket's in blocks, and each names its closest partner in another component, which is confirmed. What then
+still has a partner whose size and sketch allow a link sends its full set there, once for each such bucket and pair of blocks; the task
+counts all common shingles exactly, by products of matrices, and gives no more links than join the components. What leaves
+a task is thus at most one row for each member, never the pairs, and in the end no two members of any bucket that have a
+link lie in different components.
 
 With 36 bands of 4 rows a pair at the threshold of 0.75 meets in no bucket with a chance of 1.1e-6; the sketch's limit
 lies five standard deviations under the threshold. Links are confirmed on full sets of 64-bit shingle hashes.
@@ -24,10 +27,13 @@ from pyspark.sql import functions as F
 
 from ._bytes import Prefix, mix
 from ._components import components
-from ._session import cut
+from ._session import cut, frugal
 
 SIGNED = "doc_id long, n_shingles long, class binary, bands array<long>, sketch binary"
-BLOCK = 512
+GROUP = ("bucket", "i", "j")
+CLOSE = "bucket long, i int, j int, own int, id long, label long, size long, best long"
+#: Members of a block, shingles of a block, shingles taken into one product.
+BLOCK, HASHES, SPAN = 512, 1 << 21, 8192
 SIEVE = 1 << 23
 #: Of a byte's two halves, how many are zero.
 ZERO_HALVES = np.array([(not x & 15) + (not x >> 4) for x in range(256)], np.uint8)
@@ -46,20 +52,20 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 
 def family(size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """a, b of the hashes a * x + b modulo 2**64, a odd."""
-    random = np.random.default_rng(seed)
-    a, b = random.integers(0, 1 << 63, (2, size, 1), np.uint64)
-    return a * np.uint64(2) + np.uint64(1), b
+    """a, b of the hashes a * x + b modulo 2**32, a odd."""
+    a, b = np.random.default_rng(seed).integers(0, 1 << 32, (2, 1, size), np.uint32)
+    return a | np.uint32(1), b
 
 
 def minima(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least value of each hash, in slices that fit into a processor's cache."""
-    least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(values), 256):
-        part = a * values[None, at : at + 256]
+    """The least value of each hash over the high halves, in slices that fit into a processor's cache."""
+    high = (values >> np.uint64(32)).astype(np.uint32)[:, None]
+    least = np.full(a.shape[1], np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(high), 256):
+        part = high[at : at + 256] * a
         part += b
-        np.minimum(least, part.min(axis=1), out=least)
-    return least
+        np.minimum(least, part.min(axis=0), out=least)
+    return least.astype(np.uint64)
 
 
 def sketched(least: np.ndarray) -> bytes:
@@ -101,7 +107,7 @@ def signed(docs: DataFrame, words: int, bands: int, rows: int, hashes: int, seed
                 sketch.append(sketched(least) + (value >> np.uint64(32)).astype(np.uint32).tobytes())
             yield pa.record_batch([batch.column(0), pa.array(count, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "class", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run), SIGNED)
 
 
 def of_members(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -126,7 +132,7 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
             short = [np.sort(v.astype(np.uint16)).tobytes() for v in values]
             yield pa.record_batch([batch.column(0), pa.array([v.tobytes() for v in values], pa.binary()), pa.array(short, pa.binary())], names=["id", "set", "short"])
 
-    return docs.mapInArrow(run, "id long, set binary, short binary")
+    return docs.mapInArrow(frugal(run), "id long, set binary, short binary")
 
 
 def in_common(x: np.ndarray, y: np.ndarray) -> int:
@@ -149,7 +155,7 @@ def possible(pairs: DataFrame, percent: int) -> DataFrame:
                 yes.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(yes, pa.bool_()))
 
-    return pairs.select("u", "v", "xu", "xv").mapInArrow(run, "u long, v long")
+    return pairs.select("u", "v", "xu", "xv").mapInArrow(frugal(run), "u long, v long")
 
 
 def close_sketches(pairs: DataFrame, least: int, width: int) -> DataFrame:
@@ -162,64 +168,133 @@ def close_sketches(pairs: DataFrame, least: int, width: int) -> DataFrame:
             su, sv = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
             yield batch.select([0, 1]).filter(pa.array(agreeing(su[:, :width], sv[:, :width]) >= least))
 
-    return pairs.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+    return pairs.select("u", "v", "su", "sv").mapInArrow(frugal(run), "u long, v long")
 
 
-def close_members(members: DataFrame, percent: int, least: int, width: int) -> DataFrame:
-    """members(bucket, id, label, size, n, sketch), n a bucket's number of them -> distinct pairs u < v of a bucket with
-    different labels whose sizes and sketches allow a link. Behind its `width` bytes a sketch has half of the name of each
-    of the member's buckets: a pair comes out of the first bucket that both are in."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"), mine.alias("own")))
-    dealt = members.select("bucket", "id", "label", "size", "sketch", F.explode(meets).alias("m")).select("bucket", "m.*", "id", "label", "size", "sketch")
-
-    def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The groups of sorted batches, one by one."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        key = np.stack([t.column(c).to_numpy() for c in keys])
+        edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), t.num_rows]
+        for begin, end in zip(edges, edges[1:], strict=False):
+            part = t.slice(begin, end - begin)
+            if held and not all(held[0].column(c)[0] == part.column(c)[0] for c in keys):
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            if part.num_rows:
+                held.append(part)
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def open_members(members: DataFrame, sketch: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (bucket, i, j, own, id, label, size, sketch) of the buckets whose members have several labels, dealt to pairs of
+    blocks (i, j) of at most about BLOCK members and HASHES shingles; own is the member's block."""
+    placed = cut(members.select("bucket", "id").join(sketch.select("id", "size"), "id").join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("label", "id").alias("label")))
+    sums = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("label").alias("a"), F.max("label").alias("z"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / HASHES)).cast("int")
+    several = cut(sums.where("a <> z").select("bucket", blocks.alias("blocks")))
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"), mine.alias("own")))
+    return placed.join(several, "bucket").join(sketch.select("id", "sketch"), "id").select("bucket", "id", "label", "size", "sketch", F.explode(meets).alias("m")).select("bucket", "m.*", "id", "label", "size", "sketch")
+
+
+def close_members(dealt: DataFrame, percent: int, least: int, width: int) -> DataFrame:
+    """Of open_members() those with a partner in their pair of blocks whose label differs and whose size and sketch allow a
+    link: at most one row for each row that comes in. best is the partner whose sketch agrees most, null for members with
+    the group's most frequent label, as each pair has a member with another one. Behind its `width` bytes a sketch has
+    half of the name of each of the member's buckets: a pair counts in the first bucket that both are in."""
+
+    def one(t: pa.Table) -> pa.RecordBatch | None:
         ids, label, size, own = (t.column(c).to_numpy() for c in ("id", "label", "size", "own"))
-        if len(np.unique(label)) < 2:
-            return ids[:0], ids[:0]
+        kinds, at, count = np.unique(label, return_inverse=True, return_counts=True)
+        if len(kinds) < 2:
+            return None
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
         tags, sketch = np.ascontiguousarray(sketch[:, width:]).view(np.uint32), sketch[:, :width]
         here = np.uint32(t.column("bucket")[0].as_py() >> 32 & 0xFFFFFFFF)
         first, second = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         left, right = (np.flatnonzero(own == k) for k in (first, second))
-        us, vs = [], []
+        most, best = np.zeros(len(ids), np.int32), np.full(len(ids), -1, np.int64)
         for x in left:
             y = right if first != second else right[ids[right] > ids[x]]
             y = y[(label[y] != label[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
-            y = y[agreeing(sketch[x], sketch[y]) >= least] if len(y) else y
-            y = y[tags[x][(tags[y] == tags[x]).argmax(axis=1)] == here] if len(y) else y
-            us.append(np.minimum(ids[x], ids[y]))
-            vs.append(np.maximum(ids[x], ids[y]))
-        return (np.concatenate(us), np.concatenate(vs)) if us else (ids[:0], ids[:0])
+            alike = agreeing(sketch[x], sketch[y]) if len(y) else np.zeros(0, np.int32)
+            y, alike = y[alike >= least], alike[alike >= least]
+            if not len(y):
+                continue
+            same = tags[x][(tags[y] == tags[x]).argmax(axis=1)] == here
+            y, alike = y[same], alike[same]
+            if len(y):
+                more = alike > most[y]
+                most[y[more]], best[y[more]] = alike[more], x
+                k = alike.argmax()
+                if alike[k] > most[x]:
+                    most[x], best[x] = alike[k], y[k]
+        chosen = np.flatnonzero(best >= 0)
+        if not len(chosen):
+            return None
+        kept = t.select(["bucket", "i", "j", "own", "id", "label", "size"]).take(pa.array(chosen))
+        partner = pa.array(ids[best[chosen]], pa.int64(), mask=at[chosen] == count.argmax())
+        return kept.append_column("best", partner).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def out(groups: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-            found = [pairs(g) for g in groups]
-            if found:
-                u, v = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-                yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        for group in _grouped(batches, GROUP):
+            if (out := one(group)) is not None:
+                yield out
+
+    return dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(frugal(run), CLOSE)
+
+
+def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """[left, right] number of elements in common, by products of 0/1 matrices over SPAN of the elements at a time."""
+    sizes = np.array([len(s) for s in sets])
+    values, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, kept = np.repeat(np.arange(len(sets)), sizes), count[at] > 1
+    row, column = row[kept], (np.cumsum(count > 1) - 1)[at[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(left), len(right)), np.int64)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, SPAN):
+        some = slice(*np.searchsorted(column, [begin, begin + SPAN]))
+        has = np.zeros((len(sets), SPAN), np.float32)
+        has[row[some], column[some] - begin] = 1
+        both += (has[left] @ has[right].T).astype(np.int64)
+    return both
+
+
+def exact_links(close: DataFrame, percent: int) -> DataFrame:
+    """close(bucket, i, j, own, id, label, size, set) -> u, v: of each group as many links as join what all of its links
+    between different labels would join."""
+
+    def one(t: pa.Table) -> tuple[list[int], list[int]]:
+        ids, label, size, own = (t.column(c).to_numpy() for c in ("id", "label", "size", "own"))
+        first, second = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        left, right = (np.flatnonzero(own == k) for k in (first, second))
+        us, vs = [], []
+        if not len(left) or not len(right):
+            return us, vs
+        both = shared_counts([np.frombuffer(s.as_py(), np.uint64) for s in t.column("set")], left, right)
+        link = (100 * both >= percent * (size[left][:, None] + size[right][None] - both)) & (both > 0)
+        part = np.unique(label, return_inverse=True)[1]
+        for k in np.flatnonzero((link & (part[left][:, None] != part[right][None])).any(axis=1)):
+            x, partners = left[k], right[link[k]]
+            for other, y in zip(*np.unique(part[partners], return_index=True), strict=True):
+                if other != part[x]:
+                    us.append(min(ids[x], ids[partners[y]]))
+                    vs.append(max(ids[x], ids[partners[y]]))
+                    part[part == other] = part[x]
+        return us, vs
 
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            key = np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")])
-            cut_at = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            begin = [0, *cut_at.tolist(), t.num_rows]
-            whole = [t.slice(a, b - a) for a, b in zip(begin, begin[1:], strict=False) if b > a]
-            if not whole:
-                continue
-            if held and all(held[0].column(c)[0] == whole[0].column(c)[0] for c in ("bucket", "i", "j")):
-                held.append(whole.pop(0))
-            if whole:
-                yield from out(([pa.concat_tables(held).combine_chunks()] if held else []) + whole[:-1])
-                held = [whole[-1]]
-        if held:
-            yield from out([pa.concat_tables(held).combine_chunks()])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, GROUP):
+            us, vs = one(group)
+            if us:
+                yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    keys = ["bucket", "i", "j"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long").distinct()
+    return close.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(frugal(run), "u long, v long")
 
 
 def linked(pairs: DataFrame, percent: int) -> DataFrame:
@@ -237,7 +312,7 @@ def linked(pairs: DataFrame, percent: int) -> DataFrame:
                 yes.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(yes, pa.bool_()))
 
-    return pairs.select("u", "v", "xu", "xv").mapInArrow(run, "u long, v long")
+    return pairs.select("u", "v", "xu", "xv").mapInArrow(frugal(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 36, rows: int = 4, hashes: int = 512, seed: int = 5) -> DataFrame:
@@ -245,7 +320,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
 
     component_id is the smallest doc_id that links reach, kept whether that is the document itself. A null or blank text
     has no shingles and links with nothing. Rows that repeat a doc_id are one document for the links: what links with
-    one of them links with all. A row with a null doc_id has no component and is kept. Other columns are not read.
+    one of them links with all. A row with a null doc_id has no component and is kept. An empty table gives an empty one.
+    A text of any length is one document; its set lies whole in a task's memory (8 bytes a word). Other columns, whatever
+    their names, are not read.
     """
     if hashes < bands * rows or hashes % 2:
         raise ValueError("hashes must be even and at least bands * rows")
@@ -254,10 +331,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     one = cut(signed(docs, words, bands, rows, hashes, seed))
     full = one.where("n_shingles > 0 and doc_id is not null")
     classes = cut(full.groupBy("class").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("size"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch")))
-    placed = classes.select("id", "size", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1").select("bucket", "pivot")
+    placed = classes.select("id", F.explode("bands").alias("bucket"))
+    shared = cut(placed.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("z")).where("pivot <> z").select("bucket", "pivot"))
     members = cut(placed.join(shared, "bucket"))
-    sketch = classes.select("id", "sketch")
+    sketch = classes.select("id", "size", "sketch")
     texts = of_members(docs.select(F.col("doc_id").cast("long"), "text"), members.select("id").distinct())
     sets = cut(sets_of(texts, words))
 
@@ -271,13 +348,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     repeats = full.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z").select("doc_id")
     same = full.join(repeats, "doc_id").select("doc_id", "class").join(classes.select("class", "id"), "class").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
     tested = members.where("id <> pivot").groupBy(F.col("id").alias("v")).agg(F.min("pivot").alias("u"))
-    su, sv = sketch.toDF("u", "su"), sketch.toDF("v", "sv")
-    links = cut(confirm(close_sketches(tested.join(su, "u").join(sv, "v"), limit, hashes // 2)).unionByName(same))
+    su, sv = (sketch.select(F.col("id").alias(c), F.col("sketch").alias("s" + c)) for c in "uv")
+    width = hashes // 2
+    links = cut(confirm(close_sketches(tested.join(su, "u").join(sv, "v"), limit, width)).unionByName(same))
+    labels = cut(components(links))
+    # each open member's closest partner
+    close = close_members(open_members(members, sketch, labels), percent, limit, width).where("best is not null")
+    links = cut(links.unionByName(confirm(cut(close.select(F.least("id", "best").alias("u"), F.greatest("id", "best").alias("v")).distinct()))))
     labels = cut(components(links))
-    placed = members.select("bucket", "id", "size").join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("label", "id").alias("label"))
-    open_ = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select("bucket", "n")
-    placed = placed.join(open_, "bucket").join(sketch, "id")
-    found = cut(confirm(cut(close_members(placed, percent, limit, hashes // 2))))
+    # what still has an untested partner, by full sets inside the tasks
+    close = cut(close_members(open_members(members, sketch, labels), percent, limit, width).drop("best"))
+    found = cut(exact_links(close.join(sets.select("id", "set"), "id"), percent))
     if not found.isEmpty():
         labels = cut(components(links.unionByName(found)))
     at = classes.select("class", "id").join(labels, "id", "left").select("class", F.coalesce("label", "id").alias("component_id"))

@@ -73,6 +73,49 @@ def test_blocks_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, nd.near_duplicates(df).collect())) == want
 
 
+def test_shared_counts(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 300, n).astype(np.uint64)) for n in (0, 5, 80, 200, 300, 150)]
+    left, right = np.array([0, 2, 4]), np.array([1, 3, 5])
+    want = [[len(np.intersect1d(sets[a], sets[b])) for b in right] for a in left]
+    for span in (8192, 7):
+        monkeypatch.setattr(nd, "SPAN", span)
+        assert nd.shared_counts(sets, left, right).tolist() == want
+
+
+def test_fringe_of_a_group(spark):
+    """Copies of one text, edited so much that most pairs come close to the threshold without a link."""
+    r = random.Random(4)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        c = list(base)
+        for _ in range(r.randint(1, 6)):
+            c[r.randrange(120)] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(c)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, nd.near_duplicates(df).collect())) == brute(rows)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    r = random.Random(5)
+    long = [f"w{r.randrange(10**7)}" for _ in range(300_000)]
+    near = list(long)
+    for i in range(0, len(near), 50):
+        near[i] = "other"
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, "w" * 3_000_000), (4, "few words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ("id", "class", "bucket", "bands", "sketch", "label", "size", "n_shingles", "component_id", "kept", "u", "v")
+    wide = df.select("*", *(F.lit("x").alias(n) for n in names))
+    got = sorted(map(tuple, nd.near_duplicates(wide).collect()))
+    assert got == brute(rows)
+    assert [x[2] for x in got] == [1, 1, 3, 4]
+    staged = nd.stage(spark, wide, "")
+    assert staged.columns == wide.columns and sorted(r.doc_id for r in staged.collect()) == [1, 3, 4]
+
+
 def test_nulls_repeats_and_columns(spark):
     t = " ".join(f"w{i}" for i in range(30))
     df = spark.createDataFrame([(None, t, 1), (3, t, 2), (5, t, 3), (5, "other words here and there", 4), (6, "other words here and there", 5), (7, None, 6)], "doc_id long, text string, kept long")
