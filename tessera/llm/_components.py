@@ -38,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     in the shared folder, in as many files as their number asks for, so a round over few edges writes few; the loop ends
     when a round leaves them as they were.
     """
-    now = cut(edges.where("u <> v").select("u", "v").distinct())
+    now = edges.where("u <> v").select("u", "v")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     seen = mark(now)
     while True:

@@ -32,10 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, kept in the shared folder."""
+def cut(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df with its lineage cut, kept in the shared folder, in at most `most` files."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(most) if most else df).checkpoint(eager=True)
+
+
+def pieces(df: DataFrame, size: int = 4 << 20) -> int:
+    """How many partitions of `size` bytes the files below df ask for, as Catalyst's statistics have it, at least one for
+    each core; very many where nothing is known. Small results in many files cost more than they hold: every file is
+    created, given its rights and renamed apart."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    known = sum(leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size()))
+    return int(min(1 << 30, max(df.sparkSession.sparkContext.defaultParallelism, known // size + 1)))
 
 
 _HELD: dict[str, object] = {}

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._session import frugal, held, pieces
+
 #: Bytes that no word holds, once A-Z are lower-cased.
 OUTSIDE = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 BLANK = bytes.maketrans(OUTSIDE, b" " * len(OUTSIDE))
@@ -84,9 +87,6 @@ def scan(machine: ahocorasick.Automaton, text: str | None) -> tuple[int, list[tu
     return len(w), [(a, b) for a, b in merged], items, places
 
 
-_MACHINES: dict[tuple, ahocorasick.Automaton] = {}
-
-
 def _merged(runs: list[tuple[int, int]]) -> list[dict]:
     out: list[dict] = []
     for a, b in sorted(runs):
@@ -100,14 +100,10 @@ def _merged(runs: list[tuple[int, int]]) -> list[dict]:
 def _one_share(docs: DataFrame, patterns: dict[str, list[str]], first: bool) -> DataFrame:
     """docs with the result columns added, or with the hits of these patterns added to them."""
     sent = docs.sparkSession.sparkContext.broadcast(patterns)
-    own = [c for c in docs.columns if c not in ADDED]
+    own, key = [c for c in docs.columns if c not in ADDED], f"automaton {uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (sent._path or id(sent),)
-        if key not in _MACHINES:
-            _MACHINES.clear()
-            _MACHINES[key] = automaton(sent.value)
-        machine = _MACHINES[key]
+        machine = held(key, lambda: automaton(sent.value))
         span = lambda kind: pa.list_(pa.struct([("start", kind), ("end", kind)]))
         for batch in batches:
             found = [scan(machine, t.as_py()) for t in batch.column("text")]
@@ -122,7 +118,7 @@ def _one_share(docs: DataFrame, patterns: dict[str, list[str]], first: bool) ->
             yield pa.record_batch([*(batch.column(c) for c in own), *added], names=[*own, *ADDED])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name in own)
-    return docs.mapInArrow(run, kinds + FOUND)
+    return docs.mapInArrow(frugal(run, key), kinds + FOUND)
 
 
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
@@ -164,7 +160,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a hit go."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("words") == 0).select(*docs.columns)
+    return found.where(F.size("words") == 0).select(*docs.columns).coalesce(pieces(docs))
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

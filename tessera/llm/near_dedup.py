@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import Prefix, mix
 from ._components import components
-from ._session import cut, frugal
+from ._session import cut, frugal, pieces
 
 SIGNED = "doc_id long, n_shingles long, class binary, bands array<long>, sketch binary"
 GROUP = ("bucket", "i", "j")
@@ -189,13 +189,13 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterat
         yield pa.concat_tables(held).combine_chunks()
 
 
-def open_members(members: DataFrame, sketch: DataFrame, labels: DataFrame) -> DataFrame:
+def open_members(members: DataFrame, sketch: DataFrame, labels: DataFrame, files: int) -> DataFrame:
     """Rows (bucket, i, j, own, id, label, size, sketch) of the buckets whose members have several labels, dealt to pairs of
     blocks (i, j) of at most about BLOCK members and HASHES shingles; own is the member's block."""
-    placed = cut(members.select("bucket", "id").join(sketch.select("id", "size"), "id").join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("label", "id").alias("label")))
+    placed = cut(members.select("bucket", "id").join(sketch.select("id", "size"), "id").join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("label", "id").alias("label")), files)
     sums = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("label").alias("a"), F.max("label").alias("z"))
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / HASHES)).cast("int")
-    several = cut(sums.where("a <> z").select("bucket", blocks.alias("blocks")))
+    several = cut(sums.where("a <> z").select("bucket", blocks.alias("blocks")), files)
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"), mine.alias("own")))
     return placed.join(several, "bucket").join(sketch.select("id", "sketch"), "id").select("bucket", "id", "label", "size", "sketch", F.explode(meets).alias("m")).select("bucket", "m.*", "id", "label", "size", "sketch")
@@ -328,15 +328,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
         raise ValueError("hashes must be even and at least bands * rows")
     p = percent / 100 + (1 - percent / 100) / 16
     limit = int(hashes * (p - 5 * (p * (1 - p) / hashes) ** 0.5))
-    one = cut(signed(docs, words, bands, rows, hashes, seed))
+    files = pieces(docs)
+    one = cut(signed(docs, words, bands, rows, hashes, seed), files)
     full = one.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(full.groupBy("class").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("size"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch")))
+    classes = cut(full.groupBy("class").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("size"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch")), files)
     placed = classes.select("id", F.explode("bands").alias("bucket"))
-    shared = cut(placed.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("z")).where("pivot <> z").select("bucket", "pivot"))
-    members = cut(placed.join(shared, "bucket"))
+    shared = cut(placed.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("z")).where("pivot <> z").select("bucket", "pivot"), files)
+    members = cut(placed.join(shared, "bucket"), files)
     sketch = classes.select("id", "size", "sketch")
     texts = of_members(docs.select(F.col("doc_id").cast("long"), "text"), members.select("id").distinct())
-    sets = cut(sets_of(texts, words))
+    sets = cut(sets_of(texts, words), files)
 
     def confirm(close: DataFrame) -> DataFrame:
         """Distinct pairs(u, v) of classes -> the links among them."""
@@ -350,21 +351,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     tested = members.where("id <> pivot").groupBy(F.col("id").alias("v")).agg(F.min("pivot").alias("u"))
     su, sv = (sketch.select(F.col("id").alias(c), F.col("sketch").alias("s" + c)) for c in "uv")
     width = hashes // 2
-    links = cut(confirm(close_sketches(tested.join(su, "u").join(sv, "v"), limit, width)).unionByName(same))
-    labels = cut(components(links))
+    links = cut(confirm(close_sketches(tested.join(su, "u").join(sv, "v"), limit, width)).unionByName(same), files)
+    labels = cut(components(links), files)
     # each open member's closest partner
-    close = close_members(open_members(members, sketch, labels), percent, limit, width).where("best is not null")
-    links = cut(links.unionByName(confirm(cut(close.select(F.least("id", "best").alias("u"), F.greatest("id", "best").alias("v")).distinct()))))
-    labels = cut(components(links))
+    close = close_members(open_members(members, sketch, labels, files), percent, limit, width).where("best is not null")
+    links = cut(links.unionByName(confirm(cut(close.select(F.least("id", "best").alias("u"), F.greatest("id", "best").alias("v")).distinct(), files))), files)
+    labels = cut(components(links), files)
     # what still has an untested partner, by full sets inside the tasks
-    close = cut(close_members(open_members(members, sketch, labels), percent, limit, width).drop("best"))
-    found = cut(exact_links(close.join(sets.select("id", "set"), "id"), percent))
+    close = cut(close_members(open_members(members, sketch, labels, files), percent, limit, width).drop("best"), files)
+    found = cut(exact_links(close.join(sets.select("id", "set"), "id"), percent), files)
     if not found.isEmpty():
-        labels = cut(components(links.unionByName(found)))
+        labels = cut(components(links.unionByName(found)), files)
     at = classes.select("class", "id").join(labels, "id", "left").select("class", F.coalesce("label", "id").alias("component_id"))
     out = one.select("doc_id", "n_shingles", "class").join(at, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.coalesce(files).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -374,7 +375,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, stays."""
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).coalesce(pieces(docs))
 
 
 SQL = r"""

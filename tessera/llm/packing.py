@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from ._session import frugal, held, pieces
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: k of the bins; 2048 holds single ids.
 CLASSES = (1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 48, 64, 102, 128, 204, 256, 409, 512, 682, 1024, 2048)
 
 #: Texts of these characters alone are split alike by both libraries; the rest goes to `tokenizers`.
 PLAIN = re.compile(r"[\n\r\t -~¡-¬®-ɏ]*")
-_ENCODERS: dict[str, "Encoder"] = {}
 
 
 class Encoder:
@@ -73,9 +74,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(f"encoder {path}", lambda: Encoder(path))
 
 
 class Packer:
@@ -171,7 +170,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1)
 
     from pyspark.sql import functions as F
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").coalesce(pieces(docs)).mapInArrow(frugal(run, f"encoder {tokenizer}"), PIECES)
 
 
 def default_tokenizer() -> str:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import cut
+from ._session import cut, frugal, pieces
 
 HEADS = ("low", "toxic")
 LETTERS = bytes.maketrans(bytes(range(128)), bytes(c if chr(c).isalpha() else 32 for c in range(128)))
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: in
 
     half = [v for rank, v in enumerate(of.values()) if rank % 2 == 0]
     model = Model()
-    by_word = cut(texts.where("fold = 0").select("text", "low", "toxic").mapInArrow(split, "word binary, n long, low long, toxic long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "low", "toxic"))))
+    by_word = cut(texts.where("fold = 0").select("text", "low", "toxic").mapInArrow(frugal(split), "word binary, n long, low long, toxic long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "low", "toxic"))), pieces(docs))
     for k, head in enumerate(HEADS):
         bad = sum(v[k] for v in half)
         good = len(half) - bad
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: in
             found = [sent.value.features(t.as_py()) for t in batch.column("text")]
             yield pa.record_batch([batch.column("low"), batch.column("toxic"), *(pa.array([f[h] for f in found], pa.list_(pa.float64())) for h in HEADS)], names=["low", "toxic", "x_low", "x_toxic"])
 
-    rows = texts.where("fold = 1").select("text", "low", "toxic").mapInArrow(features, "low int, toxic int, x_low array<double>, x_toxic array<double>").collect()
+    rows = texts.where("fold = 1").select("text", "low", "toxic").mapInArrow(frugal(features), "low int, toxic int, x_low array<double>, x_toxic array<double>").collect()
     for head in HEADS:
         y = np.array([r[head] for r in rows], np.float64)
         model.heads[head] = fit_logistic(np.array([r[f"x_{head}"] for r in rows]), y) if 0 < y.sum() < len(y) else None
@@ -206,7 +206,7 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([*own, pa.array(blank), *(pa.array([f[k] for f in found], pa.float64()) for k in range(2))], names=["doc_id", "mark", "host", "path", "blank", "e_low", "e_toxic"])
 
     base = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), F.coalesce(F.col("source"), F.lit("\0")).alias("host"), F.coalesce(F.col("lang"), F.lit("\0")).alias("path"), "text")
-    return base.mapInArrow(run, "doc_id long, mark long, host string, path string, blank boolean, e_low double, e_toxic double")
+    return base.mapInArrow(frugal(run), "doc_id long, mark long, host string, path string, blank boolean, e_low double, e_toxic double")
 
 
 def _strength(groups: DataFrame, head: str, parent: str) -> float:
@@ -228,7 +228,8 @@ def classify(docs: DataFrame, labels: DataFrame, model: Model, most_shift: float
     own = evidence(docs, model).join(known, "doc_id", "left")
     for h in HEADS:
         own = own.withColumn(f"k_{h}", F.coalesce(F.col(f"l_{h}").cast("double"), p(f"e_{h}"), F.lit(0.0)))
-    own = cut(own.drop("l_low", "l_toxic"))
+    files = pieces(docs)
+    own = cut(own.drop("l_low", "l_toxic"), files)
     sums = [F.count("*").alias("n"), *(F.sum(f"k_{h}").alias(f"k_{h}") for h in HEADS)]
     paths = own.groupBy("host", "path").agg(*sums)
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), *(F.sum(f"k_{h}").alias(f"k_{h}") for h in HEADS))
@@ -240,7 +241,7 @@ def classify(docs: DataFrame, labels: DataFrame, model: Model, most_shift: float
     strong = {h: _strength(hosts, h, f"g_{h}") for h in HEADS}
     for h in HEADS:
         hosts = hosts.withColumn(f"r_{h}", (F.col(f"k_{h}") + strong[h] * rate[h]) / (F.col("n") + strong[h]))
-    paths = cut(paths.join(hosts.select("host", "r_low", "r_toxic"), "host"))
+    paths = cut(paths.join(hosts.select("host", "r_low", "r_toxic"), "host"), files)
     fine = {h: _strength(paths, h, f"r_{h}") for h in HEADS}
     at = paths.select("host", "path", F.col("n").alias("g_n"), *(F.col(f"k_{h}").alias(f"g_{h}") for h in HEADS), "r_low", "r_toxic")
     out = own.join(at, ["host", "path"])
@@ -251,7 +252,7 @@ def classify(docs: DataFrame, labels: DataFrame, model: Model, most_shift: float
         shift = F.least(F.greatest(logit(site) - math.log(rate[h] / (1 - rate[h])), F.lit(-most_shift)), F.lit(most_shift))
         out = out.withColumn(f"site_{h}", site).withColumn(f"p_{h}", F.coalesce(1 / (1 + F.exp(-(F.col(f"e_{h}") + shift))), F.lit(0.0)))
     kept = ~F.col("blank") & (F.col("p_low") < 0.5) & (F.col("p_toxic") < 0.5)
-    return out.select("doc_id", "mark", "p_low", "p_toxic", "site_low", "site_toxic", kept.alias("kept"))
+    return out.select("doc_id", "mark", "p_low", "p_toxic", "site_low", "site_toxic", kept.alias("kept")).coalesce(files)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -264,4 +265,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     found = classify(docs, labels, fit(docs, labels)).where("not kept").select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__mark")), "left_anti")
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__mark")), "left_anti").coalesce(pieces(docs))

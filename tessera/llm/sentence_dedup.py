@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._session import frugal
+
 SENTENCE = re.compile(r"(?s)[ \t\n\r]*[^ \t\n\r].*?(?:[.!?]+[ \t\n\r]+|\n+|\Z)")
 BLANK = " \t\n\r"
 ADDED = ("n_sentences", "removed", "kept")
@@ -57,7 +59,7 @@ def spans(docs: DataFrame, run: int) -> DataFrame:
                 key = np.frombuffer(b"".join(k for f in found for k in f), np.int64).reshape(-1, 2)
                 yield pa.record_batch([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(at, pa.int32()), pa.array(key[:, 0]), pa.array(key[:, 1])], names=["doc_id", "mark", "at", "a", "b"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text").mapInArrow(emit, SPANS)
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text").mapInArrow(frugal(emit), SPANS)
 
 
 def remove_repeated(docs: DataFrame, run: int = 3) -> DataFrame:
@@ -88,7 +90,7 @@ def remove_repeated(docs: DataFrame, run: int = 3) -> DataFrame:
 
     fields = [f for f in both.schema.fields if f.name in own]
     added = [T.StructField("n_sentences", T.LongType()), T.StructField("removed", T.ArrayType(T.IntegerType())), T.StructField("kept", T.StringType())]
-    return both.mapInArrow(rest, T.StructType([*fields, *added]))
+    return both.mapInArrow(frugal(rest), T.StructType([*fields, *added]))
 
 
 def _without(parts: list[str], out: list[int]) -> str:

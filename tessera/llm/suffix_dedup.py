@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import Prefix, mix, sliding_min
-from ._session import register_grouping_sort
+from ._session import give_back, pieces, register_grouping_sort
 
 CHUNK_BYTES = 4 << 20
 SLICE = 1 << 18
@@ -48,7 +48,7 @@ class Items:
     """The items of a chunk's documents, in order of document and place."""
 
     def __init__(self, table: pa.Table, width: int, gram: int, buckets: int):
-        pa.default_memory_pool().release_unused()  # workers outlive their tasks
+        give_back()
         self.width, self.buckets = width, buckets
         self.ids = table.column("doc_id").to_pylist()
         self.texts = [(t or "").encode("utf-8", "surrogatepass") if isinstance(t, str) or t is None else bytes(t) for t in table.column("text").to_pylist()]
@@ -345,7 +345,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 25, hot: int =
     sorted_ = laid.select("bucket", "lengths", "head", "chosen", F.expr(f"{sort}(text, lengths, owners, {width})").alias("flags"))
     marks = sorted_.mapInArrow(return_marks, MESSAGE)
     done = by_chunk.cogroup(known.unionByName(marks).groupBy("chunk")).applyInArrow(finish, out_type)
-    return done
+    return done.coalesce(pieces(docs))
 
 
 def _hash_texts(texts: list[bytes]) -> np.ndarray:
