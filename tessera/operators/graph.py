@@ -5,12 +5,8 @@ Each loop's round is a few joins and sums by key; its state is kept in the share
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..schema import label, rank
 from .session import cut
@@ -20,29 +16,8 @@ def _mark(df: DataFrame, *columns: str) -> tuple:
     return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first())
 
 
-#: Up to so many edges one task follows them; rounds would only add jobs.
-SMALL = 50_000
-
-
-def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Components of one task's edges: each root is its component's least node."""
-    root: dict = {}
-    kind = None
-    for batch in batches:
-        kind = batch.schema.field(0).type
-        for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ends = []
-            for x in pair:
-                root.setdefault(x, x)
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                ends.append(x)
-            root[max(ends)] = min(ends)
-    for x in sorted(root):
-        root[x] = root[root[x]]
-    if kind is not None:
-        yield pa.record_batch([pa.array(list(root), kind), pa.array(list(root.values()), kind)], names=["id", "label"])
+#: Edges for a task to read, at least.
+EDGES = 1 << 17
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -50,19 +25,17 @@ def components(edges: DataFrame) -> DataFrame:
     edges' direction. Every node hands its larger neighbours to its least one, then its smaller ones; rounds end when
     nothing moves. Self-links and null ends count for nothing."""
     now = cut(edges.where("u <> v").select("u", "v").distinct())
-    if now.count() <= SMALL:
-        kind = now.schema["u"].dataType
-        return now.coalesce(1).mapInArrow(_union, T.StructType([T.StructField("id", kind), T.StructField("label", kind)]))
-    seen = None
+    seen = _mark(now, "u", "v")
     while True:
+        files = max(1, seen[0] // EDGES)  # few edges do not ask for many tasks
+        now = now.coalesce(files)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(files))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(down.withColumnRenamed("m", "v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-        then = _mark(now, "u", "v")
-        if then == seen:
+        now = cut(small.unionByName(down.withColumnRenamed("m", "v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().coalesce(files))
+        if (then := _mark(now, "u", "v")) == seen:
             break
         seen = then
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()
@@ -88,54 +61,6 @@ def slice_violations(found: DataFrame) -> DataFrame:
     return found.where(bad)
 
 
-def _tarjan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strong components of one task's arcs, without recursion."""
-    out: dict = {}
-    kind = None
-    for batch in batches:
-        kind = batch.schema.field(0).type
-        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            out.setdefault(u, []).append(v)
-            out.setdefault(v, [])
-    index: dict = {}
-    low: dict = {}
-    held: list = []
-    inside: set = set()
-    scc: dict = {}
-    for start in out:
-        if start in index:
-            continue
-        index[start] = low[start] = len(index)
-        held.append(start)
-        inside.add(start)
-        work = [(start, iter(out[start]))]
-        while work:
-            u, rest = work[-1]
-            for v in rest:
-                if v not in index:
-                    index[v] = low[v] = len(index)
-                    held.append(v)
-                    inside.add(v)
-                    work.append((v, iter(out[v])))
-                    break
-                if v in inside:
-                    low[u] = min(low[u], index[v])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[u])
-                if low[u] == index[u]:
-                    group = [held.pop()]
-                    while group[-1] != u:
-                        group.append(held.pop())
-                    inside.difference_update(group)
-                    least = min(group)
-                    for x in group:
-                        scc[x] = least
-    if kind is not None:
-        yield pa.record_batch([pa.array(list(scc), kind), pa.array(list(scc.values()), kind)], names=["id", "scc"])
-
-
 def strong(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes(id), edges(u, v) -> (id, scc), scc the least member.
 
@@ -144,10 +69,6 @@ def strong(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     again; colours shrink every time."""
     left = cut(nodes.select("id").distinct())
     arcs = cut(edges.select("u", "v").where("u <> v").distinct().join(left.withColumnRenamed("id", "u"), "u", "left_semi").join(left.withColumnRenamed("id", "v"), "v", "left_semi"))
-    if arcs.count() <= SMALL:
-        kind = left.schema["id"].dataType
-        found = arcs.coalesce(1).mapInArrow(_tarjan, T.StructType([T.StructField("id", kind), T.StructField("scc", kind)]))
-        return left.join(found, "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))
     parts = []
     while not arcs.isEmpty():
         while True:

@@ -17,8 +17,6 @@ from .session import cut
 
 PAIRS = "base_id string, head_id string, rationale string"
 SAME_LOGIC_NAMES = 0.85
-#: Up to so many candidates one task assigns them in order; rounds would only add jobs.
-SMALL = 20_000
 
 
 def unclaimed(symbols: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
@@ -37,32 +35,17 @@ def by_rename(base: DataFrame, head: DataFrame, renames: DataFrame) -> DataFrame
 
 def assign(candidates: DataFrame) -> DataFrame:
     """candidates(base_id, head_id, score) -> one-to-one pairs(base_id, head_id), best first."""
-    left, done = cut(candidates.select("base_id", "head_id", "score")), None
-    if left.count() <= SMALL:
-        return left.coalesce(1).mapInPandas(_in_order, "base_id string, head_id string")
+    left = cut(candidates.select("base_id", "head_id", "score"))
+    done = left.select("base_id", "head_id").limit(0)
     while not left.isEmpty():
         order = [F.desc("score"), "base_id", "head_id"]
         ranked = left.withColumn("b", F.row_number().over(Window.partitionBy("base_id").orderBy(*order))).withColumn("h", F.row_number().over(Window.partitionBy("head_id").orderBy(*order)))
         best = cut(ranked.where("b = 1 and h = 1").select("base_id", "head_id"))
-        done = best if done is None else done.unionByName(best)
+        done = done.unionByName(best)
         left = cut(left.join(best.select("base_id"), "base_id", "left_anti").join(best.select("head_id"), "head_id", "left_anti"))
     return done
 
 
-def _in_order(batches):
-    """Sequential acceptance of one task's candidates."""
-    import pandas as pd
-
-    rows = [r for pdf in batches for r in pdf.itertuples(index=False)]
-    base, head, out = set(), set(), []
-    for r in sorted(rows, key=lambda r: (-r.score, r.base_id, r.head_id)):
-        if r.base_id not in base and r.head_id not in head:
-            base.add(r.base_id)
-            head.add(r.head_id)
-            out.append((r.base_id, r.head_id))
-    yield pd.DataFrame(out, columns=["base_id", "head_id"])
-
-
 def _logic(symbols: DataFrame, prefix: str) -> DataFrame:
     fine = symbols.where(f"not dropped and fingerprint.logic <> '{ZERO}'")
     return fine.select(F.col("id").alias(f"{prefix}_id"), F.col("fingerprint.logic").alias("logic"), text.tokens(F.col("name")).alias(f"{prefix}_words"))
@@ -136,15 +119,13 @@ def assign_members(pairs: DataFrame, base: DataFrame, head: DataFrame) -> DataFr
     """pairs(base_id, head_id, score) of classes and both sides' members(id, class) -> what `assign` gives on all pairs of
     members, without listing them. Two classes that are each other's only best ones take each other's members in order
     of id. Where none are, the classes tied at the highest score do so in one task for each connected part."""
-    left, done = cut(pairs.select(F.col("base_id").alias("base_class"), F.col("head_id").alias("head_class"), "score")), None
+    left = cut(pairs.select(F.col("base_id").alias("base_class"), F.col("head_id").alias("head_class"), "score"))
     side = lambda d, p: d.select(F.col("class").alias(f"{p}_class"), F.col("id").alias(f"{p}_id"))
     b, h = (side(d, p).join(left.select(f"{p}_class").distinct(), f"{p}_class", "left_semi") for d, p in ((base, "base"), (head, "head")))
     b, h = cut(b), cut(h)
-    members = b.count() + h.count()
-    if members == b.select("base_class").distinct().count() + h.select("head_class").distinct().count():
+    if b.count() + h.count() == b.select("base_class").distinct().count() + h.select("head_class").distinct().count():
         return assign(left.select(F.col("base_class").alias("base_id"), F.col("head_class").alias("head_id"), "score"))
-    if members + left.count() <= SMALL:
-        return _listed(left, b, h).coalesce(1).mapInPandas(_members_in_order, "base_id string, head_id string")
+    done = left.select(F.col("base_class").alias("base_id"), F.col("head_class").alias("head_id")).limit(0)
     while not left.isEmpty():
         best = left
         for c in ("base_class", "head_class"):
@@ -158,7 +139,7 @@ def assign_members(pairs: DataFrame, base: DataFrame, head: DataFrame) -> DataFr
             place = lambda d, p: d.withColumn("place", F.row_number().over(Window.partitionBy(f"{p}_class").orderBy(f"{p}_id")))
             made = only.join(place(b, "base"), "base_class").join(place(h, "head"), ["head_class", "place"]).select("base_id", "head_id")
         made = cut(made)
-        done = made if done is None else done.unionByName(made)
+        done = done.unionByName(made)
         b, h = cut(b.join(made, "base_id", "left_anti")), cut(h.join(made, "head_id", "left_anti"))
         left = cut(left.join(b, "base_class", "left_semi").join(h, "head_class", "left_semi"))
     return done

@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +24,49 @@ def test_alignment(base, head, want):
     assert tuple(map(len, delta.align(base, head))) == want
 
 
+def test_alignment_is_the_best_one():
+    """Each turn's pairs against all non-crossing choices of a few items."""
+    import random
+
+    def best(pairs):
+        found = [(0, 0)]
+        for n in range(1, 5):
+            for some in itertools.combinations(sorted(pairs), n):
+                if all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(some)):
+                    found.append((n, -sum(pairs[p] for p in some)))
+        return max(found)
+
+    r = random.Random(1)
+    for _ in range(300):
+        base, head = ([(r.choice("gh"), r.randrange(1, 7), r.choice("uv")) for _ in range(r.randrange(5))] for _ in range(2))
+        apart = {(i, j): abs(b[1] - h[1]) for i, b in enumerate(base) for j, h in enumerate(head) if b[0] == h[0] and abs(b[1] - h[1]) <= 2}
+        same = {p: d for p, d in apart.items() if base[p[0]][2] == head[p[1]][2]}
+        first = delta._chain(same)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(first)) and (len(first), -sum(same[p] for p in first)) == best(same)
+        rest = {p: d for p, d in apart.items() if all(p[0] != q[0] and p[1] != q[1] for q in first)}
+        added, removed, modified = delta.align(base, head)
+        number = best(rest)[0]
+        assert len(head) - len(added) == len(base) - len(removed) == len(first) + number
+        assert len(modified) <= number and not set(modified) & set(added)
+    long = [("g", i, str(i)) for i in range(20_000)]
+    assert delta.align(long, long[1:] + [("g", 20_001, "x")]) == ([19_999], [0], [])
+
+
+def test_words_of_owners():
+    import random
+
+    from tessera.functions import text
+
+    r = random.Random(2)
+    stems = ["user", "users", "userss", "fly", "flies", "flie", "ax", "axe", "axes", "axees", "box"]
+    for _ in range(400):
+        a, b = (r.sample(stems, r.randrange(1, 6)) for _ in range(2))
+        want = len(a) == len(b) and any(all(map(text._word, a, p)) for p in itertools.permutations(b))
+        assert text._words_cover(a, b) == want
+    wide = [f"w{i}" + "s" * k for i in range(16) for k in (0, 1)]
+    assert text._words_cover(wide, wide[::-1]) and not text._words_cover(wide[1:], [*wide[2:], "other"]) and not text._words_cover(wide + ["x"], wide + ["x"])
+
+
 def symbols(spark, rows):
     """rows: dicts of flat fields."""
     out = []
@@ -65,9 +110,7 @@ def test_propagation(spark):
         propagated(spark, {"A": []}, [("A", "Z", "high")])
 
 
-@pytest.mark.parametrize("small", [0, 50_000])
-def test_strong_components(spark, monkeypatch, small):
-    monkeypatch.setattr(graph, "SMALL", small)
+def test_strong_components(spark):
     import random
 
     r = random.Random(4)
@@ -83,9 +126,7 @@ def test_strong_components(spark, monkeypatch, small):
     assert got == want
 
 
-@pytest.mark.parametrize("small", [0, 50_000])
-def test_weak_components(spark, monkeypatch, small):
-    monkeypatch.setattr(graph, "SMALL", small)
+def test_weak_components(spark):
     pairs = [("n3", "n1"), ("n9", "n3"), ("b", "a"), ("b", "c"), ("z", "z"), ("n1", "n0"), (None, "a")]
     got = {r.id: r.label for r in graph.components(spark.createDataFrame(pairs, "u string, v string")).collect()}
     assert got == {"n0": "n0", "n1": "n0", "n3": "n0", "n9": "n0", "a": "a", "b": "a", "c": "a"}
@@ -146,9 +187,7 @@ def test_pairing_of_chains(spark):
     assert len(got) == 4 and len({a for a, _ in got}) == 4 and len({b for _, b in got}) == 4
 
 
-@pytest.mark.parametrize("small", [0, 20_000])
-def test_greedy_equals_sequential(spark, monkeypatch, small):
-    monkeypatch.setattr(match, "SMALL", small)
+def test_greedy_equals_sequential(spark):
     import random
 
     r = random.Random(2)
@@ -162,9 +201,7 @@ def test_greedy_equals_sequential(spark, monkeypatch, small):
     assert {tuple(x) for x in match.assign(df).collect()} == want
 
 
-@pytest.mark.parametrize("small", [0, 20_000])
-def test_members_of_classes_equal_sequential(spark, monkeypatch, small):
-    monkeypatch.setattr(match, "SMALL", small)
+def test_members_of_classes_equal_sequential(spark):
     import random
 
     r = random.Random(5)
