@@ -1,19 +1,26 @@
 """Exact top-k search by MaxScore over vectors taken as weighted terms.
 
 A component is a term, its value floor(scale * x) the weight, the score of a query and a row their integer inner product.
-Rows lie in shards (the Arrow batches of a task); a shard keeps its postings by term and each term's least and greatest
-weight. For a query, a term's bound is the range of what it can add in the shard. Terms are ordered by bound; the smallest
-ones whose bounds together cannot lift a row from the best score without them to the k-th best found so far are
-non-essential. The essential postings are traversed for all rows, then the non-essential terms are probed one block after
-the other for the rows that still can reach that score. A task carries its best k of each query from shard to shard, and
-the tasks' lists are merged by rank.
+Each task lays its rows out in shards of SHARD rows whose largest weights fall on the same terms; a shard keeps a posting
+list for each term (the weights of its rows) and the list's least and greatest weight. For a query, a term's bound is the
+range of what it can add in the shard. Terms are ordered by bound; the smallest ones whose bounds together cannot lift a
+row from the best score without them to the k-th best score known so far are non-essential. The postings of the essential
+terms are traversed for all rows of the shard, then the non-essential terms are probed STEP at a time for the rows that
+still can reach that score. A shard whose terms together cannot reach it is passed over.
 
-Queries go to the tasks in blocks of at most `block` rows, one block after the other, so what is sent has a fixed bound.
+The k-th best score is known from the start: before a block of queries goes out, each is scored against the same SEEDS
+rows (the first by hash), and what the k-th of them has is a floor that the result cannot lie under. The seeds bound
+nothing but that floor; all rows are searched. A task carries its best k of each query from shard to shard, and the
+tasks' lists are merged by rank.
+
+Queries go to the tasks in blocks of at most `block` rows, one block after the other, so what is sent has a fixed bound;
+each block reads the rows once.
 
 Vectors that are null or hold null or non-finite components, or rows with a null vec_id, take no part. Vectors of other
 lengths than a query's score nothing against it. Rows with a query's own vec_id are not its candidates; where rows repeat
 a vec_id that is a query, it is asked once, with the first of its vectors in order of value; as candidates each row
-counts. Ties go to the smaller vec_id. Scores beyond 64 bits are clipped to them. Other columns are not read.
+counts. Ties go to the smaller vec_id. Scores beyond 64 bits are clipped to them. An empty table gives an empty result, a
+vector may be as long as a row can be. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HITS = "query_id long, vec_id long, score long"
-STEP = 8
+STEP, SHARD, SEEDS = 8, 256, 2048
 EXACT = float(1 << 52)
 
 
@@ -35,46 +42,88 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where("vec_id is not null and embedding is not null").where(fine).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
 
 
+def long_scores(query: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Scores whose sums doubles cannot hold exactly."""
+    q, top = [int(x) for x in query], (1 << 63) - 1
+    return np.array([max(-top - 1, min(top, sum(int(a) * b for a, b in zip(w, q, strict=True)))) for w in weights.tolist()], object)
+
+
+class Queries:
+    """Queries of one length: ids, weights, and each one's best k (scores, ids) so far with a floor under its k-th."""
+
+    def __init__(self, ids: np.ndarray, weights: np.ndarray, floor: np.ndarray, k: int):
+        self.ids, self.weights, self.floor, self.k = ids, weights, floor.copy(), k
+        self.best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
+
+    def take(self, at: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        self.best[at] = merge(self.best[at], scores, ids, self.ids[at], self.k)
+        if len(self.best[at][0]) == self.k:
+            self.floor[at] = max(self.floor[at], float(self.best[at][0][-1]))
+
+
 class Shard:
-    """Rows of one length with their postings: weights by term, each term's least and greatest."""
+    """Postings of rows of one length: by term the rows' weights, the least and the greatest of them."""
 
     def __init__(self, ids: np.ndarray, weights: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.weights = ids[order], weights[order]
-        self.low, self.high = self.weights.min(axis=0), self.weights.max(axis=0)
-
-    def search(self, query_id: int, query: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """best (scores, ids) with this shard's better ones in it."""
-        if np.abs(query).max(initial=0) * np.abs(self.weights).max(initial=0) * len(query) >= EXACT:
-            return merge(best, self._long(query), self.ids, query_id, k)
-        ends = np.stack([query * self.low, query * self.high])
-        least, span = ends.min(axis=0), np.abs(ends[1] - ends[0])
-        order = np.argsort(-span, kind="stable")
-        rest = np.append(np.cumsum((least + span)[order][::-1])[::-1], 0.0)  # the most that terms from here on add
-        need = best[0][-1] if len(best[0]) == k else -np.inf
-        lowest = least.sum()
-        tail = np.cumsum(span[order][::-1])[::-1]
-        essential = int((lowest + tail >= need).sum())
-        first = order[:essential]
-        rows = np.arange(len(self.ids))
-        score = self.weights[:, first] @ query[first]
-        at = essential
-        while at < len(order):
-            alive = score + rest[at] >= need
-            rows, score = rows[alive], score[alive]
-            if not len(rows):
-                return best
-            nxt = order[at : at + STEP]
-            score = score + self.weights[np.ix_(rows, nxt)] @ query[nxt]
-            at += STEP
-        good = score >= need
-        return merge(best, score[good], self.ids[rows[good]], query_id, k)
-
-    def _long(self, query: np.ndarray) -> np.ndarray:
-        """Scores whose sums doubles cannot hold exactly."""
-        q = [int(x) for x in query]
-        top = (1 << 63) - 1
-        return np.array([max(-top - 1, min(top, sum(int(a) * b for a, b in zip(w, q, strict=True)))) for w in self.weights.tolist()], object)
+        self.ids, self.postings = ids[order], np.ascontiguousarray(weights[order].T)
+        self.low, self.high = self.postings.min(axis=1), self.postings.max(axis=1)
+
+    def search(self, queries: Queries) -> int:
+        """Takes this shard's rows into the queries' best; how many weights were read."""
+        read, terms = 0, len(self.postings)
+        large = np.abs(queries.weights).max(axis=1, initial=0) * np.abs(self.postings).max(initial=0) * max(1, terms) >= EXACT
+        ends = queries.weights * self.low, queries.weights * self.high
+        least, span = np.minimum(*ends), np.abs(ends[1] - ends[0])
+        order = np.argsort(-span, axis=1, kind="stable")
+        sorted_ = np.take_along_axis(span, order, axis=1)
+        behind = lambda x: np.cumsum(x[:, ::-1], axis=1)[:, ::-1]
+        rest = np.hstack([behind(np.take_along_axis(least, order, axis=1) + sorted_), np.zeros((len(order), 1))])  # the most that terms from here on add
+        # a row with the least of all essential terms gains at most what the others span
+        essential = (least.sum(axis=1)[:, None] + behind(sorted_) >= queries.floor[:, None]).sum(axis=1)
+        for at in np.flatnonzero(large | (rest[:, 0] >= queries.floor)):
+            query, need = queries.weights[at], queries.floor[at]
+            if large[at]:
+                queries.take(at, long_scores(query, self.postings.T), self.ids)
+                read += self.postings.size
+                continue
+            here, first = order[at], essential[at]
+            score = query[here[:first]] @ self.postings[here[:first]]
+            rows, read = np.arange(len(self.ids)), read + first * len(self.ids)
+            while first < terms:
+                alive = score + rest[at, first] >= need
+                rows, score = rows[alive], score[alive]
+                if not len(rows):
+                    break
+                probe = here[first : first + STEP]
+                score = score + query[probe] @ self.postings[np.ix_(probe, rows)]
+                first, read = first + STEP, read + len(probe) * len(rows)
+            good = score >= need
+            if good.any():
+                queries.take(at, score[good], self.ids[rows[good]])
+        return read
+
+
+def shards(ids: np.ndarray, weights: np.ndarray) -> Iterator[Shard]:
+    """Rows whose largest weight is on the same term lie together, so that bounds are close."""
+    order = np.lexsort((-np.abs(weights).max(axis=1), np.abs(weights).argmax(axis=1))) if weights.shape[1] else np.arange(len(ids))
+    for begin in range(0, len(order), SHARD):
+        some = order[begin : begin + SHARD]
+        yield Shard(ids[some], weights[some])
+
+
+def floors(ids: np.ndarray, weights: np.ndarray, seeds: list[tuple[int, np.ndarray]], k: int) -> np.ndarray:
+    """For each query the k-th best score among the seeds, of which none is its own row."""
+    out = np.full(len(ids), -np.inf)
+    seeds = [s for s in seeds if len(s[1]) == weights.shape[1]]
+    if len(seeds) < k or not weights.shape[1]:
+        return out
+    rows = np.array([w for _, w in seeds])
+    if np.abs(weights).max() * np.abs(rows).max() * weights.shape[1] >= EXACT:
+        return out
+    score = weights @ rows.T
+    score[ids[:, None] == np.array([i for i, _ in seeds])[None]] = -np.inf
+    return np.partition(score, len(seeds) - k, axis=1)[:, len(seeds) - k]
 
 
 def merge(best, score: np.ndarray, ids: np.ndarray, query_id: int, k: int):
@@ -94,25 +143,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     rows = usable(vectors)
     asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     blocks = max(1, -(-asked.count() * 9 // (block * 8)))
+    weigh = lambda r: (r.vec_id, np.floor(scale * np.array(r.embedding, np.float64)))
+    seeds = [weigh(r) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEEDS).collect()]
     parts = []
     for turn in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == turn).collect() if blocks > 1 else asked.collect()
-        sent = spark.sparkContext.broadcast([(r.vec_id, np.floor(scale * np.array(r.embedding, np.float64))) for r in mine])
+        mine = [weigh(r) for r in (asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == turn) if blocks > 1 else asked).collect()]
+        groups = {}
+        for size in {len(w) for _, w in mine}:
+            ids = np.array([i for i, w in mine if len(w) == size], np.int64)
+            weights = np.array([w for _, w in mine if len(w) == size], np.float64).reshape(len(ids), size)
+            groups[size] = (ids, weights, floors(ids, weights, seeds, k))
+        sent = spark.sparkContext.broadcast(groups)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            best = {q: (np.zeros(0), np.zeros(0, np.int64)) for q, _ in sent.value}
+            open_ = {size: Queries(*group, k) for size, group in sent.value.items()}
             for batch in batches:
                 ids, lists = batch.column(0).to_numpy(), batch.column(1)
                 sizes = np.diff(lists.offsets.to_numpy())
                 flat = np.floor(scale * lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
                 begin = np.cumsum(sizes) - sizes
-                for size in np.unique(sizes):
+                for size in set(sizes.tolist()) & open_.keys():
                     own = np.flatnonzero(sizes == size)
-                    shard = Shard(ids[own], flat[begin[own][:, None] + np.arange(size)].reshape(len(own), size))
-                    for q, v in sent.value:
-                        if len(v) == size:
-                            best[q] = shard.search(q, v, k, best[q])
-            out = [(q, int(i), int(s)) for q, (scores, found) in best.items() for s, i in zip(scores, found, strict=True)]
+                    for shard in shards(ids[own], flat[begin[own][:, None] + np.arange(size)].reshape(len(own), size)):
+                        shard.search(open_[size])
+            out = [(int(q), int(i), int(s)) for group in open_.values() for q, best in zip(group.ids, group.best, strict=True) for s, i in zip(*best, strict=True)]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], []))], names=["query_id", "vec_id", "score"])
 
         parts.append(rows.mapInArrow(run, HITS))

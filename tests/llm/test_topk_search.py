@@ -47,6 +47,37 @@ def test_odd_rows(spark):
     assert run(spark, [(0, [1.0], 1)]) == []
 
 
+def test_bounds_leave_most_weights_unread(spark):
+    """Over sf0.1: what is read against all weights of all rows for each query, with the result of a plain product."""
+    import numpy as np
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    rows = [r for r in rows if r.embedding is not None and all(x is not None and math.isfinite(x) for x in r.embedding)]
+    ids, weights = np.array([r.vec_id for r in rows]), np.floor(1024 * np.array([r.embedding for r in rows], np.float64))
+    asked = ids % 100 == 0
+    seeds = [(int(i), w) for i, w in zip(ids[::20], weights[::20])]
+    queries = tk.Queries(ids[asked], weights[asked], tk.floors(ids[asked], weights[asked], seeds, 10), 10)
+    parts = list(tk.shards(ids, weights))
+    read = sum(shard.search(queries) for shard in parts)
+    share = read / (asked.sum() * weights.size)
+    print("read", share, "shards", len(parts))
+    assert share < 0.7, share
+    for q, w, (scores, found) in zip(queries.ids, queries.weights, queries.best):
+        score = weights @ w
+        want = sorted((-s, i) for s, i in zip(score, ids) if i != q)[:10]
+        assert [(-s, i) for s, i in want] == list(zip(scores, found))
+
+
+def test_columns_that_clash(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "vec_id long, embedding array<float>")
+    wide = df.select("*", *(F.lit("x").alias(n) for n in ("rank", "score", "query_id", "label")))
+    got = sorted(map(tuple, tk.top_k(wide, wide.where("vec_id % 10 = 0"), 3).collect()))
+    assert got == sorted(map(tuple, tk.top_k(df, df.where("vec_id % 10 = 0"), 3).collect())) and len(got) == 9
+    assert tk.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
 def test_sql_agrees(spark):
     import duckdb
 
