@@ -1,11 +1,14 @@
 """Chat formatting: roles recovered by a hidden Markov model, turns rendered in one form.
 
 The lines of a conversation, row after row in order of (turn, role, text), are the observations; the states are ROLES. A
-line shows a speaker marker ("Human:", "### Assistant:", "[bot]:" and the like; a row's role stands as a marker before its
-first line, if it is known) and a shape: its length's class, whether it asks, whether it begins a row. Start, transition
-and emission probabilities are relative frequencies over all rows of conversations with a known role, with added counts;
-the tables' size does not depend on the input. Viterbi gives the most likely roles; of equally likely paths the one with
-the smallest roles in order from the end.
+line shows a speaker marker ("Human:", "### Assistant:", "[bot]:" and the like) and a shape: its length's class, whether
+it asks, whether it begins a row. Start, transition and emission probabilities are relative frequencies over all rows of
+conversations with a known role, with added counts; the tables' size does not depend on the input. Viterbi gives the most
+likely roles; of equally likely paths the one with the smallest roles in order from the end.
+
+The query recovers every role from the text alone: the table's role column only trains, and comes back beside the
+recovered one. With trust=True a known role stands as a marker before its row's first line instead, so only the others
+are recovered.
 
 A turn is a run of lines of one role in a row; a marker begins a new one. Its text loses its markers and becomes
 `<|im_start|>role\\ntext<|im_end|>\\n`. One row comes back for each turn.
@@ -15,8 +18,10 @@ roles at its edges form a max-plus matrix; chaining these small matrices gives e
 blocks are decoded apart from each other, with the same result as over the whole.
 
 Nulls: a row with a null conv_id is a conversation of its own, from which nothing is learned; a null turn comes first; a
-null text is one empty line; a null or unknown role is recovered. Repeated rows are turns of their own. Other columns are not read. Without any known
-role, all probabilities are even.
+null text is one empty line; a null or unknown role trains nothing. Ties: rows of one turn number are in order of role and
+text, nulls first, in learning as in decoding. Repeated rows are turns of their own. Rows with equal turn numbers, null ones too,
+lie in one block, and a block, like a very long text, lies whole in a task's memory (some 200 bytes a line). An empty
+table gives an empty one. Other columns, whatever their names, are not read. Without any known role, all probabilities are even.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._session import frugal
+
 ROLES = ("system", "user", "assistant")
 MARKERS = {
     "system": ("system", "instruction", "instructions", "context", "developer"),
@@ -41,7 +48,9 @@ KIND = {word: role for role, words in MARKERS.items() for word in words}
 MARKER = re.compile(r"^[ \t]*(?:#{1,6}[ \t]*|\*{1,2}|[\[<(|]+)?[ \t]*([A-Za-z]+)[ \t]*(?:[\])>|]+|\*{1,2})?[ \t]*:(?:\*{1,2})?[ \t]*")
 SHAPES = 6 * 2 * 2
 LINE = ("none", *ROLES)
-TURNS = "conv_id long, turn long, part int, role string, n_lines int, rendered string"
+TURNS = "conv_id long, turn long, part int, role string, n_lines int, rendered string, given string"
+#: Ascending, nulls first.
+ORDER = ("turn", "role", "text")
 
 
 def marker_of(line: str) -> tuple[str, str]:
@@ -134,14 +143,15 @@ def fit(rows: DataFrame, block: int = 512) -> Hmm:
     """Counts over all rows of conversations whose role is known. Moves between blocks are counted from one row for each
     block. Rows without a conv_id are not learned from."""
     own = F.when(F.col("role").isin(*ROLES), F.col("role"))
-    placed = _placed(rows, block).where("conv_id is not null").withColumn("role", own)
-    before = F.lag("role").over(Window.partitionBy("conv_id", "block").orderBy("turn", "role", F.xxhash64("text")))
-    inside = placed.select(before.alias("a"), F.col("role").alias("b"))
-    order = F.struct("turn", "role", F.xxhash64("text"))
-    ends = placed.groupBy("conv_id", "block").agg(F.min_by("role", order).alias("b"), F.max_by("role", order).alias("last"))
+    placed = _placed(rows, block).where("conv_id is not null").withColumn("known", own)
+    before = F.lag("known").over(Window.partitionBy("conv_id", "block").orderBy(*ORDER))
+    inside = placed.select(before.alias("a"), F.col("known").alias("b"))
+    # as ORDER has them: a null is less than all in a struct
+    order = F.struct("turn", "role", "text")
+    ends = placed.groupBy("conv_id", "block").agg(F.min(F.struct(order.alias("o"), "known"))["known"].alias("b"), F.max(F.struct(order.alias("o"), "known"))["known"].alias("last"))
     across = ends.select(F.lag("last").over(Window.partitionBy("conv_id").orderBy("block")).alias("a"), "b")
     pairs = inside.unionByName(across).where("a is not null and b is not null").groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("kind", F.lit("move"))
-    first = placed.groupBy("conv_id").agg(F.min(F.struct(F.col("turn").alias("t"), F.col("role").alias("a"))).alias("x")).where("x.a is not null").groupBy("x.a").agg(F.count("*").alias("n")).select("a", F.lit("").alias("b"), "n", F.lit("start").alias("kind"))
+    first = placed.groupBy("conv_id").agg(F.min(F.struct(order.alias("o"), F.col("known").alias("a"))).alias("x")).where("x.a is not null").groupBy("x.a").agg(F.count("*").alias("n")).select("a", F.lit("").alias("b"), "n", F.lit("start").alias("kind"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -152,7 +162,7 @@ def fit(rows: DataFrame, block: int = 512) -> Hmm:
                     seen["shape", role, str(shape)] += 1
         yield pa.record_batch([pa.array([k[i] for k in seen], pa.string()) for i in range(3)] + [pa.array(list(seen.values()), pa.int64())], names=["kind", "a", "b", "n"])
 
-    lines = placed.where("role is not null").select("role", "text").mapInArrow(count, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    lines = placed.where("known is not null").select(F.col("known").alias("role"), "text").mapInArrow(frugal(count), "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
     every = pairs.select("kind", "a", "b", "n").unionByName(first.select("kind", "a", "b", "n")).unionByName(lines)
     return Hmm.of({(r.kind, r.a, r.b): r.n for r in every.collect()})
 
@@ -170,16 +180,17 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield held
 
 
-def turns(rows: DataFrame, hmm: Hmm, block: int = 512) -> DataFrame:
-    """rows(conv_id, turn, role, text, ...) -> conv_id, turn, part, role, n_lines, rendered."""
+def turns(rows: DataFrame, hmm: Hmm, block: int = 512, trust: bool = False) -> DataFrame:
+    """rows(conv_id, turn, role, text, ...) -> conv_id, turn, part, role, n_lines, rendered, given (the row's own role)."""
     sent = rows.sparkSession.sparkContext.broadcast(hmm)
     placed = _placed(rows, block)
-    order = ["conv_id", "block", F.asc_nulls_first("turn"), "role", "text"]
+    order = ["conv_id", "block", *ORDER]
+    shown = lambda r: lines_of(r["role"] if trust else None, r["text"])
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for group in _groups(batches):
-            lines = [x for r in group for x in lines_of(r["role"], r["text"])]
+            lines = [x for r in group for x in shown(r)]
             begin = sent.value.start + sent.value.emit(lines[:1])[0]
             rest = sent.value.between(lines[1:]) if len(lines) > 1 else None
             alone = begin if rest is None else (begin[:, None] + rest).max(axis=0)
@@ -205,7 +216,7 @@ def turns(rows: DataFrame, hmm: Hmm, block: int = 512) -> DataFrame:
         for group in _groups(batches):
             lines, of = [], []
             for i, r in enumerate(group):
-                own = lines_of(r["role"], r["text"])
+                own = shown(r)
                 lines += own
                 of += [i] * len(own)
             roles = sent.value.decode(lines, group[0]["entry"], group[0]["last"])
@@ -217,25 +228,29 @@ def turns(rows: DataFrame, hmm: Hmm, block: int = 512) -> DataFrame:
                 part = 0 if at == 0 or of[at - 1] != of[at] else part + 1
                 role, text = ROLES[roles[at]], "\n".join(x[2] for x in lines[at:end]).strip()
                 row = group[of[at]]
-                out.append((row["conv_id"], row["turn"], part, role, end - at, f"<|im_start|>{role}\n{text}<|im_end|>\n"))
+                out.append((row["conv_id"], row["turn"], part, role, end - at, f"<|im_start|>{role}\n{text}<|im_end|>\n", row["role"]))
                 at = end
             if len(out) >= 2000:
                 yield _turn_batch(out)
                 out = []
         yield _turn_batch(out)
 
-    dealt = placed.repartition("conv_id", "block").sortWithinPartitions(*order)
-    found = dealt.mapInArrow(edges, "conv_id long, block long, m array<double>, alone array<double>")
-    several = found.where("conv_id is not null").groupBy("conv_id").applyInArrow(chain, "conv_id long, block long, entry int, last int").select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "entry", "last")
+    # only conversations of several blocks have edges to chain
+    long = placed.where("conv_id is not null").groupBy("conv_id").agg(F.min("block").alias("a"), F.max("block").alias("z")).where("a <> z").select("conv_id")
+    dealt = placed.join(long, "conv_id", "left_semi").repartition("conv_id", "block").sortWithinPartitions(*order)
+    found = dealt.mapInArrow(frugal(edges), "conv_id long, block long, m array<double>, alone array<double>")
+    several = found.groupBy("conv_id").applyInArrow(chain, "conv_id long, block long, entry int, last int").select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "entry", "last")
     known = placed.join(several, (F.col("conv_id") == F.col("c")) & (F.col("block") == F.col("b")), "left").drop("c", "b")
-    return known.repartition("conv_id", "block").sortWithinPartitions(*order).mapInArrow(render, TURNS)
+    return known.repartition("conv_id", "block").sortWithinPartitions(*order).mapInArrow(frugal(render), TURNS)
 
 
 def _turn_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string())
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string())
     return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in TURNS.split(", ")])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The turns with the roles that the text shows; agrees says whether the table has the same, null where it has none."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return turns(rows, fit(rows))
+    found = turns(rows, fit(rows))
+    return found.withColumn("agrees", F.when(F.col("given").isin(*ROLES), F.col("role") == F.col("given")))
