@@ -7,7 +7,8 @@ carry the source's payload digest. Identifiers are UUIDs (version 5) of their so
 same ones. The work is one row at a time in one scan; nothing is shuffled.
 
 Nulls: a null URL leaves out the target URI; a null page is an empty body and gives an empty text. A null page_id stays
-null. Repeated rows give equal records. Other columns are not read. A response whose HTTP head or declared length is broken
+null. Repeated rows give equal records. An empty table gives an empty one. A page of any length is read in time that goes
+with its length, and lies whole in a task's memory, as does a WARC file. Other columns, whatever their names, are not read. A response whose HTTP head or declared length is broken
 is taken as far as it goes: what has no head is a body without headers. Chunks and the codings gzip and deflate are undone
 before the text is read; a body that does not begin as its headers say, or has another coding (br, zstd), stays as it is.
 """
@@ -15,7 +16,6 @@ before the text is read; a body that does not begin as its headers say, or has a
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import re
@@ -28,19 +28,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._session import frugal
+
 VERSION = b"WARC/1.1"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 #: Fixed date of responses made from a table that has none.
 DATE = "2000-01-01T00:00:00Z"
 RECORDS = "page_id long, record_type string, record_id string, refers_to string, target_uri string, content_type string, content_length long, block_digest string, source_digest string, record binary"
 
-HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|svg|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)")
+HIDDEN = re.compile(r"(?i)<!--|<(script|style|noscript|template|head|svg|textarea)\b[^>]*>")
 BREAK = re.compile(r"(?i)</?(?:p|div|br|hr|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|aside|blockquote|pre|dl|dt|dd|form|main|figure|figcaption|title|body|html)\b[^>]*>")
 TAG = re.compile(r"(?s)<[!/?A-Za-z][^>]*(?:>|\Z)")
-TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\Z)")
-LANG = re.compile(r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)")
+TITLE = re.compile(r"(?i)<title\b[^>]*>")
+OPENED = {name: re.compile(rf"(?i)<{name}\b") for name in ("html", "a")}
+LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?([A-Za-z-]+)")
+HREF = re.compile(r"(?i)\bhref\s*=\s*")
+VALUE = re.compile(r"\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)")
 CHARSET = re.compile(rb"(?i)charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)")
-HREF = re.compile(r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
 GAP = re.compile(r"[^\S\n]+")
 LINES = re.compile(r"\s*\n\s*")
 CHUNK = re.compile(rb"[ \t]*([0-9A-Fa-f]{1,15})[ \t]*(?:;[^\r\n]*)?\r\n")
@@ -60,9 +64,9 @@ class Record:
 
 
 def read_records(data: bytes) -> Iterator[Record]:
-    """Records of a WARC file, plain or of gzip members."""
+    """Records of a WARC file, plain or of gzip members; a file that is cut off or broken as far as it goes."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = inflated(data, "gzip")
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         end = data.find(b"\r\n\r\n", at)
@@ -163,9 +167,71 @@ def decoded(body: bytes, headers: list[tuple[str, str]]) -> tuple[str, str]:
         return body.decode("utf-8", "replace"), "utf-8"
 
 
+def closing(name: str) -> re.Pattern:
+    return re.compile(rf"(?i)</{name}\s*>")
+
+
+def reach(markup: str) -> int:
+    """Behind the last >: what begins later is never closed. Patterns that end in > are only sought up to there, so that
+    none of them runs to the end in vain for each of many openings."""
+    return markup.rfind(">") + 1
+
+
+def shown(markup: str) -> str:
+    """A blank for each comment and hidden element; one that is not closed goes on to the end."""
+    out, at, last = [], 0, reach(markup)
+    while m := HIDDEN.search(markup, at, last):
+        out.append(markup[at : m.start()])
+        end = closing(m[1].lower()).search(markup, m.end()) if m[1] else re.compile("-->").search(markup, m.end())
+        if end is None:
+            return " ".join([*out, ""])
+        at = end.end()
+    return " ".join([*out, markup[at:]])
+
+
+def tags(markup: str, name: str) -> Iterator[tuple[int, int]]:
+    """Where what stands in each tag begins and ends; one that is not closed goes on to the end."""
+    at = 0
+    while m := OPENED[name].search(markup, at):
+        at = markup.find(">", m.end())
+        at = len(markup) if at < 0 else at
+        yield m.end(), at
+
+
+def title_of(markup: str) -> str:
+    if not (m := TITLE.search(markup, 0, reach(markup))):
+        return ""
+    end = closing("title").search(markup, m.end())
+    return one_line(html.unescape(TAG.sub("", markup[m.end() : end.start() if end else len(markup)])))
+
+
+def language_of(markup: str) -> str:
+    """The last lang of the first html tag that has one."""
+    return next((found[-1].lower() for begin, end in tags(markup, "html") if (found := LANG.findall(markup, begin, end))), "")
+
+
+def links_of(markup: str) -> list[str]:
+    """The first href of each a tag; a tag not closed may hold others, each with its own."""
+    out = []
+    for begin, end in tags(markup, "a"):
+        while begin < end:
+            value = None
+            for m in HREF.finditer(markup, begin, end):
+                if value := VALUE.match(markup, m.end()):
+                    break
+            if value is None:
+                break
+            out.append(one_line(html.unescape(next(x for x in value.groups() if x is not None))))
+            other = OPENED["a"].search(markup, value.end(), end) if value.end() < end else None
+            begin = other.end() if other else end
+    return out
+
+
 def plain_text(markup: str) -> str:
     """Visible text, a line for each block, characters of entities in place."""
-    text = TAG.sub("", BREAK.sub("\n", HIDDEN.sub(" ", markup.replace("\r", "").replace("\n", " "))))
+    text = shown(markup.replace("\r", "").replace("\n", " "))
+    last = reach(text)
+    text = TAG.sub("", BREAK.sub("\n", text[:last]) + text[last:])
     return LINES.sub("\n", GAP.sub(" ", html.unescape(text))).strip()
 
 
@@ -184,12 +250,11 @@ def derive(source: Record) -> list[Record]:
     ref = source.get("WARC-Record-ID") or identifier("unnamed", hashlib.sha256(source.block).hexdigest())
     payload = source.get("WARC-Payload-Digest") or digest(body)
     ids = {kind: identifier(kind, ref) for kind in ("metadata", "conversion")}
-    title, lang = TITLE.search(markup), LANG.search(markup)
     fields = [("http-status", status), *(("http-header", f"{k}: {v}") for k, v in headers), ("source-payload-digest", payload)]
     if source.get("WARC-Block-Digest"):
         fields.append(("source-block-digest", source.get("WARC-Block-Digest")))
-    fields += [("charset", charset), ("title", one_line(html.unescape(TAG.sub("", title[1]))) if title else ""), ("language", lang[1].lower() if lang else "")]
-    fields += [("outlink", one_line(html.unescape(next(x for x in m.groups() if x is not None)))) for m in HREF.finditer(markup)]
+    fields += [("charset", charset), ("title", title_of(markup)), ("language", language_of(markup))]
+    fields += [("outlink", x) for x in links_of(markup)]
     blocks = {
         "metadata": ("application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "replace")),
         "conversion": ("text/plain; charset=utf-8", plain_text(markup).encode("utf-8", "replace")),
@@ -226,7 +291,7 @@ def derivatives(pages: DataFrame) -> DataFrame:
                     rows += _rows(key, response(uri, (page or "").encode("utf-8", "surrogatepass"), key))
                 yield _table(rows)
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, RECORDS)
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(frugal(run), RECORDS)
 
 
 def derivatives_of_files(spark, path: str) -> DataFrame:
@@ -239,7 +304,7 @@ def derivatives_of_files(spark, path: str) -> DataFrame:
                     if rows := _rows(place, source):
                         yield _table(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORDS)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(frugal(run), RECORDS)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -97,3 +97,37 @@ def test_chunks_and_codings_are_undone():
     _, cut = w.derive(w.response(None, gzip.compress(page)[:-9], headers=[("Content-Encoding", "gzip")]))
     assert b"text" in cut.block
     assert w.inflated(gzip.compress(b""), "gzip") == b"" and w.dechunked(b"0\r\n\r\n") == b""
+
+
+def test_records_cut_off(spark, tmp_path):
+    sources = [w.response(f"http://a/{i}", f"<p>page {i}".encode() * 300, i) for i in range(4)]
+    whole = b"".join(gzip.compress(s.to_bytes()) for s in sources)
+    assert [r.to_bytes() for r in w.read_records(whole)] == [s.to_bytes() for s in sources]
+    cut = list(w.read_records(whole[:-20]))
+    assert [r.to_bytes() for r in cut[:3]] == [s.to_bytes() for s in sources[:3]]
+    (tmp_path / "a.warc.gz").write_bytes(whole[:-20])
+    assert w.derivatives_of_files(spark, str(tmp_path)).count() >= 6
+
+
+def test_long_pages_take_time_in_proportion(spark):
+    import time
+
+    parts = ("<a x ", "<html ", "<title ", "<script ", "<p ", "<!-- ", "</script ", "<a href='", "<a href=\"", " lang ", "href = ", "     ", "\n \n", "<svg><a href=1>", "&amp", "charset=", "<html lang=")
+    for part in parts:
+        page = part * (2_000_000 // len(part))
+        began = time.process_time()
+        w.derive(w.response("http://a/", page.encode()))
+        assert time.process_time() - began < 10, part
+    df = spark.createDataFrame([(1, "u" * 1_000_000, "<p>x</p>" * 400_000, "y")], "page_id int, url string, html string, record_type string")
+    assert w.derivatives(df.selectExpr("*", "'z' as record", "'z' as record_id")).count() == 2
+
+
+def test_tags_that_are_not_closed():
+    def fields(page):
+        return [x for x in w.derive(w.response(None, page.encode()))[0].block.decode().split("\r\n") if x.startswith(("title", "language", "outlink"))]
+
+    assert fields("<html xml:lang=de lang='fr'><title>a<b>c</title><a x href=1 y><a class=b><a href='2>3'>") == ["title: ac", "language: fr", "outlink: 1", "outlink: 2>3"]
+    assert fields("<html x><html lang=en><a href=1 <a b <a href=2") == ["title: ", "language: en", "outlink: 1", "outlink: 2"]
+    text = lambda page: w.derive(w.response(None, page.encode()))[1].block.decode()
+    assert text("a<!-- b --> c <script>d</SCRIPT >e<style>f") == "a c e"
+    assert text("a<p>b<p c <div") == "a\nb" and text("x <3 y > z <script") == "x <3 y > z" and text("a<!-- b") == "a"
