@@ -47,6 +47,12 @@ def pieces(df: DataFrame, size: int = 4 << 20) -> int:
     return int(min(1 << 30, max(df.sparkSession.sparkContext.defaultParallelism, known // size + 1)))
 
 
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but `used` under names that nothing else has, and what gives their names back, in order."""
+    inner = {c: c if c in used else f"__own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.withColumnsRenamed(inner), lambda found: found.select(*inner.values()).withColumnsRenamed({v: k for k, v in inner.items()})
+
+
 _HELD: dict[str, object] = {}
 
 

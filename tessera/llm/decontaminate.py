@@ -4,10 +4,13 @@ Texts are normalised to words of letters, digits and non-ASCII bytes, A-Z lower-
 window of `size` words of a benchmark item (the whole item where it is shorter) is a pattern; the automaton over all of
 them runs once over each normalised document. Matches start and end at word limits; places are given back in the original
 text. No shuffle takes place: the benchmark's windows go to every executor. Their size is counted first, and where they
-exceed `most_bytes` each share of that size has an automaton of its own, and a document passes one after the other.
+exceed `most_bytes` each share of that size has an automaton of its own, and a document passes one after the other. An
+automaton takes about 42 bytes for a byte of windows in each Python worker, so the default of 4 MB is some 170 MB.
 
 Nulls: a null text has no words; an item without words has no window; a null item_id takes no part. Rows that repeat an
-item_id are one item, rows that repeat a doc_id each have their own result. Other columns are not read.
+item_id are one item, rows that repeat a doc_id each have their own result. Empty tables give an empty result, or one
+without hits. A text of any length is scanned once, in time that goes with its length and its hits, and lies whole in a
+task's memory. Other columns pass through; those with names of result columns are replaced (the stage keeps them).
 """
 
 from __future__ import annotations
@@ -18,11 +21,12 @@ import uuid
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import frugal, held, pieces
+from ._session import aside, cut, frugal, held, pieces
 
 #: Bytes that no word holds, once A-Z are lower-cased.
 OUTSIDE = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -51,8 +55,8 @@ def automaton(patterns: dict[str, list[str]]) -> ahocorasick.Automaton:
     return machine
 
 
-def scan(machine: ahocorasick.Automaton, text: str | None) -> tuple[int, list[tuple[int, int]], set[str], list[tuple[int, int]]]:
-    """Number of words; runs of hit words; items; the runs' places in the text's characters."""
+def scan(machine: ahocorasick.Automaton, text: str | None, place: bool = True) -> tuple[int, list[tuple[int, int]], set[str], list[tuple[int, int]]]:
+    """Number of words; runs of hit words; items; if asked for, the runs' places in the text's characters."""
     w = words(text)
     if not w or not len(machine):
         return len(w), [], set(), []
@@ -79,11 +83,12 @@ def scan(machine: ahocorasick.Automaton, text: str | None) -> tuple[int, list[tu
         else:
             merged.append([a, b])
     places = []
-    if merged:
+    if merged and place:
         raw = text.encode("utf-8", "surrogatepass")
         begin, end = zip(*((m.start(), m.end()) for m in WORD.finditer(raw.lower())), strict=True)
-        chars = lambda n: len(raw[:n].decode("utf-8", "surrogatepass"))
-        places = [(chars(begin[a]), chars(end[b - 1])) for a, b in merged]
+        # every character has one byte that is not 10xxxxxx, its first
+        chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+        places = [(int(chars[begin[a]]), int(chars[end[b - 1]])) for a, b in merged]
     return len(w), [(a, b) for a, b in merged], items, places
 
 
@@ -97,7 +102,7 @@ def _merged(runs: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
-def _one_share(docs: DataFrame, patterns: dict[str, list[str]], first: bool) -> DataFrame:
+def _one_share(docs: DataFrame, patterns: dict[str, list[str]], first: bool, place: bool) -> DataFrame:
     """docs with the result columns added, or with the hits of these patterns added to them."""
     sent = docs.sparkSession.sparkContext.broadcast(patterns)
     own, key = [c for c in docs.columns if c not in ADDED], f"automaton {uuid.uuid4().hex}"
@@ -106,7 +111,7 @@ def _one_share(docs: DataFrame, patterns: dict[str, list[str]], first: bool) ->
         machine = held(key, lambda: automaton(sent.value))
         span = lambda kind: pa.list_(pa.struct([("start", kind), ("end", kind)]))
         for batch in batches:
-            found = [scan(machine, t.as_py()) for t in batch.column("text")]
+            found = [scan(machine, t.as_py(), place) for t in batch.column("text")]
             hit, items, spans = ([f[k] for f in found] for k in (1, 2, 3))
             if not first:
                 before = [[batch.column(c)[i].as_py() for c in ADDED[1:]] for i in range(batch.num_rows)]
@@ -129,21 +134,21 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
             rows = [(p, i.as_py()) for i, t in zip(batch.column(0), batch.column(1), strict=True) for p in windows(t.as_py(), size)]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["pattern", "item"])
 
-    return benchmark.where("item_id is not null").select(F.col("item_id").cast("string"), "text").mapInArrow(run, "pattern string, item string").distinct()
+    return benchmark.where("item_id is not null").select(F.col("item_id").cast("string"), "text").mapInArrow(frugal(run), "pattern string, item string").distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_bytes: int = 32 << 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_bytes: int = 4 << 20, place: bool = True) -> DataFrame:
     """docs(text, ...) with n_words, words (runs of hit words), items (sorted ids of the items with a window in the text)
-    and spans (the runs' places in characters of the text) added."""
+    and spans (the runs' places in characters of the text; empty without `place`) added."""
     docs = docs.drop(*ADDED)
-    found = item_windows(benchmark, size)
+    found = cut(item_windows(benchmark, size), pieces(benchmark))
     total = found.agg(F.sum(F.octet_length("pattern") + F.octet_length("item"))).first()[0] or 0
     shares = max(1, -(-total // most_bytes))
     for share in range(shares):
         patterns: dict[str, list[str]] = {}
-        for r in (found.where(F.pmod(F.xxhash64("pattern"), F.lit(shares)) == share) if shares > 1 else found).toLocalIterator():
+        for r in (found.where(F.pmod(F.xxhash64("pattern"), F.lit(shares)) == share) if shares > 1 else found).collect():
             patterns.setdefault(r.pattern, []).append(r.item)
-        docs = _one_share(docs, patterns, first=not share)
+        docs = _one_share(docs, patterns, not share, place)
     return docs
 
 
@@ -154,13 +159,14 @@ def digest(found: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return digest(contamination(read("documents"), read("benchmark")))
+    return digest(contamination(read("documents"), read("benchmark"), place=False))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a hit go."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("words") == 0).select(*docs.columns).coalesce(pieces(docs))
+    inner, back = aside(docs, "doc_id", "text")
+    found = contamination(inner, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), place=False)
+    return back(found.where(F.size("words") == 0)).coalesce(pieces(docs))
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -61,6 +61,29 @@ def test_spans_in_the_original(spark):
     assert dc.digest(dc.contamination(d, b.limit(0))).first().n_hit == 0
 
 
+def test_long_texts_and_clashing_columns(spark):
+    import time
+
+    q = "one two three four five six seven eight nine ten eleven"
+    text = ("é " + q + " — ") * 40_000
+    machine = dc.automaton({p: ["1"] for p in dc.windows(q, 10)})
+    began = time.process_time()
+    n, runs, items, places = dc.scan(machine, text)
+    assert time.process_time() - began < 20 and n == 13 * 40_000 and len(runs) == len(places) == 40_000 and items == {"1"}
+    assert {text[a:b] for a, b in places[::5000]} == {q} and dc.scan(machine, text, place=False)[3] == []
+    d = spark.createDataFrame([(1, text, "a"), (2, "clean", "b"), (3, None, "c"), (4, "x" * 3_000_000, "d")], "doc_id long, text string, words string").selectExpr("*", "5 as n_words", "6 as items", "7 as spans", "8 as patterns")
+    b = spark.createDataFrame([(9, q, 1)], "item_id int, text string, pattern int")
+    assert sorted((r.doc_id, r.n_words) for r in dc.contamination(d, b).collect()) == [(1, 520_000), (2, 1), (3, 0), (4, 1)]
+
+
+def test_stage_keeps_clashing_columns(spark, tmp_path):
+    q = "one two three four five six seven eight nine ten"
+    spark.createDataFrame([(9, q)], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = spark.createDataFrame([(1, q, "a"), (2, "clean", "b")], "doc_id long, text string, words string")
+    out = dc.stage(spark, d, str(tmp_path))
+    assert out.columns == d.columns and [tuple(r) for r in out.collect()] == [(2, "clean", "b")]
+
+
 def test_sql_agrees(spark):
     import duckdb
 
