@@ -18,8 +18,14 @@ judged on the input. How the whole corpus is compared without sorting all of its
 What is sent is one entry for each name, form or window and chunk, so no hot passage or group of copies makes a large
 group; the documents themselves are shuffled once, by a hash of doc_id.
 
-Nulls: a null text counts as empty. A row with a null doc_id is returned as it came and compared with nothing. Rows that
-repeat a doc_id are not earlier than each other. Texts under `width` bytes, empty tables and other columns pass through.
+Equal names, forms and windows are told by hashes of 64 bits, a name's being part of each of its forms and windows; bytes are
+only compared in the suffix arrays. Names with one form in all their documents, and windows that meet by content, never
+get there: there is nothing to put in order.
+
+Nulls: a null text counts as empty. A row with a null doc_id is returned as it came and compared with nothing, without a
+shuffle. Rows that repeat a doc_id are not earlier than each other. Texts under `width` bytes and empty tables pass
+through. A text of any length lies whole in one task's memory, with about 60 bytes for each of its bytes in slices. Other
+columns pass through; those named n_bytes, removed or kept are replaced (the stage keeps them).
 """
 
 from __future__ import annotations
@@ -31,11 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import Prefix, mix, sliding_min
-from ._session import give_back, pieces, register_grouping_sort
+from ._session import aside, give_back, pieces, register_grouping_sort
 
-CHUNK_BYTES = 4 << 20
+#: Bytes of text to a chunk of documents, and to a bucket of names.
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 48 << 20
 SLICE = 1 << 18
 MESSAGE = "chunk int, kind int, bucket int, a binary, b binary"
+ADDED = ("n_bytes", "removed", "kept")
 FOUND = "n_bytes long, removed array<struct<start: long, end: long>>, kept binary"
 
 
@@ -192,13 +200,17 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 25, hot: int =
     (the remaining bytes) added. See the module's text."""
     if not 0 < gram <= width:
         raise ValueError("gram must lie between 1 and width")
-    spark = docs.sparkSession
+    spark, every = docs.sparkSession, docs.drop(*ADDED)
+    columns, files = every.columns, pieces(docs)
+    lone = every.where("doc_id is null")
+    docs = every.where("doc_id is not null")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, -(-total // CHUNK_BYTES))
+    chunks, buckets = (max(parts, -(-total // size)) for size in (CHUNK_BYTES, BUCKET_BYTES))
     sort = register_grouping_sort(spark)
-    columns = docs.columns
-    chunked = docs.withColumn("__chunk", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")
+    chunked = docs.withColumnRenamed("__chunk", "__own_chunk").withColumn("__chunk", chunk)
+    columns = [c for c in chunked.columns if c != "__chunk"]
     make = lambda table: Items(table, width, gram, buckets)
 
     def ask_names(key: tuple, table: pa.Table) -> pa.Table:
@@ -335,7 +347,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 25, hot: int =
             out = out.append_column(name, pa.array(values, kind))
         return out
 
-    out_type = T.StructType([*docs.schema.fields, *T._parse_datatype_string(FOUND).fields])
+    out_type = T.StructType([*chunked.select(columns).schema.fields, *T._parse_datatype_string(FOUND).fields])
     by_chunk = chunked.groupBy("__chunk")
     names = by_chunk.applyInArrow(ask_names, MESSAGE).groupBy("bucket").applyInArrow(answer_names, MESSAGE)
     forms = by_chunk.cogroup(names.groupBy("chunk")).applyInArrow(ask_forms, MESSAGE).groupBy("bucket").applyInArrow(answer_forms, MESSAGE)
@@ -345,7 +357,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 25, hot: int =
     sorted_ = laid.select("bucket", "lengths", "head", "chosen", F.expr(f"{sort}(text, lengths, owners, {width})").alias("flags"))
     marks = sorted_.mapInArrow(return_marks, MESSAGE)
     done = by_chunk.cogroup(known.unionByName(marks).groupBy("chunk")).applyInArrow(finish, out_type)
-    return done.coalesce(pieces(docs))
+    blank = F.array().cast("array<struct<start: bigint, end: bigint>>")
+    same = lone.select("*", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), blank.alias("removed"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("kept"))
+    return done.withColumnRenamed("__own_chunk", "__chunk").select(*every.columns, *ADDED).unionByName(same).coalesce(files)
 
 
 def _hash_texts(texts: list[bytes]) -> np.ndarray:
@@ -383,7 +397,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The remaining bytes become the text; a character that lost some of its bytes goes whole. n_chars follows."""
-    left = remove_repeats(docs)
+    inner, back = aside(docs, "doc_id", "text", "n_chars")
+    left = remove_repeats(inner)
     # try_validate_utf8 gives null where a cut went through a character
     text = F.when(F.is_valid_utf8(F.col("kept").cast("string")), F.col("kept").cast("string")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
-    return left.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return back(left.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")))

@@ -64,6 +64,22 @@ def test_nulls_repeated_rows_and_other_columns(spark):
     assert sd.digest(sd.remove_repeats(empty)).count() == 0
 
 
+def test_clashing_columns_null_ids_and_long_texts(spark):
+    r = random.Random(8)
+    long = " ".join(f"w{r.randrange(10**6)}" for _ in range(150_000))
+    rows = [(1, long), (2, "x" * 2_000_000), (3, "start " + long[1000:900_000] + " end"), (4, None), (5, ""), *[(None, long[:60])] * 40, (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *(f"'{c}!' as `{c}`" for c in ("n_bytes", "removed", "kept", "__chunk", "chunk", "bucket", "kind", "a", "n_chars")))
+    got = sd.remove_repeats(df)
+    assert got.columns == ["doc_id", "text", "__chunk", "chunk", "bucket", "kind", "a", "n_chars", *sd.ADDED]
+    found = sorted(map(tuple, sd.digest(got.where("doc_id is not null")).collect()))
+    assert [f[:3] for f in found] == [(1, len(long), 0), (2, 2_000_000, 0), (3, 900_000 - 1000 + 10, found[2][2]), (4, 0, 0), (5, 0, 0)]
+    assert 899_000 <= found[2][2] <= 899_002
+    alone = got.where("doc_id is null").collect()
+    assert len(alone) == 41 and all(bytes(x.kept).decode() == (x.text or "") and not x.removed and x.bucket == "bucket!" and x["__chunk"] == "__chunk!" for x in alone)
+    kept = sd.stage(spark, df, "")
+    assert kept.columns == df.columns and kept.where("kept = 'kept!' and removed = 'removed!'").count() == len(rows)
+
+
 def test_stage_keeps_whole_characters(spark):
     shared = "é" * 30
     df = spark.createDataFrame([(1, shared, "fr", "s", 30), (2, "aé" + shared, "fr", "s", 32)], "doc_id long, text string, lang string, source string, n_chars long")
