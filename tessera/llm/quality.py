@@ -17,8 +17,10 @@ row in a join that can split a frequent site.
 
 Nulls: a blank or null text is rejected, as there is nothing to keep. A null source or lang is a group of its own. Labels
 with a null are not used; of several labels of a doc_id the highest toxic and lowest quality count. Rows that repeat a
-doc_id are judged each by its text. Without examples of both classes a head gives its prior, one half of nothing: 0. Other
-columns pass through; those with names of result columns are replaced.
+doc_id are judged each by its text; one with a null doc_id has no label and is judged like the others. Without examples of
+both classes a head gives its prior, one half of nothing: 0. Empty tables give an empty result, or one without heads. A
+text of any length is scored whole, in a task's memory. Other columns, whatever their names, are not read; the stage
+keeps them.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -95,16 +98,37 @@ class Model:
     lexicon: dict[str, dict[bytes, float]] = field(default_factory=dict)
     heads: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray] | None] = field(default_factory=dict)
 
+    @cached_property
+    def sought(self) -> dict[str, tuple[dict[bytes, float], list[dict[bytes, list[tuple[int, float]]]]]]:
+        """By head the weights of whole words, and for each length those of beginnings with the number of words they ask for."""
+        out = {}
+        for head in HEADS:
+            whole: dict[bytes, float] = {}
+            begin: list[dict[bytes, list[tuple[int, float]]]] = [{} for _ in STEMS]
+            for term, weight in self.lexicon.get(head, {}).items():
+                stem, star, least = term.partition(b"*")
+                if star:
+                    begin[STEMS.index(len(stem))].setdefault(stem, []).append((int(least or 1), weight))
+                else:
+                    whole[term] = weight
+            out[head] = whole, begin
+        return out
+
     def features(self, text: str | None) -> dict[str, list[float]]:
+        """Of each head; what the words sum up to is taken from terms() without listing those that no head asks for."""
         raw = (text or "").encode("utf-8", "surrogatepass")
         split = words(raw)
-        own, base = terms(split), shape(raw, split)
+        own, base = set(split), shape(raw, split)
+        counts = [Counter([w[:k] for w in own if len(w) > k]) for k in STEMS]
+        size = math.sqrt(max(1, len(own) + sum(min(n, 4) for c in counts for n in c.values())))
         out = {}
         for head in HEADS:
-            lexicon = self.lexicon.get(head, {})
-            hits = sorted((lexicon[w] for w in own & lexicon.keys()), reverse=True) if lexicon else []
+            whole, begin = self.sought[head]
+            hits = [whole[w] for w in own & whole.keys()]
+            for c, stems in zip(counts, begin, strict=True):
+                hits += [weight for stem in c.keys() & stems.keys() for least, weight in stems[stem] if c[stem] >= least]
+            hits.sort(reverse=True)
             strong = [h for h in hits if h > 0]
-            size = math.sqrt(max(1, len(own)))
             out[head] = [*base, sum(strong) ** 0.5, len(strong), sum(strong[:4]), sum(hits) / size]
         return out
 
@@ -144,9 +168,9 @@ def labelled(labels: DataFrame) -> DataFrame:
     return fine.groupBy("doc_id").agg((1 - F.min("quality")).cast("int").alias("low"), F.max("toxic").cast("int").alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: int = 20_000, surprise: float = 4.0) -> Model:
-    """docs(doc_id, text, ...), labels(doc_id, quality, toxic) -> the model. `sample` labels and `vocabulary` words a head
-    bound what comes to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, surprise: float = 4.0) -> Model:
+    """docs(doc_id, text, ...), labels(doc_id, quality, toxic) -> the model. `sample`, the most labelled documents it is
+    fitted on, also bounds what comes to the driver: the words of half of them that tell the classes apart, the features of the other half."""
     known = labelled(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     of = {r.doc_id: (r.low, r.toxic) for r in known}
     spark = docs.sparkSession
@@ -177,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: in
         p, q = (F.col(head) + 0.5) / (bad + 1.0), (F.col("n") - F.col(head) + 0.5) / (good + 1.0)
         odds = F.log(p / q)
         z = odds / F.sqrt(1 / (F.col(head) + 0.5) + 1 / (F.col("n") - F.col(head) + 0.5))
-        rows = by_word.select("word", odds.alias("odds"), z.alias("z")).where(F.abs("z") > surprise).orderBy(F.desc(F.abs("z")), "word").limit(vocabulary).collect()
+        rows = by_word.select("word", odds.alias("odds"), z.alias("z")).where(F.abs("z") > surprise).collect()
         model.lexicon[head] = {bytes(r.word): r.odds for r in rows}
 
     sent = spark.sparkContext.broadcast(model)
