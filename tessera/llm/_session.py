@@ -19,13 +19,16 @@ JAVA = Path(__file__).with_name("grouping_sort.java")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of this process where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; a temporary one of this process where that is unset and all runs on one machine,
+    as in tests."""
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
     named = sc.getConf().get("spark.checkpoint.dir")
     if named is None:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="checkpoints-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
@@ -99,6 +102,11 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def register_grouping_sort(spark: SparkSession, name: str = "tessera_repeats") -> str:
     """Compile grouping_sort.java with the Java compiler that Spark itself ships for its generated code, put the
     class in a jar in the shared folder, and register it as a SQL function of the session."""

@@ -8,7 +8,8 @@ longest first; the last of these bins, where it is not full, is cut into sequenc
 
 A sequence's id is the task's partition number times 2**33 plus its place in the task, so ids are unique and a task that
 runs again gives the same ones. A null text counts as empty: its document is the end id alone. Rows that repeat a doc_id
-are documents of their own; a null doc_id stays null. Other columns are not read.
+are documents of their own; a null doc_id stays null. An empty table gives an empty one. A text of any length is one
+document, cut as often as it takes; its ids lie whole in a task's memory. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

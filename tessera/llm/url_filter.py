@@ -13,7 +13,9 @@ blocks: each block asks for its different windows once, which are joined to the
 executor holds a table that grows with the input, and a window that stands in every URL is moved once for each block.
 
 Without a rule, a null or empty URL is allowed. Where one of the two verdicts has no example, rules alone decide and every
-other URL is allowed. Repeated rows each get their verdict; other columns are not read.
+other URL is allowed. Repeated rows each get their verdict; an empty table gives an empty one. A URL of any length is one
+row of a block and lies whole in a task's memory, with some 100 bytes for each of its own. Other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import mix
-from ._session import cut
+from ._session import cut, frugal, pieces
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (rule, verdict) of the registered query.
@@ -158,7 +160,7 @@ def count_windows(known: DataFrame, order: int) -> DataFrame:
                 counts = np.bincount(at * 4 + which, minlength=4 * len(each)).reshape(-1, 4)
                 yield pa.RecordBatch.from_arrays([pa.array(each), *(pa.array(counts[:, i].astype(np.int64)) for i in range(4))], ["window", *names])
 
-    counted = known.select("url", "block", "held").mapInArrow(run, "window long, " + ", ".join(f"{n} long" for n in names))
+    counted = known.select("url", "block", "held").mapInArrow(frugal(run), "window long, " + ", ".join(f"{n} long" for n in names))
     return counted.groupBy("window").agg(*(F.sum(n).alias(n) for n in names))
 
 
@@ -226,8 +228,8 @@ class Filter:
                     ratio[some[run]] = np.add.reduceat(each, begins) / np.diff(np.append(begins, len(found)))
             return mine.append_column("ratio", pa.array(ratio, mask=np.isnan(ratio)))
 
-        dealt = cut(rows.mapInArrow(deal, schema))
-        asked = dealt.select("url", "part").mapInArrow(ask, "part long, window long")
+        dealt = cut(rows.mapInArrow(frugal(deal), schema), pieces(rows))
+        asked = dealt.select("url", "part").mapInArrow(frugal(ask), "part long, window long")
         known = asked.join(self.differences(asked.select("window").distinct()), "window").select("part", "window", "d")
         out = dealt.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(add, T.StructType([*schema.fields, T.StructField("ratio", T.DoubleType())]))
         bent = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), self.slope * F.col("ratio") + self.shift))
@@ -257,7 +259,7 @@ def fit(urls: DataFrame, rules=RULES, sample: int = 8192, order: int = 5) -> Fil
     verdict = rule_for(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"]
     known = urls.select("url", verdict.alias("verdict")).where("verdict is not null")
     known = known.select("url", (F.col("verdict") == "block").alias("block"), (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("held"))
-    counts = cut(count_windows(known, order))
+    counts = cut(count_windows(known, order), pieces(urls))
     seen = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.columns[1:])).first()
     if not (seen.allow + seen.allow_held and seen.block + seen.block_held):
         return None

@@ -56,6 +56,12 @@ def test_small_cases(spark, capacity):
     assert pk.pack(spark.createDataFrame([(None, "x"), (None, "x")], "doc_id long, text string"), PATH).count() >= 2
 
 
+def test_long_texts_and_clashing_columns(spark):
+    docs = {1: "some words and more. " * 60_000, 2: "x" * 300_000, 3: "é" * 100_000}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").selectExpr("*", *(f"'y' as `{c}`" for c in ("start", "length", "offset", "sequence_id", "doc_tokens")))
+    check(pk.pack(df, PATH).collect(), docs)
+
+
 def test_last_bin_is_cut_into_powers_of_two():
     for n in (1, 3, 1000, 1500, 2047, 2048, 5000):
         ids = np.arange(n, dtype=np.uint32)

@@ -39,6 +39,26 @@ def test_against_brute_force(spark, n):
     assert got == brute(rows, n)
 
 
+def test_sentences_are_those_of_the_pattern():
+    r = random.Random(6)
+    for _ in range(20_000):
+        text = "".join(r.choice(" .\n.!?ab\r\t é\x0b") for _ in range(r.randint(0, 14)))
+        assert sd.sentences(text) == split(text), repr(text)
+
+
+def test_long_runs_take_time_in_proportion(spark):
+    import time
+
+    for text in ("." * 2_000_000 + "x", "a\n" + " " * 2_000_000, "a. " * 700_000, " " * 2_000_000, "\n" * 2_000_000 + "x", "x" + "!?" * 1_000_000 + " y"):
+        began = time.process_time()
+        assert "".join(sd.sentences(text)) == (text if text.strip() and text[-1] != " " or text[-2:] == ". " else text.rstrip(" ") if text.strip() else "")
+        assert time.process_time() - began < 10
+    df = spark.createDataFrame([(1, "One. Two. Three. " * 100_000), (2, "x" * 2_000_000)], "doc_id long, text string").selectExpr("*", *(f"'y' as `{c}`" for c in ("kept", "removed", "n_sentences", "at", "a", "b", "n", "first", "mark")))
+    out = sd.remove_repeated(df)
+    assert out.columns == ["doc_id", "text", "at", "a", "b", "n", "first", "mark", *sd.ADDED]
+    assert sorted((r.doc_id, r.n_sentences, len(r.removed), r.mark) for r in out.collect()) == [(1, 300_000, 299_997, "y"), (2, 1, 0, "y")]
+
+
 def test_nulls_repeats_and_columns(spark):
     t = "One is here. Two is here. Three is here."
     df = spark.createDataFrame([(None, t, 1), (4, t, 2), (4, t, 3), (5, t, 4), (5, "Other. Words. Now.", 5)], "doc_id long, text string, kept int").withColumnRenamed("kept", "n")

@@ -127,3 +127,14 @@ def test_judging_with_a_model_and_missing_urls(spark):
     assert got[:2] == [(1, "allow", None), (2, "allow", None)]
     assert got[2] == got[3] and got[2][1] == ("block" if got[2][2] >= 0.5 else "allow")
     assert uf.judge(df.limit(0), model=model).count() == 0 and len(model.probability([])) == 0
+
+
+def test_long_urls_and_clashing_columns(spark):
+    from tessera.llm import url_filter as u
+
+    rows = [(1, "http://a.com/en/" + "x" * 500_000), (2, "http://a.org/es/" + "y" * 500_000), (3, "http://b.fr/" + "x/" * 250_000), (4, "://"), (5, None), (None, "http://c.fr/y")] * 2
+    names = ("host", "path", "rule", "verdict", "hit", "part", "ratio", "p_reject", "window", "block", "held")
+    df = spark.createDataFrame(rows, "page_id int, url string").selectExpr("*", *(f"'z' as `{n}`" for n in names))
+    got = sorted(((r.page_id, r.host, len(r.path), r.rule, r.verdict) for r in u.judge(df, u.RULES, u.fit(df)).collect()), key=str)
+    assert [g for g in got if g[0] in (1, 2, 5)] == [(1, "a.com", 500_004, "com/en/", "block")] * 2 + [(2, "a.org", 500_004, "org/es/", "allow")] * 2 + [(5, "", 0, None, "allow")] * 2
+    assert len(got) == 12 and u.judge(df.limit(0)).count() == 0
