@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, kept where spark.checkpoint.dir says; in a temporary folder where that is unset."""
+    """df with its lineage cut, kept where spark.checkpoint.dir says; in a temporary folder where that is unset and all
+    runs on one machine."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir")
         if named is None:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             named = tempfile.mkdtemp(prefix="checkpoints-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
