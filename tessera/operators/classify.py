@@ -156,8 +156,9 @@ def next_symbol(kind: Column, name: Column, file: Column, derived_by: Column) ->
 
 
 def module_directive(content: Column) -> Column:
-    """`use client` or `use server` among the string statements that begin a file, behind comments."""
-    lead = r"(?s)^\x{FEFF}?(?:\s+|//[^\n]*(?:\n|$)|/\*.*?\*/|(?:'[^'\n]*'|\"[^\"\n]*\")\s*(?:;|(?=\n|$)))*?"
+    """`use client` or `use server` among the string statements that begin a file, behind comments. What stands before is
+    taken without going back, so no length of blanks or comments is tried twice."""
+    lead = r"(?s)^\x{FEFF}?(?:\s++|//[^\n]*+|/\*.*?\*/|(?!['\"]use (?:client|server)['\"])(?:'[^'\n]*+'|\"[^\"\n]*+\")(?:\s*+;|(?=[ \t\r]*(?:\n|$))))*+"
     found = F.regexp_extract(content, lead + r"['\"](use client|use server)['\"]\s*(?:;|\n|$)", 1)
     return F.nullif(found, F.lit(""))
 

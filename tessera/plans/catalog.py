@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fingerprint, ids, paths, text
 from ..operators import aggregates, classify, delta, diff, gate, graph, integrity, match, resolve
+from ..sources import components
 from . import adapters
 from .adapters import RENAMES, SNAPSHOTS, table
 
@@ -275,15 +276,10 @@ def _call_symbols(spark, sf_dir):
 @query(f"WITH e AS ({CALLS}), x AS (SELECT e.f AS id, CASE WHEN p_size < 10 THEN 'db.read' ELSE 'db.write' END AS effect, p_brand AS target, max(r) AS r, min(p_type) AS derived_by, list(DISTINCT t ORDER BY t) AS via FROM e JOIN part ON t = 'p' || p_partkey GROUP BY 1, 2, 3) SELECT id, effect, target, ['low', 'medium', 'high'][r + 1] AS confidence, derived_by, via AS derived_from FROM x")
 def propagate_two_level(spark, sf_dir):
     """Effects that customers get from the parts they call: best confidence over parts, least derived_by."""
-    out = graph.propagate(_call_symbols(spark, sf_dir), _calls(spark, sf_dir), _lone(_call_symbols(spark, sf_dir)))
+    out = graph.propagate(_call_symbols(spark, sf_dir), _calls(spark, sf_dir))
     return out.select("id", F.explode("effects").alias("e")).where("e.propagated").select("id", F.col("e.id").alias("effect"), "e.target", "e.confidence", "e.derived_by", "e.derived_from")
 
 
-def _lone(symbols):
-    """No cycles here: every symbol is its own component."""
-    return symbols.select("id", F.col("id").alias("scc"))
-
-
 @query(f"WITH e AS ({CALLS}) SELECT f AS \"from\", t AS \"to\", ['low', 'medium', 'high'][r + 1] AS confidence FROM e")
 def edge_dedupe(spark, sf_dir):
     return graph.adjacency(_call_symbols(spark, sf_dir), _calls(spark, sf_dir))
@@ -296,6 +292,28 @@ def callers(spark, sf_dir):
     return resolve.callers(resolve.dependencies(calls), f"p{first}")
 
 
+# --- components of a workspace ----------------------------------------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT DISTINCT p_brand, p_size % 4 AS g FROM part), n AS (SELECT 'libs/g' || g || '/' || p_brand AS root, CASE WHEN g = 0 THEN '@own/Lib_' || p_brand WHEN g = 1 THEN 'same' END AS package, p_brand, g FROM d),
+k AS (SELECT *, trim(regexp_replace(lower(coalesce(regexp_replace(package, '^@[^/]*/', ''), p_brand)), '[^a-z0-9]+', '-', 'g'), '-') AS id0 FROM n),
+p AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY id0) > 1 THEN id0 || '-g' || g ELSE id0 END AS id1 FROM k),
+i AS (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY root) AS r FROM p),
+l AS (SELECT p_brand, p_size % 4 AS g, CASE WHEN p_size % 3 = 0 THEN 'py' WHEN p_size % 3 = 1 THEN 'js' ELSE 'ts' END AS lang, count(*) AS c FROM part GROUP BY ALL),
+s AS (SELECT *, sum(c) OVER (PARTITION BY p_brand, g) AS t FROM l), f AS (SELECT p_brand, g, string_agg(lang, ',' ORDER BY lang) AS langs FROM s WHERE c >= 10 AND c / t >= 0.05 GROUP BY ALL)
+SELECT id1 || CASE WHEN r > 1 THEN '-' || r ELSE '' END AS id, coalesce(package, i.p_brand) AS name, root, coalesce(langs, 'ts') AS languages, CASE WHEN i.g = 0 THEN 'react' END AS frameworks, CASE WHEN i.g = 0 THEN 'index.js' END AS public_api FROM i LEFT JOIN f ON f.p_brand = i.p_brand AND f.g = i.g""")
+def component_detection(spark, sf_dir):
+    """Parts as files of packages, a folder for each group of sizes and brand; some have a manifest, many the same name."""
+    p = table(spark, sf_dir, "part").select("p_brand", (F.col("p_size") % 4).alias("g"), "p_partkey", "p_size")
+    root = F.concat(F.lit("libs/g"), "g", F.lit("/"), "p_brand")
+    kind = F.when(F.col("p_size") % 3 == 0, "py").when(F.col("p_size") % 3 == 1, "js").otherwise("ts")
+    paths = p.select(F.concat(root, F.lit("/src/f"), "p_partkey", F.lit("."), kind).alias("path"))
+    own = F.concat(F.lit('{"name": "@own/Lib_'), "p_brand", F.lit('", "dependencies": {"react": "1"}, "exports": {".": "./index.js"}}'))
+    manifests = p.where("g < 2").select(root.alias("root"), F.when(F.col("g") == 0, own).otherwise('{"name": "same"}').alias("text")).distinct().select(F.concat("root", F.lit("/package.json")).alias("path"), "text")
+    found = components.detect(paths.unionByName(manifests.select("path")), manifests, [{"tool": "pnpm", "patterns": ["libs/*/*"]}, {"tool": "turbo", "patterns": []}], "root")
+    return found.select("id", "name", F.col("roots")[0].alias("root"), F.array_join("languages", ",").alias("languages"), F.array_join("frameworks", ",").alias("frameworks"), F.array_join("public_api", ",").alias("public_api"))
+
+
 # --- call resolution --------------------------------------------------------------------------------------------------
 
 
@@ -706,7 +724,8 @@ def boundary_surface(spark, sf_dir):
 @query("SELECT (SELECT count(*) FROM part) + (SELECT count(*) FROM customer) AS scc_count, CAST(1 AS BIGINT) AS max_scc_size")
 def propagation_stats(spark, sf_dir):
     s = _call_symbols(spark, sf_dir)
-    return graph.propagation_stats(s, _lone(s)).select("scc_count", "max_scc_size")
+    e = _calls(spark, sf_dir).select(F.col("from").alias("u"), F.col("to").alias("v"))
+    return graph.propagation_stats(s, graph.strong(s.select("id"), e)).select("scc_count", "max_scc_size")
 
 
 @query(f"WITH {SNAPSHOTS} SELECT '01 symbol ids' AS rule, id AS subject, count(*) || ' rows' AS message FROM base GROUP BY id HAVING count(*) > 1 UNION ALL SELECT '18 languages declared', id, 'no ts' FROM base")

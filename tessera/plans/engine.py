@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +13,10 @@ from ..functions.ids import symbol_id
 from ..functions.text import nfc
 from ..operators import classify, diff, graph, resolve
 from ..operators.session import cut
-from ..schema import SKIPPED, SYMBOLS, shaped
+from ..schema import COMPONENTS, SKIPPED, SYMBOLS, shaped
+from ..sources import components, typescript
 from ..sources import files as tree
-from ..sources import typescript
-from ..sources.config import Config
+from ..sources.config import Config, managers
 
 
 @dataclass
@@ -25,13 +26,16 @@ class Scan:
     imports: DataFrame
     unresolved: DataFrame
     faults: DataFrame
+    #: Files of which two spellings have one normal path: (path, spelling, reason). They are neither read nor skipped.
+    withdrawn: DataFrame
 
 
 EFFECTS = dict((f.name, f.dataType.simpleString()) for f in SYMBOLS.fields)["effects"]
 
 
-def symbols_of(extracted: DataFrame, config: Config, plugins: tuple[str, ...]) -> DataFrame:
-    """Extracted files as symbols with frameworks, drops, effects and fingerprints, in one pass over each row."""
+def symbols_of(extracted: DataFrame, config: Config, plugins: tuple[str, ...], comps: DataFrame) -> DataFrame:
+    """Extracted files as symbols with frameworks, drops, effects and fingerprints, in one pass over each row. Texts are in
+    normal form already."""
     s = extracted.select(nfc(F.col("path")).alias("file"), "imports", "content", F.explode("symbols").alias("s")).select("file", "imports", "content", "s.*")
     jsx = classify.react_symbol(F.col("kind"), F.col("name"), F.col("has_jsx"), F.coalesce("returned_jsx", F.lit("")), F.col("calls"), F.coalesce("wrapper", F.lit("")))
     express = classify.express_symbol(F.col("kind"), F.col("name"), F.coalesce("method", F.lit("")), F.col("argument_shapes"), F.col("content"), F.coalesce("wrapper", F.lit("")))
@@ -52,29 +56,34 @@ def symbols_of(extracted: DataFrame, config: Config, plugins: tuple[str, ...]) -
     s = s.withColumn("both", both)
     null = F.lit(None)
     effects = F.transform(F.filter("both", lambda b: b["x"].isNotNull()), lambda b: F.struct(b["x"]["effect"]["id"].alias("id"), b["c"]["target"].alias("target"), b["c"]["line"].alias("line"), b["x"]["plugin"].alias("plugin"), b["x"]["effect"]["confidence"].alias("confidence"), b["x"]["effect"]["derived_by"].alias("derived_by"), null.cast("boolean").alias("propagated"), null.cast("array<string>").alias("derived_from")))
-    rest = F.transform(F.filter("both", lambda b: b["x"].isNull()), lambda b: F.struct(nfc_name(b["c"]["target"]).alias("target"), b["c"]["line"].alias("line"), null.cast("string").alias("resolved")))
+    rest = F.transform(F.filter("both", lambda b: b["x"].isNull()), lambda b: F.struct(b["c"]["target"].alias("target"), b["c"]["line"].alias("line"), null.cast("string").alias("resolved")))
     dynamic = F.transform(F.filter("both", lambda b: b["x"].isNull()), lambda b: b["c"]["dynamic_receiver"])
     kept = ~F.col("dropped")
     s = s.withColumn("effects", F.when(kept, effects).otherwise(F.array().cast(EFFECTS))).withColumn("dynamic", F.when(kept, dynamic)).withColumn("calls", F.when(kept, rest).otherwise(F.array().cast("array<struct<target:string,line:int,resolved:string>>")))
     s = s.withColumn("rules", F.when(kept, F.col("rules")).otherwise(F.array().cast(dict((f.name, f.dataType.simpleString()) for f in SYMBOLS.fields)["rules"])))
     s = s.withColumn("id", symbol_id(F.lit("ts"), F.col("file"), F.col("name"))).withColumn("language", F.lit("ts"))
-    s = s.withColumn("component", component_of(F.col("file"), config.components))
+    s = with_component(s, comps)
     place = F.struct(F.col("file").alias("file"), "start_line", "end_line", null.cast("int").alias("start_column"), null.cast("int").alias("end_column"))
     return with_fingerprint(s.withColumn("source", place))
 
 
-def nfc_name(c):
-    """Targets are names of the file, whose text is in normal form already."""
-    return c
+def with_component(symbols: DataFrame, comps: DataFrame) -> DataFrame:
+    """symbols(file, ...) with the component whose longest root holds the file; null without one. Each file asks for the
+    folders above it, so the join is on equal paths."""
+    bare = F.regexp_replace("root", "/+$", "")
+    roots = comps.select(F.col("id").alias("component"), F.explode("roots").alias("root")).select("component", F.when(bare == "", ".").otherwise(bare).alias("root"))
+    steps = F.split("file", "/")
+    above = F.concat(F.array(F.lit(".")), F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/")))
+    met = symbols.select("file").distinct().select("file", F.explode(above).alias("root")).join(roots, "root")
+    best = met.groupBy("file").agg(F.max_by("component", F.struct(F.when(F.col("root") == ".", 0).otherwise(F.length("root")), "component")).alias("component"))
+    return symbols.join(best, "file", "left")
 
 
-def component_of(file, components: list[dict]):
-    """The component with the longest root that holds the file; null without one."""
-    out = F.lit(None).cast("string")
-    roots = sorted(((r.rstrip("/"), c["id"]) for c in components for r in c.get("roots", [])), key=lambda r: len(r[0]))
-    for root, name in roots:
-        out = F.when((file == root) | file.startswith(root + "/") | F.lit(root in ("", ".")), name).otherwise(out)
-    return out
+def detected(spark: SparkSession, root: str) -> DataFrame:
+    """The components of a folder's workspace, by its managers' own files."""
+    below = lambda names=None: tree.read_tree(spark, root, names).select(nfc(F.col("spelling")).alias("path"), F.col("content"))
+    manifests = below("{package,project}.json").select("path", F.decode("content", "UTF-8").alias("text"))
+    return components.detect(below().select("path"), manifests, managers(root), Path(root).resolve().name)
 
 
 def with_fingerprint(s: DataFrame) -> DataFrame:
@@ -93,7 +102,12 @@ def scan(spark: SparkSession, root: str, config: Config | None = None, plugins:
     failed = extracted.where("error is not null").select("path", F.lit("parse-failed").alias("reason"))
     skipped = found.skipped.select("path", "reason").unionByName(failed)
     good = extracted.where("error is null")
-    symbols = cut(symbols_of(good, config, plugins))
+    if config.components:
+        rows = [(c["id"], c.get("name", c["id"]), c.get("roots", []), None, ["ts"], None, c.get("description")) for c in config.components]
+        comps = spark.createDataFrame(rows, COMPONENTS)
+    else:
+        comps = cut(detected(spark, root))
+    symbols = cut(symbols_of(good, config, plugins, comps))
     imports = typescript.imports(good)
     calls = symbols.where("not dropped").select(F.col("id").alias("caller"), F.posexplode(F.arrays_zip("calls", "dynamic")).alias("ord", "c")).select(F.concat_ws("\t", "caller", "ord").alias("call"), "caller", "ord", "c.calls.target", "c.calls.line", "c.dynamic")
     answered = cut(resolve.resolve(shaped(symbols, SYMBOLS), calls, imports, hints))
@@ -103,9 +117,8 @@ def scan(spark: SparkSession, root: str, config: Config | None = None, plugins:
     symbols = cut(with_fingerprint(graph.propagate(symbols, edges.select("from", "to", "confidence"))))
     n = good.count() + skipped.count()
     stats = spark.range(1).select(F.lit(n).alias("total_files"), F.lit(good.count()).alias("parsed_files"))
-    comps = spark.createDataFrame([(c["id"], c.get("name", c["id"]), c.get("roots", []), None, ["ts"], None, c.get("description")) for c in config.components], "id string, name string, roots array<string>, public_api array<string>, languages array<string>, frameworks array<string>, description string")
     tables = {"symbols": shaped(symbols, SYMBOLS), "components": comps, "dependencies": resolve.dependencies(edges), "skipped": shaped(skipped, SKIPPED), "stats": stats}
-    return Scan(tables, answered, imports, answered.where("bucket is not null"), extracted.where("error is not null").select("path", "error"))
+    return Scan(tables, answered, imports, answered.where("bucket is not null"), extracted.where("error is not null").select("path", "error"), found.colliding.select("path", F.explode("spellings").alias("spelling"), F.lit("colliding-spelling").alias("reason")))
 
 
 def compare(base: dict[str, DataFrame], head: dict[str, DataFrame], renames: DataFrame | None = None, line_window: int = 2) -> diff.Diff:

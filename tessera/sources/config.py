@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -141,7 +142,7 @@ def public_api(package: dict) -> list[str]:
 
     def walk(v) -> None:
         if isinstance(v, str):
-            p = v.removeprefix("./")
+            p = unicodedata.normalize("NFC", v.removeprefix("./"))
             if p and "\\" not in p:
                 found.add(p)
         elif isinstance(v, dict):

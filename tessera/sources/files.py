@@ -34,9 +34,11 @@ class Found:
     colliding: DataFrame
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path below root, length, content). Content is only read where a query uses it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def read_tree(spark: SparkSession, root: str, names: str | None = None) -> DataFrame:
+    """(path below root, length, content), of files whose names fit a glob, if one is given. Content is only read where a
+    query uses it."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = (reader.option("pathGlobFilter", names) if names else reader).load(root)
     base = F.regexp_replace(F.col("path"), r"^[a-z]+:/+", "/")
     rel = F.regexp_replace(base, F.lit("^" + _quoted(root.rstrip("/")) + "/"), F.lit(""))
     return files.select(rel.alias("spelling"), "length", "content")

@@ -252,6 +252,9 @@ def test_frameworks(spark):
     assert [g and (g[0], g[2]) for g in got] == [("framework:nestjs:controller", "high"), ("framework:nestjs:route", "high"), ("framework:nestjs:module", "medium"), (None, "high"), None]
     c = spark.createDataFrame([("'use client'\nx",), ("// a\n/* b */ 'use strict';\n\"use server\";",), ("const x = 1\n'use client'",)], "c string")
     assert [r[0] for r in c.select(classify.module_directive(F.col("c"))).collect()] == ["use client", "use server", None]
+    lead = ["\n" * 20_000, "// x\n" * 20_000, "/* x */ " * 20_000, "'use strict'\n\n" * 20_000, " \n" * 20_000 + "let a\n"]
+    long = spark.createDataFrame([(i, x + "'use client'\n") for i, x in enumerate(lead)], "i int, c string")
+    assert [r[1] for r in sorted(long.select("i", classify.module_directive(F.col("c"))).collect())] == ["use client"] * 4 + [None]
 
 
 def test_integrity(spark):

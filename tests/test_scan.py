@@ -147,3 +147,48 @@ def test_config_and_files(spark, tmp_path):
     tree = spark.createDataFrame([("é.ts", 1), ("é.ts", 1), ("ok.ts", 1), (".hidden/x.ts", 1), ("a.d.ts", 1)], "spelling string, length long").selectExpr("*", "cast('' as binary) as content")
     found = files.discover(tree)
     assert [r.path for r in found.files.collect()] == ["ok.ts"] and found.colliding.first().path == "é.ts"
+
+
+def test_component_detection(spark, tmp_path):
+    import json
+
+    from tessera.sources import components
+
+    def detect(files, tools, folder="My Repo"):
+        paths = spark.createDataFrame([(p,) for p in files], "path string")
+        manifests = spark.createDataFrame([(p, t) for p, t in files.items() if t is not None], "path string, text string")
+        return [tuple(r) for r in components.detect(paths, manifests, tools, folder).collect()]
+
+    many = lambda root, e, n=10: {f"{root}/f{i}.{e}": None for i in range(n)}
+    files = {
+        "package.json": json.dumps({"name": "whole"}),
+        "apps/web/package.json": json.dumps({"name": "@x/Web_App", "dependencies": {"next": "1", "react": "1"}, "exports": {".": ["./a.js", {"import": "./b.js"}]}, "main": "./a.js"}),
+        "apps/api#1/package.json": "not json",
+        "apps/shared/x.txt": None,
+        "libs/shared/package.json": json.dumps({"name": "shared"}),
+        "libs/one/shared/package.json": json.dumps({"name": "shared"}),
+        "apps/web/node_modules/m/package.json": json.dumps({"name": "m"}),
+        "apps/.hidden/package.json": json.dumps({"name": "h"}),
+        **many("apps/web", "ts", 12), **many("apps/web/a/b", "py"), **many("apps/web/a/b/c", "go"), **many("apps/web/dist", "rs"), **many("libs/shared", "js", 9),
+    }
+    tools = [{"tool": "pnpm", "patterns": ["./apps/*", "libs/**", "!libs/one"]}, {"tool": "turbo", "patterns": []}]
+    got = detect(files, tools)
+    assert [(r[0], r[1], r[2]) for r in got] == [("api-1", "api#1", ["apps/api#1"]), ("shared-apps", "shared", ["apps/shared"]), ("shared-libs", "shared", ["libs/shared"]), ("shared-one", "shared", ["libs/one/shared"]), ("web-app", "@x/Web_App", ["apps/web"])]
+    assert got[-1][3:6] == (["a.js", "b.js"], ["py", "ts"], ["nextjs", "react"]) and got[2][3:6] == (None, ["ts"], None)
+    assert [r[:3] for r in detect(files, [])] == [("whole", "whole", ["."])]
+    assert [r[:3] for r in detect({"a.ts": None}, [{"tool": "nx", "patterns": []}])] == [("my-repo", "My Repo", ["."])]
+    nx = detect({"p/q/project.json": json.dumps({"name": "Q"}), "p/dist/project.json": "{}"}, [{"tool": "nx", "patterns": []}])
+    assert [r[:3] for r in nx] == [("q", "Q", ["p/q"])]
+    with pytest.raises(config.BadConfig, match="outside"):
+        detect(files, [{"tool": "npm", "patterns": ["../other"]}])
+    with pytest.raises(config.BadConfig, match="invalid-component-id"):
+        detect({"a.ts": None}, [], "###")
+
+
+def test_scan_detects_components(spark, tmp_path):
+    for path, text in {"package.json": '{"workspaces": ["packages/*"]}', "packages/a/package.json": '{"name": "@o/a"}', "packages/a/src/x.ts": "export function f() { return g(1) }", "packages/b/y.ts": "export function g(x: number) { if (x) throw new E(); }", "z.ts": "export function h() { g() }"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    found = engine.scan(spark, str(tmp_path))
+    assert {(r.source.file, r.component) for r in found.tables["symbols"].collect()} == {("packages/a/src/x.ts", "a"), ("packages/b/y.ts", "b"), ("z.ts", None)}
+    assert [(r.id, r.roots) for r in found.tables["components"].collect()] == [("a", ["packages/a"]), ("b", ["packages/b"])] and found.withdrawn.count() == 0
