@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._session import frugal
+from ._session import cut, frugal, pieces
 
 MARK = re.compile(r"[.!?]+([ \t\n\r]+)?|\n+")
 SOLID = re.compile(r"[^ \t\n\r]")
@@ -94,7 +94,9 @@ def remove_repeated(docs: DataFrame, run: int = 3) -> DataFrame:
     docs = docs.drop(*ADDED)
     own = docs.columns
     placed = spans(docs, run)
-    first = placed.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).where("n > 1").select("a", "b", F.col("first.doc_id").alias("d"), F.col("first.at").alias("p"))
+    first = placed.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).where("n > 1")
+    # kept apart, as a join in the stage of a sum cannot split a frequent key
+    first = cut(first.select("a", "b", F.col("first.doc_id").alias("d"), F.col("first.at").alias("p")), pieces(docs))
     later = placed.join(first, ["a", "b"]).where("doc_id <> d or at <> p")
     gone = later.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("__starts")).select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), "__starts")
     both = docs.join(gone, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64("text") == F.col("__mark")), "left").select(*own, "__starts")
