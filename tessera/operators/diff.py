@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import file_of
 from ..schema import DEPENDENCIES, SKIPPED, shaped
 from . import graph, match, resolve
 from .delta import LINE_WINDOW, symbol_deltas
@@ -75,31 +76,32 @@ def summary(full: DataFrame, left: DataFrame) -> DataFrame:
 
 
 def component_changes(base: DataFrame, head: DataFrame) -> DataFrame:
-    """(id, status, changed fields): arrays compare in order, null as empty."""
+    """(id, status, changed fields, roots of added ones): arrays compare in order, null as empty."""
     fields = ("roots", "public_api", "frameworks")
     empty = F.array().cast("array<string>")
     side = lambda d, p: d.select("id", *(F.coalesce(c, empty).alias(f"{p}_{c}") for c in fields), F.lit(True).alias(p))
     both = side(base, "b").join(side(head, "h"), "id", "full_outer")
     changed = F.array_compact(F.array(*(F.when(F.col(f"b_{c}") != F.col(f"h_{c}"), c) for c in fields)))
     status = F.when(F.col("b").isNull(), "added").when(F.col("h").isNull(), "removed").when(F.size(changed) > 0, "changed")
-    return both.select("id", status.alias("status"), F.when(status == "changed", changed).alias("fields")).where("status is not null")
+    return both.select("id", status.alias("status"), F.when(status == "changed", changed).alias("fields"), F.when(status == "added", F.col("h_roots")).alias("roots")).where("status is not null")
 
 
 def dependency_changes(base: Snapshot, head: Snapshot) -> DataFrame:
-    """(from, to, via, status, direction, effect). Another direction or effect is one removed and one added edge; an edge
-    of one side whose end lies in a file that the other side did not read is unknown."""
+    """(from, to, via, status, direction, effect, absent_from, lost). Another direction or effect is one removed and one
+    added edge; an edge of one side whose end lies in a file that the other side did not read is unknown: absent_from names
+    that side, lost the files and why."""
     keys = ["from", "to", "via"]
     side = lambda d, p: d.select(*keys, F.struct("direction", "effect").alias(p))
     both = side(base.edges(), "b").join(side(head.edges(), "h"), keys, "full_outer").where("not (b <=> h)")
     rows = both.select(*keys, F.explode(F.array_compact(F.array(F.when(F.col("b").isNotNull(), F.struct(F.lit("removed").alias("status"), F.col("b").alias("x"), F.col("h").isNull().alias("alone"))), F.when(F.col("h").isNotNull(), F.struct(F.lit("added").alias("status"), F.col("h").alias("x"), F.col("b").isNull().alias("alone")))))).alias("r")).select(*keys, "r.status", "r.x.direction", "r.x.effect", "r.alone")
-    from ..functions.ids import file_of
-
+    gone = lambda snapshot, status, side: snapshot.skips().groupBy("path").agg(F.min("reason").alias("reason")).select(F.col("path").alias("p"), "reason", F.lit(status).alias("status"), F.lit(side).alias("side"))
+    lost = gone(head, "removed", "head").unionByName(gone(base, "added", "base"))
     for end in ("from", "to"):
-        for status, skips in (("removed", head.skips()), ("added", base.skips())):
-            lost = skips.select(F.col("path").alias("p"), F.lit(status).alias("status"), F.lit(True).alias(f"lost_{end}_{status}")).distinct()
-            rows = rows.withColumn("p", file_of(F.col(end))).join(lost, ["p", "status"], "left").drop("p")
-    lost = F.coalesce(*(F.col(f"lost_{e}_{s}") for e in ("from", "to") for s in ("removed", "added")), F.lit(False))
-    return rows.select(*keys, F.when(F.col("alone") & lost, "unknown").otherwise(F.col("status")).alias("status"), "direction", "effect")
+        file = F.when(F.col("p").isNotNull(), F.struct(F.col("p").alias("path"), "reason"))
+        rows = rows.withColumn("p", file_of(F.col(end))).join(lost, ["p", "status"], "left").withColumn(f"lost_{end}", F.when(F.col("side").isNotNull(), file)).withColumn("absent_from", F.coalesce("absent_from", "side") if end == "to" else F.col("side")).drop("p", "reason", "side")
+    unknown = F.col("alone") & F.col("absent_from").isNotNull()
+    files = F.array_distinct(F.array_compact(F.array("lost_from", "lost_to")))
+    return rows.select(*keys, F.when(unknown, "unknown").otherwise(F.col("status")).alias("status"), "direction", "effect", F.when(unknown, F.col("absent_from")).alias("absent_from"), F.when(unknown, files).alias("lost"))
 
 
 def not_compared(base_skips: DataFrame, head_skips: DataFrame) -> DataFrame:
@@ -116,6 +118,10 @@ class Diff:
     dependencies: DataFrame
     slices: DataFrame
     not_compared: DataFrame
+    #: Both sides as given, all pairs with their structs base and head, and what has no pair.
+    sides: tuple[Snapshot, Snapshot]
+    full: DataFrame
+    left: DataFrame
 
 
 def diff(base: Snapshot, head: Snapshot, renames: DataFrame | None = None, line_window: int = LINE_WINDOW) -> Diff:
@@ -130,4 +136,4 @@ def diff(base: Snapshot, head: Snapshot, renames: DataFrame | None = None, line_
     edges = resolve.edges_of_document(base.symbols).unionByName(resolve.edges_of_document(head.symbols)).select(F.col("from").alias("u"), F.col("to").alias("v")).distinct()
     deltas = symbol_deltas(full.where("status in ('changed', 'moved+changed')"), line_window)
     comps = component_changes(base.components, head.components) if base.components is not None and head.components is not None else None
-    return Diff(pairs, changes.orderBy("status", "id"), deltas, summary(full, left), comps, dependency_changes(base, head), graph.slices(changes, edges), not_compared(base.skips(), head.skips()))
+    return Diff(pairs, changes.orderBy("status", "id"), deltas, summary(full, left), comps, dependency_changes(base, head), graph.slices(changes, edges), not_compared(base.skips(), head.skips()), (base, head), full, left)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fingerprint, ids, paths, text
 from ..operators import aggregates, classify, delta, diff, gate, graph, integrity, match, resolve
 from ..sources import components
-from . import adapters
+from . import adapters, pages
 from .adapters import RENAMES, SNAPSHOTS, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,7 +206,7 @@ def dependency_diff(spark, sf_dir):
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     edge = lambda d, e: d.groupBy(F.col("c_mktsegment").alias("from"), F.col("o_orderpriority").alias("to")).agg(e("o_orderstatus").alias("effect")).select("from", "to", F.lit("orders").alias("via"), F.lit("outbound").alias("direction"), "effect")
     none = adapters.document_symbols(table(spark, sf_dir, "documents"), False).limit(0)
-    return diff.dependency_changes(diff.Snapshot(none, dependencies=edge(o.where("o_orderdate < timestamp '1996-01-01'"), F.max)), diff.Snapshot(none, dependencies=edge(o.where("o_orderdate >= timestamp '1994-01-01'"), F.min)))
+    return diff.dependency_changes(diff.Snapshot(none, dependencies=edge(o.where("o_orderdate < timestamp '1996-01-01'"), F.max)), diff.Snapshot(none, dependencies=edge(o.where("o_orderdate >= timestamp '1994-01-01'"), F.min))).drop("absent_from", "lost")
 
 
 @query("WITH n AS (SELECT r_name AS id, list(n_name ORDER BY n_name) AS roots FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1), b AS (SELECT id, roots FROM n WHERE id <> 'ASIA'), h AS (SELECT CASE WHEN id = 'AFRICA' THEN 'NEW' ELSE id END AS id, CASE WHEN id = 'EUROPE' THEN list_reverse(roots) ELSE roots END AS roots FROM n) SELECT coalesce(b.id, h.id) AS id, CASE WHEN b.id IS NULL THEN 'added' WHEN h.id IS NULL THEN 'removed' ELSE 'changed' END AS status, CASE WHEN b.id IS NOT NULL AND h.id IS NOT NULL THEN ['roots'] END AS fields FROM b FULL JOIN h ON b.id = h.id WHERE b.id IS NULL OR h.id IS NULL OR b.roots <> h.roots")
@@ -215,7 +215,7 @@ def component_diff(spark, sf_dir):
     none = F.lit(None).cast("array<string>")
     full = n.withColumn("public_api", none).withColumn("frameworks", none)
     head = full.withColumn("roots", F.when(F.col("id") == "EUROPE", F.reverse("roots")).otherwise(F.col("roots"))).withColumn("id", F.when(F.col("id") == "AFRICA", "NEW").otherwise(F.col("id")))
-    return diff.component_changes(full.where("id <> 'ASIA'"), head)
+    return diff.component_changes(full.where("id <> 'ASIA'"), head).drop("roots")
 
 
 # --- graphs -----------------------------------------------------------------------------------------------------------
@@ -761,3 +761,88 @@ def framework_shapes(spark, sf_dir):
     calls = F.array().cast("array<struct<target:string>>")
     re_ = classify.react_symbol(F.lit("function"), name, F.lit(True), F.when(lang == "fr", "Ctx.Provider").otherwise("div"), calls, F.lit(""))
     return table(spark, sf_dir, "documents").select("doc_id", ex["ext_kind"].alias("express"), re_["ext_kind"].alias("react"))
+
+
+# --- the page of a difference -----------------------------------------------------------------------------------------
+
+
+def _difference(spark, sf_dir):
+    """The first two stages as a difference; changes with equal logic call each other."""
+    base, head, pairs = _two_stages(spark, sf_dir)
+    full = diff.paired(base.symbols, head.symbols, pairs)
+    left = diff.leftovers(base.symbols, head.symbols, pairs, base.skips(), head.skips())
+    deltas = delta.symbol_deltas(full.where("status in ('changed', 'moved+changed')"))
+    return diff.Diff(pairs, full, deltas, diff.summary(full, left), None, diff.dependency_changes(base, head), slices(spark, sf_dir), diff.not_compared(base.skips(), head.skips()), (base, head), full, left)
+
+
+def _page_rows(entries):
+    """Entries with their section's name and their lines as one text."""
+    name = F.element_at(F.array(*map(F.lit, pages.NAMES)), F.col("section") + 1)
+    return entries.select(name.alias("section"), "part", "key", "at", F.array_join("lines", "\n").alias("lines"))
+
+
+PAIRED = f"{LEFT}, f AS (SELECT h.id AS key, h.name, h.file, b.file AS was, h.dropped, rationale, b.api <> h.api AS a, b.logic <> h.logic AS l, b.syntax <> h.syntax AS s, {STATUS} AS status FROM pairs JOIN base b ON b.id = base_id JOIN head h ON h.id = head_id)"
+TITLE = "'### `' || name || '` _(function)_' || chr(10)"
+CHANGED = "'- the ' || CASE WHEN a THEN 'api' WHEN l THEN 'logic' ELSE 'syntax' END || ' fingerprint changed, no field did' || chr(10)"
+AXES = "array_to_string(list_filter([CASE WHEN a THEN 'api' END, CASE WHEN l THEN 'logic' END, CASE WHEN s THEN 'syntax' END], lambda x: x IS NOT NULL), ', ')"
+
+
+@query(f"WITH {PAIRED}, c AS (SELECT * FROM f WHERE status IN ('changed', 'moved+changed')) SELECT CASE WHEN a THEN 'api' WHEN l THEN 'logic' ELSE 'syntax' END AS section, 0 AS part, key, 0 AS \"at\", CASE WHEN a OR l THEN {TITLE} || 'File: `' || file || ':1`' || chr(10) || chr(10) || {CHANGED} ELSE '- `' || name || '` (`' || file || ':1`)' END AS lines FROM c UNION ALL SELECT 'moved+changed', 0, key, 0, {TITLE} || 'Moved: `' || was || '` → `' || file || '` (`' || rationale || '`)' || chr(10) || {CHANGED} FROM c WHERE status = 'moved+changed'")
+def page_changes(spark, sf_dir):
+    return _page_rows(pages.of_deltas(_difference(spark, sf_dir).deltas))
+
+
+@query(f"WITH {PAIRED} SELECT status AS section, CASE WHEN status = 'moved' OR dropped THEN 0 ELSE 1 END AS part, key, 0 AS \"at\", CASE WHEN status = 'moved' THEN '- `' || name || '`: `' || was || '` → `' || file || '` (`' || rationale || '`)' ELSE '- `' || key || '`' || CASE WHEN dropped THEN ': empty body' ELSE '' END END AS lines FROM f WHERE status IN ('moved', 'dropped-toggled')")
+def page_moves(spark, sf_dir):
+    return _page_rows(pages.of_pairs(_difference(spark, sf_dir).full))
+
+
+SLICE_ROWS = "sl AS (SELECT 'slice:' || min(key) AS id, list(key ORDER BY key) AS members FROM f JOIN head ON head.id = key WHERE status NOT IN ('unchanged', 'moved') GROUP BY logic)"
+LIVE = f"{PAIRED}, every AS (SELECT *, 'head' AS side FROM base UNION ALL SELECT *, 'base' FROM head), v AS (SELECT r.id, r.status, r.reason, e.name, e.file, e.api, e.logic, e.syntax, 'the ' || absent_from || ' side did not read `' || e.file || '` (' || reason || '), so it ' || CASE WHEN absent_from = 'head' THEN 'may still exist' ELSE 'may not be new' END AS why FROM rest r JOIN every e ON r.id = e.id AND e.side = CASE WHEN r.status = 'removed' THEN 'head' WHEN r.status = 'added' THEN 'base' ELSE absent_from END WHERE NOT r.dropped)"
+
+
+@query(f"WITH {LIVE} SELECT status AS section, 0 AS part, id AS key, 0 AS \"at\", {TITLE} || 'File: `' || file || ':1`' || chr(10) || CASE WHEN status = 'unknown' THEN 'Why: ' || why || chr(10) ELSE '' END || 'api `' || api || '` · logic `' || logic || '` · syntax `' || syntax || '`' || chr(10) AS lines FROM v")
+def page_unpaired(spark, sf_dir):
+    return _page_rows(pages.of_left(pages.unpaired(_difference(spark, sf_dir))))
+
+
+@query(f"WITH {PAIRED}, {SLICE_ROWS}, m AS (SELECT sl.id, len(members) AS size, unnest(members) AS member, generate_subscripts(members, 1) AS pos FROM sl) SELECT 'slices' AS section, CASE WHEN size = 1 THEN 2 ELSE 1 END AS part, id AS key, CAST(pos AS INTEGER) AS \"at\", CASE WHEN size = 1 THEN '- `' || id || '`: `' || name || '` _(' || status || ')_' ELSE '- `' || name || '` _(' || status || ')_, `' || file || ':1`' || chr(10) || '  ↳ ' || CASE WHEN status = 'dropped-toggled' THEN CASE WHEN dropped THEN 'to-dropped' ELSE 'to-kept' END ELSE {AXES} END END AS lines FROM m JOIN f ON f.key = member UNION ALL SELECT 'slices', 1, id, 0, '### `' || id || '` (' || len(members) || ' members)' || chr(10) FROM sl WHERE len(members) > 1 UNION ALL SELECT 'slices', 1, id, {1 << 30}, '' FROM sl WHERE len(members) > 1")
+def page_slices(spark, sf_dir):
+    d = _difference(spark, sf_dir)
+    return _page_rows(pages.of_slices(d, pages.unpaired(d)))
+
+
+
+@query(f"SELECT 'dependencies' AS section, CASE WHEN status = 'added' THEN 0 ELSE 1 END AS part, \"from\" || chr(9) || \"to\" || chr(9) || via AS key, 0 AS \"at\", '- `' || \"from\" || '` → `' || \"to\" || '` (`' || via || '`)' AS lines FROM ({ORACLES['dependency_diff']}) UNION ALL SELECT 'components', CASE status WHEN 'added' THEN 0 WHEN 'removed' THEN 1 ELSE 2 END, x.id, 0, '- `' || x.id || '`' || CASE status WHEN 'added' THEN ': ' || (SELECT string_agg('`' || n_name || '`', ', ' ORDER BY n_name) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = CASE WHEN x.id = 'NEW' THEN 'AFRICA' ELSE x.id END) WHEN 'changed' THEN ': roots' ELSE '' END FROM ({ORACLES['component_diff']}) x UNION ALL SELECT 'not-compared', 0, path, 0, '- `' || path || '`: over-size in base, unreadable in head' FROM ({ORACLES['not_compared']})")
+def page_of_the_rest(spark, sf_dir):
+    """Dependencies, components and files that neither side read."""
+    edges = dependency_diff(spark, sf_dir).withColumn("absent_from", F.lit(None).cast("string")).withColumn("lost", F.array().cast("array<struct<path:string,reason:string>>"))
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.when(F.col("r_name") == "AFRICA", "NEW").otherwise(F.col("r_name")).alias("id"), "n_name").groupBy("id").agg(F.array_sort(F.collect_list("n_name")).alias("roots"))
+    comps = component_diff(spark, sf_dir).join(n, "id", "left")
+    return _page_rows(pages.of_dependencies(edges).unionByName(pages.of_components(comps)).unionByName(pages.of_not_compared(not_compared(spark, sf_dir))))
+
+
+@query("SELECT p_partkey, '- outputs: `' || p_name || '` → `none`' || chr(10) || '- inputs modified: `a: ' || p_type || '`' || chr(10) || CASE WHEN p_size > 25 THEN '- async: toggled' || chr(10) ELSE '' END || '- decorator added: `@raw ' || p_brand || '`' || chr(10) || '- rules modified:' || chr(10) || '  - guard: `' || p_name || '` (line ' || p_size || ')' || chr(10) || '- effects removed:' || chr(10) || '  - db.read `' || p_type || '` _(low)_' || chr(10) || '- calls added:' || chr(10) || '  - `' || p_brand || '` (line 3)' || CASE WHEN p_size > 40 THEN chr(10) || '- visibility: changed' ELSE '' END AS body, CASE WHEN p_size > 40 THEN 'api, visibility' ELSE 'api' END AS axes FROM part")
+def page_delta_bodies(spark, sf_dir):
+    """A part's columns as what a change gained, lost and changed."""
+    name, kind, brand, size = (F.col(f"p_{c}") for c in ("name", "type", "brand", "size"))
+    null, none = F.lit(None).cast("string"), F.array().cast("array<string>")
+    three = lambda kind, **given: F.struct(*(given.get(how, F.array().cast(kind)).alias(how) for how in ("added", "removed", "modified")))
+    rule = F.struct(F.lit("guard").alias("type"), size.cast("int").alias("line"), name.alias("condition"), null.alias("what"), null.alias("expr"), null.alias("loop_kind"))
+    effect = F.struct(F.lit("db.read").alias("id"), kind.alias("target"), F.lit(None).cast("int").alias("line"), F.lit("low").alias("confidence"))
+    call = F.struct(brand.alias("target"), F.lit(3).alias("line"), null.alias("resolved"))
+    mark = F.struct(F.lit("d").alias("name"), F.concat(F.lit("raw "), brand).alias("raw"))
+    sig = F.struct(
+        three("array<string>", removed=F.array(name)).alias("outputs"), F.struct(none.alias("added"), none.alias("removed")).alias("throws"),
+        (size > 25).alias("async_changed"), F.lit(False).alias("generator_changed"), F.lit(False).alias("type_parameters_changed"),
+    )
+    flags = F.struct(*(c.alias(f"{n}_changed") for n, c in (("api", F.lit(True)), ("logic", F.lit(False)), ("syntax", F.lit(False)), ("component", F.lit(False)), ("visibility", size > 40))))
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", sig.alias("signature_delta"), flags.alias("flags"),
+        three("array<struct<name:string,type:string>>", modified=F.array(F.struct(F.lit("a").alias("name"), kind.alias("type")))).alias("inputs_delta"),
+        three("array<struct<name:string,raw:string>>", added=F.array(mark)).alias("decorators_delta"),
+        three("array<struct<type:string,line:int,condition:string,what:string,expr:string,loop_kind:string>>", modified=F.array(rule)).alias("rules_delta"),
+        three("array<struct<id:string,target:string,line:int,confidence:string>>", removed=F.array(effect)).alias("effects_delta"),
+        three("array<struct<target:string,line:int,resolved:string>>", added=F.array(call)).alias("calls_delta"),
+    )
+    return rows.select("p_partkey", F.array_join(pages.delta_body(), "\n").alias("body"), pages.axes(F.col("flags")).alias("axes"))
