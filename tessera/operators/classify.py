@@ -99,7 +99,7 @@ def effect(target: Column, imports: Column, arguments: Column, order: tuple[str,
     for name in order:
         got = PLUGINS[name](target, imports, arguments) if name == "drizzle" else PLUGINS[name](target, imports)
         answers.append(F.when(got.isNotNull(), F.struct(F.lit(name).alias("plugin"), got.alias("effect"))))
-    return F.coalesce(*answers)
+    return F.coalesce(*answers) if answers else F.lit(None).cast("struct<plugin:string,effect:struct<id:string,confidence:string,derived_by:string>>")
 
 
 def dropped_call(target: Column, drop: tuple[str, ...] = DROPPED_CALLS, keep: tuple[str, ...] = ()) -> Column:

@@ -50,15 +50,30 @@ class Config:
     ignore: list[str] = field(default_factory=list)
     components: list[dict] = field(default_factory=list)
     plugins: dict[str, list[str]] = field(default_factory=dict)
+    languages: list[str] = field(default_factory=list)
+    frameworks: list[str] = field(default_factory=list)
+    effects: list[str] = field(default_factory=list)
+    plugin_options: dict = field(default_factory=dict)
     suppress: list[str] = field(default_factory=list)
+    #: Prefixes of calls that are never dropped.
+    keep: list[str] = field(default_factory=list)
+    gitignore: bool = True
+    #: Whether vocabulary that no plugin declares is an error, or only told.
+    strict: bool = True
+    output: dict = field(default_factory=dict)
     framework_hints: list[dict] = field(default_factory=list)
     min_parsed_ratio: float = 0.0
     max_file_bytes: int = 2 * 1024 * 1024
     line_window: int = 2
 
 
-FIELDS = {"ignore": list, "components": list, "plugins": dict, "suppress": list, "frameworkHints": list, "minParsedFileRatio": (int, float), "maxFileSizeBytes": int, "lineFuzz": int}
-TO = {"frameworkHints": "framework_hints", "minParsedFileRatio": "min_parsed_ratio", "maxFileSizeBytes": "max_file_bytes", "lineFuzz": "line_window"}
+FIELDS = {
+    "ignore": list, "components": list, "plugins": dict, "languages": list, "frameworks": list, "effects": list, "pluginOptions": dict, "suppress": list, "keep": list, "respectGitignore": bool, "strict": bool, "output": dict,
+    "frameworkHints": list, "minParsedFileRatio": (int, float), "maxFileSizeBytes": int, "lineFuzz": int,
+}
+#: Fields that set limits of time or a language server, which this engine does not have; they are read and have no effect.
+IDLE = ("$schema", "parseTimeoutMs", "classifyTimeoutMs", "lsp")
+TO = {"pluginOptions": "plugin_options", "respectGitignore": "gitignore", "frameworkHints": "framework_hints", "minParsedFileRatio": "min_parsed_ratio", "maxFileSizeBytes": "max_file_bytes", "lineFuzz": "line_window"}
 
 
 def parse(text: str, where: str = "config") -> Config:
@@ -70,9 +85,9 @@ def parse(text: str, where: str = "config") -> Config:
         raise BadConfig(f"{where}: not an object")
     out = Config()
     for key, value in raw.items():
-        if key == "$schema":
+        if key in IDLE:
             continue
-        if key not in FIELDS or isinstance(value, bool) or not isinstance(value, FIELDS[key]):
+        if key not in FIELDS or isinstance(value, bool) != (FIELDS[key] is bool) or not isinstance(value, FIELDS[key]):
             raise BadConfig(f"{where}: {key} is unknown or of another kind")
         setattr(out, TO.get(key, key), value)
     for name, rows, key in (("components", out.components, "id"), ("frameworkHints", out.framework_hints, "name")):
