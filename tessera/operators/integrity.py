@@ -58,6 +58,35 @@ def shape(symbols: DataFrame) -> DataFrame:
     return _found(symbols.where(F.size(missing) > 0), "20 shape", F.coalesce("id", F.lit("?")), F.concat(F.lit("missing "), F.array_join(missing, ", ")))
 
 
+def of_rows(symbols: DataFrame) -> DataFrame:
+    """The rules that a symbol keeps or breaks by itself, all in one pass."""
+    bad = lambda c: ~F.coalesce(c, F.lit(False))
+    lines = lambda c: F.transform(F.filter(c, lambda x: x["line"].isNotNull()), lambda x: x["line"])
+    unsorted = lambda a: a != F.array_sort(a)
+    propagated = lambda e: F.coalesce(e["propagated"], F.lit(False))
+    far = F.transform(F.filter("effects", propagated), lambda e: F.struct(e["id"], e["target"]))
+    first_far = F.array_position(F.transform("effects", lambda e: propagated(e).cast("int")), 1)
+    mixed = F.exists(F.slice("effects", F.greatest(first_far, F.lit(1)).cast("int"), F.size("effects")), lambda e: ~propagated(e)) & (first_far > 0)
+    path = violation(F.col("source.file"), True)
+    one = lambda rule, message: F.struct(F.lit(rule).alias("rule"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
+    checks = [
+        ("05 drop reason", F.col("dropped") & F.col("drop_reason").isNull(), "no reason"),
+        ("06 confidence", bad(F.col("confidence").isin(*CONFIDENCE)), F.coalesce("confidence", F.lit("null"))),
+        ("08 kind", bad(F.col("kind").isin(*KINDS)), F.coalesce("kind", F.lit("null"))),
+        ("09 extKind", F.col("ext_kind").isNotNull() & bad(F.col("ext_kind").rlike(ids.EXT_KIND)), "malformed extKind"),
+        ("10 paths", path.isNotNull(), path),
+        *((f"11 order of {c}", unsorted(lines(c)), "not in order") for c in ("decorators", "rules", "effects", "calls")),
+        ("11 order of propagated effects", unsorted(far), "not in order"),
+        ("11 local effects first", mixed, "a local effect behind a propagated one"),
+        ("16 reserved namespace", F.col("id").startswith("slice:"), "slice: is reserved"),
+        ("17 id grammar", bad(ids.is_symbol_id(F.col("id"))), "malformed id"),
+        *(("19 normal form", nfc(F.col(c)) != F.col(c), f"{c} is not in normal form") for c in ("id", "name")),
+    ]
+    effects = F.transform(F.filter("effects", lambda e: bad(e["id"].isin(*EFFECTS) | e["id"].startswith("x-"))), lambda e: one("07 effect vocabulary", "unknown effect"))
+    found = F.flatten(F.array_compact(F.array(F.array_compact(F.array(*(F.when(c, one(rule, message)) for rule, c, message in checks))), effects)))
+    return symbols.select(F.col("id").alias("subject"), F.explode(found).alias("v")).select("v.rule", "subject", "v.message")
+
+
 def violations(symbols: DataFrame, components: DataFrame, dependencies: DataFrame, languages: DataFrame, skipped: DataFrame, stats: DataFrame, census: DataFrame | None = None) -> DataFrame:
     """Every rule. Shape comes first and, where it fails, alone. stats: one row with total_files and parsed_files; census:
     one row with total and resolved."""
@@ -68,35 +97,20 @@ def violations(symbols: DataFrame, components: DataFrame, dependencies: DataFram
     calls = dependencies.where("via = 'call'")
     resolved = kept.select("id", F.explode("calls").alias("c")).where("c.resolved is not null").select(F.col("id").alias("from"), F.col("c.resolved").alias("to")).distinct()
     ends = dependencies.select(F.explode(F.array("from", "to")).alias("end")).distinct().where(ids.looks_like_symbol(F.col("end")))
-    effects = symbols.select("id", F.explode("effects").alias("e"))
-    paths = symbols.select("id", F.col("source.file").alias("p"), F.lit(True).alias("strict")).unionByName(components.select("id", F.explode("roots").alias("p"), F.lit(False).alias("strict"))).unionByName(skipped.select(F.col("path").alias("id"), F.col("path").alias("p"), F.lit(False).alias("strict")))
-    why = F.when(F.col("strict"), violation(F.col("p"), True)).otherwise(violation(F.col("p")))
-    lines = lambda c: F.transform(F.filter(c, lambda x: x["line"].isNotNull()), lambda x: x["line"])
-    far = F.transform(F.filter("effects", lambda e: F.coalesce(e["propagated"], F.lit(False))), lambda e: F.struct(e["id"], e["target"]))
-    local_last = F.array_position(F.transform("effects", lambda e: F.coalesce(e["propagated"], F.lit(False)).cast("int")), 1)
-    mixed = F.exists(F.slice("effects", F.greatest(local_last, F.lit(1)).cast("int"), F.size("effects")), lambda e: ~F.coalesce(e["propagated"], F.lit(False))) & (local_last > 0)
+    paths = components.select("id", F.explode("roots").alias("p")).unionByName(skipped.select(F.col("path").alias("id"), F.col("path").alias("p")))
+    why = violation(F.col("p"))
     parts = [
+        of_rows(symbols),
         unique(symbols, "01 symbol ids", "id"),
         unique(components, "02 component ids", "id"),
         references(symbols, "03 component exists", "component", components, "id", "id"),
         references(ends, "04 endpoints exist", "end", symbols, "id", "end"),
-        _found(symbols.where("dropped and drop_reason is null"), "05 drop reason", F.col("id"), "no reason"),
-        members(symbols, "06 confidence", "confidence", CONFIDENCE, "id"),
-        matches(effects.select("id", "e.id").toDF("id", "e"), "07 effect vocabulary", F.col("e").isin(*EFFECTS) | F.col("e").startswith("x-"), "id", "unknown effect"),
-        members(symbols, "08 kind", "kind", KINDS, "id"),
-        matches(symbols.where("ext_kind is not null"), "09 extKind", F.col("ext_kind").rlike(ids.EXT_KIND), "id", "malformed extKind"),
         _found(paths.where(why.isNotNull()), "10 paths", F.col("id"), why),
-        *(ordered(symbols, f"11 order of {c}", lines(c), "id") for c in ("decorators", "rules", "effects", "calls")),
-        ordered(symbols, "11 order of propagated effects", far, "id"),
-        _found(symbols.where(mixed), "11 local effects first", F.col("id"), "a local effect behind a propagated one"),
         *(_found(calls.join(kept.select(F.col("id").alias(e)), e, "left_anti"), f"12 call {e} kept", F.col(e), "not a kept symbol") for e in ("from", "to")),
         unique(dependencies, "13 dependencies", "from", "to", "via"),
         _found(resolved.join(calls.select("from", "to"), ["from", "to"], "left_anti"), "14 call has edge", F.concat_ws(" ", "from", "to"), "no dependency"),
         _found(calls.join(resolved, ["from", "to"], "left_anti"), "14 edge has call", F.concat_ws(" ", "from", "to"), "no resolved call"),
-        _found(symbols.where(F.col("id").startswith("slice:")), "16 reserved namespace", F.col("id"), "slice: is reserved"),
-        matches(symbols, "17 id grammar", ids.is_symbol_id(F.col("id")), "id", "malformed id"),
         references(symbols, "18 languages declared", "language", languages, "language", "id"),
-        normal(symbols, "19 normal form", ["id", "name"], "id"),
         _census(skipped, stats),
     ]
     if census is not None:

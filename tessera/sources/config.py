@@ -99,6 +99,17 @@ def parse(text: str, where: str = "config") -> Config:
     return out
 
 
+def rendered(components: list[dict]) -> tuple[str, dict[str, list[str]]]:
+    """A configuration's text for detected components, and what they use that nothing built in reads or classifies.
+    TypeScript and JavaScript and the built-in frameworks need no plugin, so none is named."""
+    fields = ("id", "name", "roots", "languages", "frameworks")
+    rows = [{k: (sorted(c.get(k) or []) if k not in ("id", "name") else c[k]) for k in fields} for c in components]
+    used = {k: {v for c in rows for v in c[k]} for k in ("languages", "frameworks")}
+    known = {"languages": {"ts", "tsx", "js", "jsx"}, "frameworks": {"nestjs", "nextjs", "react", "express"}}
+    body = {"languages": [], "frameworks": [], "effects": [], "components": [{k: r[k] for k in ("id", "name", "roots")} for r in rows]}
+    return json.dumps(body, indent=2, ensure_ascii=False) + "\n", {k: sorted(used[k] - known[k]) for k in used}
+
+
 def find(start: str | Path) -> Path | None:
     """The nearest configuration file at or above `start`."""
     for folder in (Path(start), *Path(start).parents):

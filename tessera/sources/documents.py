@@ -84,6 +84,36 @@ def write_canonical(tables: dict[str, DataFrame], path: str, schema: str, pretty
     return text
 
 
+def write_canonical_diff(found, path: str, schema: str, base_ref: str = "base", head_ref: str = "head", pretty: bool = False) -> str:
+    """The one form of a difference (operators.diff.Diff): references, summary, changes with their symbols and deltas,
+    components, dependencies, slices, files that neither side read. Like write_canonical() it is put together on the
+    driver; for large differences write the tables of Diff as Parquet."""
+    from ..operators.delta import symbol_deltas
+
+    plain = lambda r: _plain({k: v for k, v in r.asDict(True).items()})
+    rows = lambda df, *order: [plain(r) for r in df.orderBy(*order).toLocalIterator()]
+    bare = lambda s: F.struct(*(s[f].alias(f) for f in SYMBOLS.names if f != "snapshot"))
+    parts = ("rules", "effects", "calls", "decorators", "inputs")
+    delta = F.struct("flags", F.col("signature_delta").alias("signature"), *(F.col(f"{p}_delta").alias(p) for p in parts))
+    pair = [F.col("head_id").alias("id"), "status", "rationale", bare(F.col("base")).alias("before"), bare(F.col("head")).alias("after")]
+    with_delta = found.full.where("status in ('changed', 'moved+changed')")
+    changes = rows(symbol_deltas(with_delta).select(*pair, delta.alias("delta")), "status", "id") + rows(found.full.where("status in ('moved', 'dropped-toggled')").select(*pair), "status", "id")
+    for side, status, absent in ((found.sides[0], "removed", "head"), (found.sides[1], "added", "base")):
+        s = side.symbols.select("id", bare(F.struct(*side.symbols.columns)).alias("symbol"))
+        left = found.left.where(~F.col("dropped") & ((F.col("status") == status) | (F.col("absent_from") == absent)))
+        changes += rows(left.join(s, "id").select("id", "status", F.col("absent_from").alias("absentFrom"), "reason", "symbol"), "status", "id")
+    doc = {
+        "$schema": schema, "base": {"ref": base_ref}, "head": {"ref": head_ref}, "summary": plain(found.summary.first()),
+        "symbols": sorted(changes, key=lambda c: (c["status"], c["id"])),
+        "components": rows(found.components, "id") if found.components is not None else [],
+        "dependencies": rows(found.dependencies, "from", "to", "via", "status"), "slices": rows(found.slices, "id"), "notCompared": rows(found.not_compared, "path"),
+    }
+    text = serialize(doc, pretty)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+    return text
+
+
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     """Parquet, a folder for each table."""
     for name, df in tables.items():

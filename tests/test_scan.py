@@ -102,6 +102,39 @@ def test_diff_and_pages(spark, scanned):
     assert engine.explain(base, "refund") == ("single", ["ts:src/billing.ts#Billing.refund"]) and engine.explain(base, "src/big.ts")[0] == "unknown" and engine.explain(base, "nothing")[0] == "not-found"
 
 
+def test_full_page_and_document_of_a_difference(spark, scanned, tmp_path):
+    import json
+
+    from tessera.plans import incidents, pages
+
+    base, head = (s.tables for s in scanned)
+    d = engine.compare(base, head)
+    pages.save(d, str(tmp_path / "page.md"), "a", "b")
+    page = (tmp_path / "page.md").read_text()
+    assert page.startswith("# Semantic diff: a..b") and "- rules modified:\n  - guard: `bill == null` (line 12)" in page
+    assert page.index("## Logic changes") < page.index("## Slices") < page.index("## Not compared") and "- `src/big.ts`: over-size on both sides" in page
+    assert page.count("<details>") == page.count("</details>") and "unresolved call" in page
+    pages.write(d, str(tmp_path / "page"), "a", "b")
+    written = "".join(p.read_text() for p in sorted((tmp_path / "page").glob("part-*")))
+    assert written == page
+    text = documents.write_canonical_diff(d, str(tmp_path / "d.json"), "v1", "a", "b")
+    doc = json.loads(text)
+    assert {s["id"].split("#")[1] for s in doc["symbols"] if s["status"] == "changed"} == {"Billing", "Billing.refund"} and doc["summary"]["changed"] == 2 and {"src/big.ts", "src/broken.ts"} == {f["path"] for f in doc["notCompared"]}
+    refund = next(s for s in doc["symbols"] if s["id"].endswith("#Billing.refund"))
+    assert refund["delta"]["rules"]["modified"][0]["condition"] == "bill == null" and refund["before"]["id"] == refund["id"]
+    assert documents.write_canonical_diff(d, str(tmp_path / "e.json"), "v1", "a", "b") == text
+    assert [line.split(":")[0] for line in incidents.of_scan(base, scanned[0].withdrawn, label="base")] == ["base", "base"]
+    assert incidents.of_comparison({"base": base, "head": head}, d.not_compared) == ["2 file(s) were read by neither side: src/big.ts, src/broken.ts"]
+    assert incidents.doubt(base["stats"], base["skipped"]).first().n == 2 and incidents.doubt(base["stats"], None).first().kind == "unnamed-losses"
+    with pytest.raises(engine.Unsound, match="18 languages|03 component"):
+        engine.check(engine.Scan({**base, "components": base["components"].limit(0)}, *([None] * 5)))
+
+
+def test_rendered_configuration():
+    text, unmapped = config.rendered([{"id": "a", "name": "A", "roots": ["z", "b"], "languages": ["ts", "go"], "frameworks": None, "public_api": None}])
+    assert config.parse(text).components == [{"id": "a", "name": "A", "roots": ["b", "z"]}] and unmapped == {"languages": ["go"], "frameworks": []}
+
+
 def test_explain_lists_every_match(spark):
     symbols = spark.range(1500).selectExpr("format_string('ts:a.ts#f%04d', id) as id", "concat('f', id) as name", "named_struct('file', 'a.ts') as source")
     tables = {"symbols": symbols, "skipped": spark.createDataFrame([], "path string, reason string")}
