@@ -10,9 +10,10 @@ judged on the input. How the whole corpus is compared without sorting all of its
 3. Chunks then ask by (name, hash of the item's bytes) for the smallest document that has just this item. In every later
    document all of the item's windows go. Names with a single form are settled by that.
 4. Names with several forms (edges of passages, edited copies) send each form's bytes once, from its smallest document.
-   They meet by name, in texts of at most `block` bytes; the suffix array of such a text (grouping_sort.java) puts equal
+   They meet by name, in texts of about `block` bytes; the suffix array of such a text (grouping_sort.java) puts equal
    windows side by side, which tells whose windows a smaller document has. A name with over `hot` forms sends windows
-   instead of items and they meet by content, so that no name is tied to one task.
+   instead of items and they meet by content, so that no name is tied to one task. Each window is sent with all of its
+   bytes, some eleven times those of the items, so `hot` forms are as many as go well into a block.
 5. Each chunk marks the windows and writes what is left.
 
 What is sent is one entry for each name, form or window and chunk, so no hot passage or group of copies makes a large
@@ -30,8 +31,11 @@ columns pass through; those named n_bytes, removed or kept are replaced (the sta
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -195,7 +199,7 @@ def _hot_windows(items: Items, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
     return row, start, doc, where, bucket[order[new]], order[new]
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 25, hot: int = 1024, block: int = 1 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 25, hot: int = 8192, block: int = 1 << 20) -> DataFrame:
     """docs(doc_id long, text string, ...) with n_bytes, removed (byte ranges of the text, disjoint and in order) and kept
     (the remaining bytes) added. See the module's text."""
     if not 0 < gram <= width:
@@ -232,9 +236,14 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 25, hot: int =
         items = make(table)
         name, form, _, sample = items.forms(_repeated(items, replies))
         least = items.doc[sample]
-        return _messages([(key[0].as_py(), 2, b, np.stack([name[at], form[at]]).tobytes(), least[at].tobytes()) for b, at in _by_bucket(bucket_of(name, buckets))])
+        known = [(key[0].as_py(), 1, b, flags, None) for b, (flags, _) in _answers(replies, 1).items()]
+        return _messages(known + [(key[0].as_py(), 2, b, np.stack([name[at], form[at]]).tobytes(), least[at].tobytes()) for b, at in _by_bucket(bucket_of(name, buckets))])
 
     def answer_forms(key: tuple, table: pa.Table) -> pa.Table:
+        """What the names were answered goes on as it is, so that it is worked out once."""
+        known, table = (table.filter(pc.equal(table.column("kind"), k)) for k in (1, 2))
+        if not table.num_rows:
+            return known
         sent = [np.frombuffer(x.as_py(), np.uint64).reshape(2, -1) for x in table.column("a")]
         name, form = np.concatenate([s[0] for s in sent]), np.concatenate([s[1] for s in sent])
         doc = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("b")])
@@ -247,7 +256,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 25, hot: int =
         least[order] = doc[order][new][at]
         route[order] = np.where(number == 1, 0, np.where(number <= hot, 1, 2))
         ends = np.cumsum([s.shape[1] for s in sent])
-        return _messages([(c.as_py(), 2, key[0].as_py(), least[e - s.shape[1] : e].tobytes(), route[e - s.shape[1] : e].tobytes()) for c, s, e in zip(table.column("chunk"), sent, ends, strict=True)])
+        found = _messages([(c.as_py(), 2, key[0].as_py(), least[e - s.shape[1] : e].tobytes(), route[e - s.shape[1] : e].tobytes()) for c, s, e in zip(table.column("chunk"), sent, ends, strict=True)])
+        return pa.concat_tables([known.select(found.column_names), found])
 
     def send_texts(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         """To a bucket: lengths, documents, names and bytes of forms (kind 3) or of windows (kind 4)."""
@@ -266,47 +276,6 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 25, hot: int =
             out.append((key[0].as_py(), 4, b, np.full(len(texts), width, np.int32).tobytes(), doc[least[at]].tobytes(), _hash_texts(texts).tobytes(), b"".join(texts)))
         return _messages(out, names)
 
-    def lay_out(key: tuple, table: pa.Table) -> pa.Table:
-        """One text for the suffix array, or several of at most `block` bytes dealt by name."""
-        size = sum(len(x.as_py()) for x in table.column("d"))
-        shares = max(1, -(-size // block))
-        lengths, docs_, names = ([np.frombuffer(x.as_py(), kind) for x in table.column(c)] for c, kind in (("a", np.int32), ("b", np.int64), ("c", np.uint64)))
-        out = []
-        for share in range(shares):
-            texts, lens, owners, origin = [], [], [], []
-            for i in range(table.num_rows):
-                chosen = np.flatnonzero((mix(names[i]) >> np.uint64(32)) % np.uint64(shares) == share)
-                if len(chosen):
-                    data, ends = table.column("d")[i].as_py(), np.cumsum(lengths[i])
-                    texts += [data[ends[j] - lengths[i][j] : ends[j]] for j in chosen] if shares > 1 else [data]
-                    lens.append(lengths[i][chosen])
-                    owners.append(docs_[i][chosen])
-                    origin.append((i, chosen))
-            if texts:
-                head = [(table.column("chunk")[i].as_py(), table.column("kind")[i].as_py(), len(chosen)) for i, chosen in origin]
-                out.append((key[0].as_py(), share, b"".join(texts), np.concatenate(lens).tobytes(), np.concatenate(owners).tobytes(), np.array(head, np.int32).tobytes(), b"".join(chosen.astype(np.int32).tobytes() for _, chosen in origin)))
-        columns_ = list(zip(*out, strict=True)) if out else [()] * 7
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-        return pa.table([pa.array(c, k) for c, k in zip(columns_, kinds, strict=True)], names=["bucket", "share", "text", "lengths", "owners", "head", "chosen"])
-
-    def return_marks(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                lengths, flags = np.frombuffer(r["lengths"], np.int32), np.frombuffer(r["flags"], np.uint8)
-                chosen, head = np.frombuffer(r["chosen"], np.int32), np.frombuffer(r["head"], np.int32).reshape(-1, 3)
-                ends, at = np.cumsum(lengths), 0
-                for chunk, kind, n in head.tolist():
-                    mine = np.arange(at, at + n)
-                    begin = ends[mine] - lengths[mine]
-                    bits = np.zeros(n, np.uint64)
-                    for w in range(width - gram + 1 if kind == 3 else 1):
-                        inside = lengths[mine] - w >= width
-                        bits[inside] |= flags[begin[inside] + w].astype(np.uint64) << np.uint64(w)
-                    rows.append((chunk, kind, r["bucket"], chosen[mine].tobytes(), bits.tobytes()))
-                    at += n
-            yield from _messages(rows).to_batches()
-
     def finish(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         items = make(table)
         of, later, at, route, sample = _settled(items, replies)
@@ -351,17 +320,62 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 25, hot: int =
     by_chunk = chunked.groupBy("__chunk")
     names = by_chunk.applyInArrow(ask_names, MESSAGE).groupBy("bucket").applyInArrow(answer_names, MESSAGE)
     forms = by_chunk.cogroup(names.groupBy("chunk")).applyInArrow(ask_forms, MESSAGE).groupBy("bucket").applyInArrow(answer_forms, MESSAGE)
-    known = names.unionByName(forms)
-    sent = by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(send_texts, MESSAGE + ", c binary, d binary")
-    laid = sent.groupBy("bucket").applyInArrow(lay_out, "bucket int, share int, text binary, lengths binary, owners binary, head binary, chosen binary")
+    sent = by_chunk.cogroup(forms.groupBy("chunk")).applyInArrow(send_texts, MESSAGE + ", c binary, d binary")
+    laid = sent.groupBy("bucket").applyInArrow(lambda key, table: _lay_out(key[0].as_py(), table, block), "bucket int, share int, text binary, lengths binary, owners binary, head binary, chosen binary")
     sorted_ = laid.select("bucket", "lengths", "head", "chosen", F.expr(f"{sort}(text, lengths, owners, {width})").alias("flags"))
-    marks = sorted_.mapInArrow(return_marks, MESSAGE)
-    done = by_chunk.cogroup(known.unionByName(marks).groupBy("chunk")).applyInArrow(finish, out_type)
+    marks = sorted_.mapInArrow(lambda batches: _sent_back(batches, width), MESSAGE)
+    done = by_chunk.cogroup(forms.unionByName(marks).groupBy("chunk")).applyInArrow(finish, out_type)
     blank = F.array().cast("array<struct<start: bigint, end: bigint>>")
     same = lone.select("*", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), blank.alias("removed"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("kept"))
     return done.withColumnRenamed("__own_chunk", "__chunk").select(*every.columns, *ADDED).unionByName(same).coalesce(files)
 
 
+def _lay_out(bucket: int, table: pa.Table, block: int) -> pa.Table:
+    """One text for the suffix array, or several of about `block` bytes dealt by name. The first has the chunks, kinds
+    and numbers of what was sent, all have the places in it of what is theirs."""
+    lengths, owners, names, data = (np.frombuffer(b"".join(x.as_py() for x in table.column(c)), kind) for c, kind in (("a", np.int32), ("b", np.int64), ("c", np.uint64), ("d", np.uint8)))
+    number = np.array([len(x.as_py()) // 4 for x in table.column("a")], np.int32)
+    head = np.stack([table.column("chunk").to_numpy(), table.column("kind").to_numpy(), number], 1).astype(np.int32).tobytes()
+    begin = np.cumsum(lengths, dtype=np.int64) - lengths
+    shares = max(1, -(-len(data) // block))
+    share = ((mix(names) >> np.uint64(32)) % np.uint64(shares)).astype(np.int64)
+    order = np.argsort(share, kind="stable")
+    out = []
+    for k, at in _by_bucket(share[order]):
+        own = order[at]
+        size = lengths[own].astype(np.int64)
+        text = data[np.repeat(begin[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())] if shares > 1 else data
+        out.append((bucket, k, text.tobytes(), lengths[own].tobytes(), owners[own].tobytes(), b"" if out else head, own.astype(np.int32).tobytes()))
+    columns_ = list(zip(*out, strict=True)) if out else [()] * 7
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+    return pa.table([pa.array(c, k) for c, k in zip(columns_, kinds, strict=True)], names=["bucket", "share", "text", "lengths", "owners", "head", "chosen"])
+
+
+def _sent_back(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """A bucket's texts come one after the other; a row goes back for each that was sent."""
+    bucket, head, marks = -1, np.zeros((0, 3), np.int32), np.zeros(0, np.uint64)
+
+    def answers() -> list[pa.RecordBatch]:
+        ends = np.cumsum(head[:, 2])
+        return _messages([(chunk, kind, bucket, None, marks[e - n : e].tobytes()) for (chunk, kind, n), e in zip(head.tolist(), ends.tolist(), strict=True)]).to_batches()
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+            if r["head"]:
+                yield from answers()
+                bucket, head = r["bucket"], np.frombuffer(r["head"], np.int32).reshape(-1, 3)
+                marks = np.zeros(head[:, 2].sum(), np.uint64)
+            lengths, flags, chosen = (np.frombuffer(r[c], kind) for c, kind in (("lengths", np.int32), ("flags", np.uint8), ("chosen", np.int32)))
+            begin = np.cumsum(lengths, dtype=np.int64) - lengths
+            bits = np.zeros(len(lengths), np.uint64)
+            for w in range(int(lengths.max()) - width + 1):
+                inside = np.flatnonzero(lengths - w >= width)
+                bits[inside] |= flags[begin[inside] + w].astype(np.uint64) << np.uint64(w)
+            marks[chosen] = bits
+    yield from answers()
+
+
 def _hash_texts(texts: list[bytes]) -> np.ndarray:
     lengths = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(lengths)
@@ -371,11 +385,10 @@ def _hash_texts(texts: list[bytes]) -> np.ndarray:
 def _marks(replies: pa.Table, kind: int, bucket: np.ndarray) -> np.ndarray:
     """The answers to what send_texts() sent, in the same order."""
     out = np.zeros(len(bucket), np.uint64)
-    base = {b: at.start for b, at in _by_bucket(bucket)}
+    base = dict(_by_bucket(bucket))
     kinds = replies.column("kind").to_numpy()
     for i in np.flatnonzero(kinds == kind):
-        own = base[replies.column("bucket")[i].as_py()]
-        out[own + np.frombuffer(replies.column("a")[i].as_py(), np.int32)] = np.frombuffer(replies.column("b")[i].as_py(), np.uint64)
+        out[base[replies.column("bucket")[i].as_py()]] = np.frombuffer(replies.column("b")[i].as_py(), np.uint64)
     return out
 
 

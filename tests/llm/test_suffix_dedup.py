@@ -87,6 +87,34 @@ def test_stage_keeps_whole_characters(spark):
     assert out[1].text == shared and out[2].text == "a" and out[2].n_chars == 1
 
 
+def test_one_row_goes_back_for_each_message():
+    """However many texts a bucket is dealt to: rows and time go with what was sent, not with messages times texts."""
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    sent, said = [], []
+    for chunk in range(3000):
+        kind, n = 3 + chunk % 2, int(r.integers(1, 40))
+        lengths = (np.full(n, 50) if kind == 4 else r.integers(50, 76, n)).astype(np.int32)
+        bits = [[int(b) for b in r.integers(0, 2, x - 49)] for x in lengths]
+        # a text's bytes are its own flags
+        data = b"".join(bytes([*b, *[1] * 49]) for b in bits)
+        sent.append((chunk, kind, 7, lengths.tobytes(), r.integers(0, 9, n).tobytes(), r.integers(0, 1 << 62, n).astype(np.uint64).tobytes(), data))
+        said.append((chunk, kind, 7, [sum(x << w for w, x in enumerate(b)) for b in bits]))
+    table = sd._messages(sent, ("chunk", "kind", "bucket", "a", "b", "c", "d"))
+    began = time.process_time()
+    laid = sd._lay_out(7, table, 1 << 14)
+    assert laid.num_rows > 200 and sum(map(len, laid.column("text").to_pylist())) == sum(len(s[6]) for s in sent)
+    other = sd._lay_out(8, table.slice(0, 5), 1 << 20)
+    flagged = pa.concat_tables([laid, other]).rename_columns(["bucket", "share", "flags", "lengths", "owners", "head", "chosen"])
+    back = [row for b in sd._sent_back(flagged.to_batches(max_chunksize=3), 50) for row in b.to_pylist()]
+    assert time.process_time() - began < 5
+    assert [(x["chunk"], x["kind"], x["bucket"], np.frombuffer(x["b"], np.uint64).tolist()) for x in back] == said + [(c, k, 8, b) for c, k, _, b in said[:5]]
+
+
 def test_suffix_array_itself(spark):
     from tessera.llm._session import register_grouping_sort
 
