@@ -74,3 +74,41 @@ def test_sql_agrees(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet'")
     assert sorted(con.execute(sd.SQL).fetchall()) == sorted(map(tuple, sd.query(spark, path).collect()))
+
+
+def brute_passages(rows, over):
+    places = {}
+    split = {doc: re.findall(r"[^ \t\n\r]+", text or "") for doc, text in rows}
+    for doc, w in split.items():
+        for i in range(len(w) - over):
+            places.setdefault(tuple(w[i : i + over + 1]), []).append((doc, i))
+    out = []
+    for doc, w in split.items():
+        gone = {j for i in range(len(w) - over) if min(places[tuple(w[i : i + over + 1])]) != (doc, i) for j in range(i, i + over + 1)}
+        out.append((doc, len(w), sorted(gone), [x for i, x in enumerate(w) if i not in gone]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("over", [1, 4, 50])
+def test_passages_against_brute_force(spark, over):
+    r = random.Random(over)
+    some = [f"{r.choice('aé')}{i}{r.choice(['', '', '.', '!'])}" for i in range(40)]
+    rows = [(i, "".join(r.choice(some) + r.choice([" ", "\n", "\r\n ", "\x0b "]) for _ in range(r.randint(0, 90)))) for i in range(40)]
+    for i in range(40, 80):  # pieces of others, cut anywhere
+        rows.append((i, f" \t{r.choice(some)} {rows[r.randrange(i)][1][r.randint(0, 40) :]}{r.choice(some)}"))
+    rows += [(100, None), (101, ""), (102, " \n "), (103, "same " * 130), (104, "a b " * 70), (105, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id, x.n_words, list(x.removed), re.findall(r"[^ \t\n\r]+", x.kept or "")) for x in sd.remove_passages(df, over).collect())
+    assert got == brute_passages(rows, over)
+    assert sum(len(g[2]) for g in got) > 500
+
+
+def test_a_passage_that_ends_inside_sentences_is_caught(spark):
+    passage = " ".join(f"w{i}" for i in range(51))
+    rows = [(1, f"One two {passage} three four."), (2, f"Other words\n {passage} here. The end."), (3, f"Nothing {passage.rsplit(' ', 1)[0]} else."), (None, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as kept", "'y' as anchor", "'z' as shared")
+    assert not any(r.removed for r in sd.remove_repeated(df).collect())
+    out = sd.remove_passages(df)
+    assert out.columns == ["doc_id", "text", "anchor", "shared", *sd.PASSAGES]
+    assert {r.doc_id: r.kept for r in out.collect()} == {1: rows[0][1], 2: "Other words\n here. The end.", 3: rows[2][1], None: passage}
+    assert sd.remove_passages(df.limit(0)).count() == 0
