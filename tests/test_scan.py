@@ -1,10 +1,11 @@
 """A small project through scan, diff, explain and the pages."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import gate
 from tessera.plans import engine, project
-from tessera.sources import config, documents, files
+from tessera.sources import config, documents, files, typescript
 from tessera.sources.typescript import File
 
 SERVICE = '''import { Injectable } from "@nestjs/common"
@@ -225,3 +226,11 @@ def test_scan_detects_components(spark, tmp_path):
     found = engine.scan(spark, str(tmp_path))
     assert {(r.source.file, r.component) for r in found.tables["symbols"].collect()} == {("packages/a/src/x.ts", "a"), ("packages/b/y.ts", "b"), ("z.ts", None)}
     assert [(r.id, r.roots) for r in found.tables["components"].collect()] == [("a", ["packages/a"]), ("b", ["packages/b"])] and found.withdrawn.count() == 0
+
+
+def test_extraction_of_one_small_file_of_texts_uses_all_cores(spark):
+    texts = spark.range(600).selectExpr("concat('p/', id, '.ts') as path", "concat('export const f', id, ' = (q: number) => q') as text").coalesce(1)
+    found = typescript.extract(texts)
+    tasks = {r.path: r.task for r in found.select("path", F.spark_partition_id().alias("task")).collect()}
+    assert len(tasks) == 600 and len(set(tasks.values())) >= spark.sparkContext.defaultParallelism
+    assert {r.id for r in found.select(F.explode("symbols.id").alias("id")).collect()} == {f"ts:p/{i}.ts#f{i}" for i in range(600)}
