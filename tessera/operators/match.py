@@ -17,6 +17,8 @@ from .session import cut
 
 PAIRS = "base_id string, head_id string, rationale string"
 SAME_LOGIC_NAMES = 0.85
+#: The lowest of text.threshold().
+LEAST_NEED = 0.85
 
 
 def unclaimed(symbols: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
@@ -46,6 +48,23 @@ def assign(candidates: DataFrame) -> DataFrame:
     return done
 
 
+def _rare_words(base: DataFrame, head: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides, as base(*keys, base_id, base_words, need, ...), with a row for each of the words that a pair must share:
+    two sets of words at a Jaccard index of `need` or more meet among the size - ceil(need * size) + 1 words of each that
+    come first in one order of all words, here the rarest. What all names share then makes no pairs. `need` may be lower
+    on one side than the pair's own."""
+    wide = lambda d, p: d.withColumn("word", F.explode(f"{p}_words"))
+    b, h = wide(base, "base"), wide(head, "head")
+    often = b.select(*keys, "word").unionByName(h.select(*keys, "word")).groupBy(*keys, "word").agg(F.count("*").alias("often"))
+
+    def first(d: DataFrame, p: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*keys, f"{p}_id").orderBy("often", "word"))
+        enough = F.size(f"{p}_words") - F.ceil(F.col("need") * F.size(f"{p}_words") - 1e-9) + 1
+        return d.join(often, [*keys, "word"]).withColumn("place", place).where(F.col("place") <= enough).drop("often", "place", "need")
+
+    return first(b, "base"), first(h, "head")
+
+
 def _logic(symbols: DataFrame, prefix: str) -> DataFrame:
     fine = symbols.where(f"not dropped and fingerprint.logic <> '{ZERO}'")
     return fine.select(F.col("id").alias(f"{prefix}_id"), F.col("fingerprint.logic").alias("logic"), text.tokens(F.col("name")).alias(f"{prefix}_words"))
@@ -54,7 +73,7 @@ def _logic(symbols: DataFrame, prefix: str) -> DataFrame:
 def by_logic(base: DataFrame, head: DataFrame) -> DataFrame:
     """Same logic fingerprint. A group's only base takes the head of the closest name; with several, names at
     SAME_LOGIC_NAMES or closer are assigned, and what that leaves is looked at again."""
-    b, h = _logic(base, "base"), _logic(head, "head")
+    b, h = cut(_logic(base, "base")), cut(_logic(head, "head"))
     b, h = cut(b.join(h.select("logic").distinct(), "logic", "left_semi")), cut(h.join(b.select("logic").distinct(), "logic", "left_semi"))
     score = text.jaccard(F.col("base_words"), F.col("head_words"))
     out = None
@@ -65,8 +84,9 @@ def by_logic(base: DataFrame, head: DataFrame) -> DataFrame:
         lone = groups.where("n = 1").join(h, "logic").withColumn("score", score)
         closest = lone.groupBy("base_id").agg(F.min_by("head_id", F.struct(-F.col("score"), F.col("head_id"))).alias("head_id")).withColumn("rationale", F.lit("logic-fingerprint"))
         many = groups.where("n > 1").select("logic")
-        words = lambda d, p: d.join(many, "logic", "left_semi").select("logic", f"{p}_id", f"{p}_words", F.explode(f"{p}_words").alias("word"))
-        shared = words(b, "base").join(words(h, "head"), ["logic", "word"]).dropDuplicates(["base_id", "head_id"])
+        words = lambda d, p: d.join(many, "logic", "left_semi").select("logic", f"{p}_id", f"{p}_words", F.lit(SAME_LOGIC_NAMES).alias("need"))
+        rare_b, rare_h = _rare_words(words(b, "base"), words(h, "head"), ["logic"])
+        shared = rare_b.join(rare_h, ["logic", "word"]).dropDuplicates(["base_id", "head_id"])
         empty = b.where("size(base_words) = 0").join(many, "logic", "left_semi").join(h.where("size(head_words) = 0"), "logic")
         near = shared.select("base_id", "head_id", score.alias("score")).unionByName(empty.select("base_id", "head_id", F.lit(1.0).alias("score"))).where(F.col("score") >= SAME_LOGIC_NAMES)
         named = assign(near).withColumn("rationale", F.lit("logic-fingerprint+name-disambiguation"))
@@ -89,11 +109,11 @@ def name_candidates(base: DataFrame, head: DataFrame) -> DataFrame:
     """Pairs of one kind, both with a signature or both without, whose members share a word and whose score reaches the
     head's threshold. The cheap member test comes first: below 2 * (threshold - 0.5) nothing else can help."""
     b, h = _named(base, "base"), _named(head, "head")
-    keys = ["kind", "bare", "word"]
-    wide = lambda d, p: d.select("kind", "bare", f"{p}_id", F.explode(f"{p}_words").alias("word"))
-    met = wide(b, "base").join(wide(h, "head"), keys).groupBy("base_id", "head_id").agg(F.count("*").alias("both"))
-    full = met.join(b, "base_id").join(h.drop("kind", "bare"), "head_id")
     need = text.threshold(F.col("head_name"))
+    side = lambda d, p, least: d.select("kind", "bare", f"{p}_id", f"{p}_words", least.alias("need"))
+    rare_b, rare_h = _rare_words(side(b, "base", F.lit(2 * (LEAST_NEED - 0.5))), side(h, "head", 2 * (need - 0.5)), ["kind", "bare"])
+    met = rare_b.join(rare_h, ["kind", "bare", "word"]).select("base_id", "head_id", F.size(F.array_intersect("base_words", "head_words")).alias("both")).distinct()
+    full = met.join(b, "base_id").join(h.drop("kind", "bare"), "head_id")
     member = F.col("both") / (F.size("base_words") + F.size("head_words") - F.col("both"))
     near = full.withColumn("member", member).withColumn("need", need).where("member >= 2 * (need - 0.5)")
     near = near.where(text.owners_compatible(F.col("base_name"), F.col("head_name")))

@@ -181,6 +181,26 @@ def test_match_and_status(spark):
         diff.diff(diff.Snapshot(base.unionByName(base)), diff.Snapshot(head))
 
 
+def test_a_word_of_all_names_makes_no_pairs(spark):
+    """Pairs of names by their rarest words are those of all pairs, without listing these."""
+    import random
+
+    r = random.Random(5)
+    word = lambda: r.choice("abcdef")
+    names = {p: sorted({f"own.{'_'.join(word() for _ in range(r.randint(1, 5)))}" for _ in range(60)}) for p in ("base", "head")}
+    sides = [shaped(spark.createDataFrame([(f"{p}{i}", n, "function", False) for i, n in enumerate(names[p])], "id string, name string, kind string, dropped boolean"), SYMBOLS) for p in names]
+    want = set()
+    for (i, a), (j, b) in itertools.product(enumerate(names["base"]), enumerate(names["head"])):
+        x, y = (set(n.split(".")[1].split("_")) for n in (a, b))
+        member, need = len(x & y) / len(x | y), {1: 1.0, 2: 0.95}.get(len(y), 0.85)
+        if x & y and 0.5 * member + 0.5 >= need - 1e-12:
+            want.add((f"base{i}", f"head{j}"))
+    assert len(want) > 20 and {(x.base_id, x.head_id) for x in match.name_candidates(*sides).collect()} == want
+    rows = lambda p: spark.range(3000).select(F.lit("g").alias("logic"), F.concat(F.lit(p), "id").alias(f"{p}_id"), F.array(F.lit("d"), F.col("id").cast("string")).alias(f"{p}_words"), F.lit(0.85).alias("need"))
+    b, h = match._rare_words(rows("base"), rows("head"), ["logic"])
+    assert b.join(h, ["logic", "word"]).count() == 3000
+
+
 def test_pairing_of_chains(spark):
     edges = [("b1", "h1"), ("b2", "h1"), ("b2", "h2"), ("b3", "h2"), ("c1", "g1"), ("c1", "g2"), ("c2", "g1"), ("c2", "g2")]
     got = {tuple(r) for r in match.best_pairing(spark.createDataFrame(edges, "base_id string, head_id string")).collect()}
