@@ -110,6 +110,26 @@ def test_propagation(spark):
         propagated(spark, {"A": []}, [("A", "Z", "high")])
 
 
+def test_propagation_moves_edges_once(spark, monkeypatch):
+    """Two levels without a ring: the calls are kept once, and one round hands on what they bring."""
+    ends = [(f"a{i}", f"b{j}", "high") for i in range(12) for j in range(12)]
+    effects = {f"a{i}": [] for i in range(12)} | {f"b{j}": [("e", str(j))] for j in range(12)}
+    sizes, keep = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (sizes.append((kept := keep(df)).count()), kept)[1])
+    got, _ = propagated(spark, effects, ends)
+    assert got["a3"] == sorted(("e", str(j), "high", "d", [f"b{j}"]) for j in range(12)) and got["b3"] == []
+    assert len([n for n in sizes if n >= len(ends)]) <= 2 * 3  # propagated() does it three times
+
+
+def test_nodes_on_one_side_are_settled_without_moving_edges(spark, monkeypatch):
+    sizes, keep = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (sizes.append((kept := keep(df)).count()), kept)[1])
+    edges = spark.range(900).selectExpr("concat('c', id % 30) as u", "concat('p', id div 30) as v")
+    nodes = edges.selectExpr("u as id").union(edges.selectExpr("v as id"))
+    found = graph.strong(nodes, edges).collect()
+    assert len(found) == 60 and all(r.id == r.scc for r in found) and max(sizes) == 60
+
+
 def test_strong_components(spark):
     import random
 
