@@ -43,3 +43,9 @@ def test_query(spark, duck, name):
     want = sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=repr)
     assert len(got) == len(want)
     assert got == want
+
+
+def test_page_of_slices_reads_its_tables_few_times(spark):
+    """Pairs, both sides and slices are kept, not worked out again wherever the page asks for them."""
+    plan = catalog.QUERIES["page_slices"](spark, PATH)._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() < 60
